@@ -13,9 +13,10 @@ def documents(docs: DataFrame, *extra: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *extra)
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """Adds text_key: with doc_id it tells rows apart, and rows that it can't tell apart are the same in all that matters."""
-    return docs.withColumn("text_key", F.xxhash64("text", F.coalesce("doc_id", F.lit(-1)), F.col("doc_id").isNull()))
+def keyed(docs: DataFrame, *more: str) -> DataFrame:
+    """Adds did (doc_id, 0 for null) and text_key; rows that the two can't tell apart have the same doc_id, text and further columns named."""
+    parts = [x for c in ("text", "doc_id", *more) for x in (F.col(c), F.col(c).isNull())]
+    return docs.withColumns({"did": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "text_key": F.xxhash64(*parts)})
 
 
 def shared_dir(spark: SparkSession) -> str:

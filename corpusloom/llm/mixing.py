@@ -27,6 +27,8 @@ import heapq
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .common import keyed, stored
+
 WEIGHTS = (5, 2, 1)
 LIMIT = 3
 BLOCK_WORDS = 16
@@ -65,11 +67,13 @@ def sainte_lague(votes: list[float], seats: int) -> list[int]:
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+    """doc_id, did, text_key, source, _size of each row, in the shared folder: texts are read once."""
+    rows = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text"), "source")
+    return stored(rows.select("doc_id", "did", "text_key", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("_size")), "sizes")
 
 
 def plan(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """docs with _size, _source_size, _target, _rounds (whole times it is taken), and the words [_a, _b) and [0, _c) of it that are taken once more."""
+    """``sized`` with _source_size, _target, _rounds (whole times it is taken), and the words [_a, _b) and [0, _c) of it that are taken once more."""
     spark, rows = docs.sparkSession, sized(docs)
     per_source = sorted(rows.groupBy(F.col("source").alias("s")).agg(F.sum("_size").alias("n")).collect(), key=lambda r: (r["s"] is None, (r["s"] or "").encode("utf-8")))
     sizes = [r["n"] for r in per_source]
@@ -89,7 +93,7 @@ def plan(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_words: int = SHA
 
     per_shard = rows.groupBy("_sid", "_shard").agg(F.sum("_size").alias("n"), F.first("_quota").alias("quota")).groupBy("_sid").applyInPandas(apportion, "_sid int, _shard int, _words long")
     ring = Window.partitionBy("_sid", "_shard")
-    rows = rows.withColumns({"_len": F.sum("_size").over(ring), "_end": F.sum("_size").over(ring.orderBy("_order", "doc_id", "_size").rowsBetween(Window.unboundedPreceding, 0))})
+    rows = rows.withColumns({"_len": F.sum("_size").over(ring), "_end": F.sum("_size").over(ring.orderBy("_order", "doc_id", "_size", "text_key").rowsBetween(Window.unboundedPreceding, 0))})
     rows = rows.join(per_shard, ["_sid", "_shard"])
     rows = rows.withColumn("_words", F.expr(f"if(_target >= {LIMIT} * _source_size, {LIMIT} * _len, _words)"))
     rows = rows.withColumn("_rounds", F.expr("if(_len > 0, _words div _len, 0L)"))
@@ -108,6 +112,19 @@ def _number(md5, digits: int):
 
 def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS) -> DataFrame:
     """doc_id, size, source_size, target, taken: one row for each row of docs."""
-    rows = plan(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text"), block_words, shard_words)
     taken = F.col("_rounds") * F.col("_size") + F.col("_b") - F.col("_a") + F.col("_c")
-    return rows.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), taken.alias("taken"))
+    return plan(docs, block_words, shard_words).select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), taken.alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """The mix as rows of docs: a text taken once is unchanged; one taken more often, or in part, is what is taken of it, in lines. Rows that give nothing go."""
+    nth = Window.partitionBy("did", "text_key").orderBy("text_key")
+    part = plan(docs, block_words, shard_words).select("did", "text_key", "_size", "_rounds", "_a", "_b", "_c").withColumn("_nth", F.row_number().over(nth))
+    rows = keyed(docs, "source").withColumn("_nth", F.row_number().over(nth)).join(part, ["did", "text_key", "_nth"]).where("_rounds > 0 AND _size > 0 OR _b > _a OR _c > 0")
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    some = lambda a, b: F.when(b > a, F.array_join(F.slice(words, (a + 1).cast("int"), (b - a).cast("int")), " "))
+    text = F.when((F.col("_rounds") == 1) & (F.col("_a") == F.col("_b")) & (F.col("_c") == 0), F.col("text")).otherwise(F.concat_ws("\n", F.array_repeat("text", F.col("_rounds").cast("int")), some(F.col("_a"), F.col("_b")), some(F.lit(0), F.col("_c"))))
+    out = rows.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -28,9 +28,9 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import documents, stored
+from .common import documents, keyed, stored
 from .words import U
 
 SHINGLE = 3
@@ -70,14 +70,15 @@ def fingerprint(text: str, size: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the fingerprint's 64 bits as a signed integer)."""
+    """docs with fp (the fingerprint's 64 bits as a signed integer) in place of text."""
+    rest = [f for f in docs.schema.fields if f.name != "text"]
 
     def run(batches):
         for batch in batches:
             fp = np.array([fingerprint(t or "", size) for t in batch.column("text").to_pylist()], U)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield batch.select([f.name for f in rest]).append_column("fp", pa.array(fp.view(np.int64)))
 
-    return documents(docs).mapInArrow(run, "doc_id long, fp long")
+    return docs.mapInArrow(run, T.StructType([*rest, T.StructField("fp", T.LongType())]))
 
 
 def _keys(fp: np.ndarray) -> np.ndarray:
@@ -216,13 +217,27 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
 
 
+def labelled(fps: DataFrame) -> DataFrame:
+    """fp, root for each distinct fingerprint: the components of all links."""
+    distinct = fps.select("fp").distinct()
+    roots = components(links(distinct))
+    return distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits), component_id: one row for each row of docs."""
-    fps = stored(fingerprints(docs, size), "fingerprints")
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(distinct.select("fp")))
-    labelled = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    # few fingerprints of a component may be very many: sums by root are partial first, and the join may be split
-    smallest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = labelled.join(smallest, "root").select("fp", "component_id")
+    fps = stored(fingerprints(documents(docs), size), "fingerprints")
+    # least doc_id first by fingerprint, so that a fingerprint of many rows is one row when components meet
+    least = labelled(fps).join(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "fp")
+    by_fp = least.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return fps.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """One row of docs, with all its columns, for each component: that of the smallest doc_id (null last)."""
+    rows = keyed(docs)
+    fps = stored(fingerprints(rows.select("did", "text_key", F.col("doc_id").isNull().alias("last"), F.coalesce("text", F.lit("")).alias("text")), size), "fingerprints")
+    rank = F.struct("last", "did", "text_key")
+    least = labelled(fps).join(fps.groupBy("fp").agg(F.min(rank).alias("least")), "fp")
+    kept = least.groupBy("root").agg(F.min("least").alias("k")).select("k.did", "k.text_key")
+    return rows.join(kept, ["did", "text_key"], "left_semi").dropDuplicates(["did", "text_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])

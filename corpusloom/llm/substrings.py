@@ -217,5 +217,5 @@ def repeats(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256: one row for each row of docs."""
-    rows = keyed(documents(docs)).withColumn("did", F.coalesce("doc_id", F.lit(0)))
+    rows = keyed(documents(docs))
     return rows.select("did", "text_key", "text", "doc_id").join(repeats(rows, window, gram), ["did", "text_key"], "left").select("doc_id", "text", "found").mapInArrow(_remove(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")

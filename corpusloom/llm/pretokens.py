@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+
 _L = "A-Za-zªµºÀ-ÖØ-öø-įı-ɏ"
 _N = "0-9²³¹¼-¾"
 _S = " \t\n\r"
@@ -37,16 +39,71 @@ def tokenizer(path: str):
     return _tokenizers[path]
 
 
-class Cache(dict):
-    """What a pre-token encodes to, kept in the worker; ``kept`` is the frequent tier, which stays when the rest is dropped."""
+def split_ids(t, tokens: list[str], gap: str, begins: np.ndarray | None, ends: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """ids, cuts, tokens (perhaps in another order): pre-token i has the ids from cuts[i] to cuts[i + 1].
+
+    Pre-tokens of letters alone are encoded as one text, joined by gap, and
+    told apart by ids that can only begin, or only end, a pre-token.
+    """
+    if begins is not None:
+        words = [x for x in tokens if x[0] == " " and x[1:].isalpha()]
+    else:
+        words = [x for x in tokens if x.isalpha()]
+    ids = np.array(t.encode_batch_fast([gap.join(words)], add_special_tokens=False)[0].ids, np.uint32)
+    cuts = np.append(np.flatnonzero(begins[ids]), len(ids)) if begins is not None else np.append(0, np.flatnonzero(ends[ids]) + 1)
+    if len(cuts) != len(words) + 1:
+        words, ids, cuts = [], ids[:0], np.zeros(1, np.int64)
+    told = set(words)
+    rest = [x for x in tokens if x not in told]
+    more = [np.array(t.encode(x, add_special_tokens=False).ids, np.uint32) for x in rest]
+    return np.concatenate([ids, *more]), np.append(cuts, len(ids) + np.cumsum([len(x) for x in more], dtype=np.int64)), words + rest
+
+
+def marked(t, test) -> np.ndarray:
+    """Which ids' strings pass the test."""
+    out = np.zeros(t.get_vocab_size(), bool)
+    for x, i in t.get_vocab().items():
+        out[i] = test(x)
+    return out
+
+
+class Cache:
+    """What pre-tokens encode to, kept in a worker: a frequent tier that stays, and two generations of others, of which the older goes when the younger is full."""
+
+    def __init__(self, encode, kept=(), most: int = 300_000) -> None:
+        self.encode, self.kept, self.most, self.young, self.old = encode, dict(kept), most, {}, {}
+
+    def table(self, tokens: set[str]) -> dict:
+        """A value for each of the tokens; those not seen lately are encoded together."""
+        out, missed = {}, []
+        kept, young, old = self.kept, self.young, self.old
+        for x in tokens:
+            v = kept.get(x)
+            if v is None:
+                v = young.get(x)
+                if v is None:
+                    v = old.get(x)
+                    if v is None:
+                        missed.append(x)
+                        continue
+                    young[x] = v
+            out[x] = v
+        if missed:
+            new = self.encode(missed)
+            young.update(new)
+            out.update(new)
+        if len(young) > self.most:
+            self.young, self.old = {}, young
+        return out
 
-    def __init__(self, encode, kept=(), most: int = 400_000) -> None:
-        super().__init__(kept)
-        self.encode, self.kept, self.most = encode, dict(kept), most
 
-    def __missing__(self, token: str):
-        if len(self) >= self.most:
-            self.clear()
-            self.update(self.kept)
-        value = self[token] = self.encode(token)
-        return value
+def blocks(texts: list[str], chars: int = 1 << 22):
+    """Slices of the list of about so many characters."""
+    lo = size = 0
+    for i, x in enumerate(texts):
+        size += len(x)
+        if size >= chars:
+            yield lo, i + 1
+            lo, size = i + 1, 0
+    if lo < len(texts):
+        yield lo, len(texts)

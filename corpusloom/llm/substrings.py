@@ -210,12 +210,12 @@ def repeats(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
     group = Window.partitionBy("m")
     alive = prefixes.withColumn("met", F.count_if(~F.col("local")).over(group)).where("local or met > 1")
     of_row = alive.groupBy("did", "text_key").agg(F.collect_list(F.struct("local", "p", "n")).alias("runs"))
-    suffixes = rows.select("did", "text_key", "text").join(of_row, ["did", "text_key"]).mapInArrow(_suffixes(window, gram), _HASHED)
+    suffixes = rows.join(of_row, ["did", "text_key"]).mapInArrow(_suffixes(window, gram), _HASHED)
     deep = suffixes.repartition("m").sortWithinPartitions("m").mapInArrow(_subtrees, "did long, text_key long, p long, n long")
     return deep.groupBy("did", "text_key").agg(F.collect_list(F.struct("p", "n")).alias("found"))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256: one row for each row of docs."""
-    rows = keyed(documents(docs))
-    return rows.select("did", "text_key", "text", "doc_id").join(repeats(rows, window, gram), ["did", "text_key"], "left").select("doc_id", "text", "found").mapInArrow(_remove(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    rows = keyed(documents(docs)).select("did", "text_key", "text", "doc_id")  # the same columns both times: one exchange serves both joins
+    return rows.join(repeats(rows, window, gram), ["did", "text_key"], "left").select("doc_id", "text", "found").mapInArrow(_remove(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")

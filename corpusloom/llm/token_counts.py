@@ -82,7 +82,13 @@ def _cache(path: str, run: str, sent) -> P.Cache:
         _caches.clear()
         t = P.tokenizer(path)
         names, lengths = sent.value
-        _caches[path, run] = P.Cache(lambda x: len(t.encode(x, add_special_tokens=False)), zip(names.split("\n"), np.frombuffer(lengths, np.uint8).tolist()) if lengths else ())
+        ends = P.marked(t, lambda x: x.endswith("</w>"))
+
+        def encode(tokens):
+            _, cuts, tokens = P.split_ids(t, tokens, " ", None, ends)
+            return dict(zip(tokens, np.diff(cuts).tolist()))
+
+        _caches[path, run] = P.Cache(encode, zip(names.split("\n"), np.frombuffer(lengths, np.uint8).tolist()) if lengths else ())
     return _caches[path, run]
 
 
@@ -96,12 +102,13 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT) -> Da
     sent = docs.sparkSession.sparkContext.broadcast(("\n".join(x for x, _ in known), bytes(n for _, n in known)))
 
     def count(batches):
-        lengths = _cache(tokenizer_path, run, sent)
-        get = lengths.__getitem__
-        whole = P.tokenizer(tokenizer_path)
+        lengths, whole = _cache(tokenizer_path, run, sent), P.tokenizer(tokenizer_path)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            n = [sum(map(get, P.WORD_BPE(x.lower()))) if P.plain(x) else len(whole.encode(x, add_special_tokens=False)) for x in texts]
+            texts, n = batch.column("text").to_pylist(), []
+            for lo, hi in P.blocks(texts):
+                tokens = [P.WORD_BPE(x.lower()) if P.plain(x) else None for x in texts[lo:hi]]
+                get = lengths.table(set().union(*(x for x in tokens if x is not None))).__getitem__
+                n += [len(whole.encode(x, add_special_tokens=False)) if found is None else sum(map(get, found)) for x, found in zip(texts[lo:hi], tokens)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     counted = plain.withColumn("n_bytes", F.octet_length("text").cast("long")).select("doc_id", "n_bytes", "text").mapInArrow(count, "doc_id long, n_bytes long, n_tokens long")

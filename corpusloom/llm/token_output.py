@@ -39,7 +39,7 @@ from .common import documents, scratch
 
 END = 2
 SHARD_TOKENS = 1 << 20
-ROUNDS = 5
+ROUNDS = 4
 RULES_A_ROUND = 2048
 LEAST_USES = 4
 _MAGIC = b"RPAIR001"
@@ -181,27 +181,39 @@ class Shard:
 _caches: dict = {}
 
 
-def _encoder(path: str):
-    """text -> ids without the end id."""
-    t = P.tokenizer(path)
-    wide = np.uint16 if t.get_vocab_size() <= 65536 else np.uint32
+def _cache(path: str) -> P.Cache:
     if path not in _caches:
-        _caches[path] = P.Cache(lambda x: np.array(t.encode(x, add_special_tokens=False).ids, wide).tobytes(), most=250_000)
-    get = _caches[path].__getitem__
+        t = P.tokenizer(path)
+        begins, wide = P.marked(t, lambda x: x.startswith("\u0120")), np.uint16 if t.get_vocab_size() <= 65536 else np.uint32
+
+        def encode(tokens):
+            ids, cuts, tokens = P.split_ids(t, tokens, "", begins, None)
+            raw, cuts = ids.astype(wide).tobytes(), (cuts * np.dtype(wide).itemsize).tolist()
+            return {x: raw[a:b] for x, a, b in zip(tokens, cuts, cuts[1:])}
 
-    def encode(text: str) -> np.ndarray:
-        if P.plain(text):
-            return np.frombuffer(b"".join(map(get, P.BYTE_BPE(text))), wide)
-        return np.array(t.encode(text, add_special_tokens=False).ids, wide)
+        _caches[path] = P.Cache(encode)
+    return _caches[path]
 
-    return encode
+
+def encode_texts(texts: list[str], path: str):
+    """The ids of each text, without the end id."""
+    t, cache = P.tokenizer(path), _cache(path)
+    wide = np.uint16 if t.get_vocab_size() <= 65536 else np.uint32
+    for lo, hi in P.blocks(texts):
+        tokens = [P.BYTE_BPE(x) if P.plain(x) else None for x in texts[lo:hi]]
+        get = cache.table(set().union(*(x for x in tokens if x is not None))).__getitem__
+        for text, found in zip(texts[lo:hi], tokens):
+            if found is None:
+                yield np.array(t.encode(text, add_special_tokens=False).ids, wide)
+            else:
+                yield np.frombuffer(b"".join(map(get, found)), wide)
 
 
 def write_shards(docs: DataFrame, tokenizer_path: str, path: str, shard_tokens: int = SHARD_TOKENS, rounds: int = ROUNDS) -> None:
     """Writes the shards of docs as a Parquet table."""
 
     def encode(batches):
-        encoder, vocab = _encoder(tokenizer_path), P.tokenizer(tokenizer_path).get_vocab_size()
+        vocab = P.tokenizer(tokenizer_path).get_vocab_size()
         doc_ids, ids, size, before, part = [], [], 0, 0, 0
 
         def shard():
@@ -209,8 +221,8 @@ def write_shards(docs: DataFrame, tokenizer_path: str, path: str, shard_tokens:
 
         for batch in batches:
             part = batch.column("part")[0].as_py() if batch.num_rows else part
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                found = np.append(encoder(text), END).astype(np.uint32)
+            for doc_id, found in zip(batch.column("doc_id").to_pylist(), encode_texts(batch.column("text").to_pylist(), tokenizer_path)):
+                found = np.append(found, found.dtype.type(END))
                 if ids and size + len(found) > shard_tokens:
                     yield shard()
                     before, doc_ids, ids, size = before + size, [], [], 0

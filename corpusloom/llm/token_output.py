@@ -39,7 +39,7 @@ from .common import documents, scratch
 
 END = 2
 SHARD_TOKENS = 1 << 20
-ROUNDS = 4
+ROUNDS = 3
 RULES_A_ROUND = 2048
 LEAST_USES = 4
 _MAGIC = b"RPAIR001"
@@ -48,29 +48,28 @@ _BUCKETS = 1 << 18
 
 def compress(ids: np.ndarray, vocab: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """The sequence with frequent pairs replaced, and the rules (pairs of symbols). No left symbol of a pair ends with END."""
-    seq, rules = ids.astype(np.uint32), np.zeros((0, 2), np.uint32)
-    limit = 65536 - vocab if vocab < 65536 else 1 << 16
+    small = vocab < 65536  # then no symbol takes more than 16 bits, and a pair fits 32
+    limit, shift, kind = (65535 - vocab, 16, np.uint32) if small else (1 << 16, 32, np.uint64)
+    spread, down = (kind(0x9E3779B1), kind(14)) if small else (kind(0x9E3779B97F4A7C15), kind(46))
+    seq, rules = ids.astype(kind), np.zeros((0, 2), np.uint32)
     closed = np.zeros(vocab + limit, bool)  # symbols whose last id is END
     closed[END] = True
     for _ in range(rounds):
         room = min(RULES_A_ROUND, limit - len(rules))
         if len(seq) < 2 or room <= 0:
             break
-        left, right = seq[:-1], seq[1:]
-        bucket = ((left * np.uint32(0x9E3779B1)) ^ (right * np.uint32(0x85EBCA77))) * np.uint32(0xC2B2AE3D) >> np.uint32(14)
+        pair = seq[:-1] << kind(shift) | seq[1:]
+        bucket = (pair * spread >> down).astype(np.int64)
         count = np.bincount(bucket, minlength=_BUCKETS)
         heavy = np.argpartition(count, -room)[-room:]
         heavy = heavy[count[heavy] >= LEAST_USES]
-        if not len(heavy):
-            break
-        # each bucket stands for the pair that a fixed scan meets last in it
-        a, b = np.full(_BUCKETS, -1, np.int64), np.zeros(_BUCKETS, np.int64)
-        want = np.zeros(_BUCKETS, bool)
-        want[heavy] = True
-        at = np.flatnonzero(want[bucket] & ~closed[left])
-        k = bucket[at]
-        a[k], b[k] = left[at], right[at]
-        at = at[(a[k] == left[at]) & (b[k] == right[at])]
+        # each bucket stands for the pair that is met last in it
+        last = np.zeros(_BUCKETS, kind)
+        last[bucket] = pair
+        heavy = heavy[~closed[(last[heavy] >> kind(shift)).astype(np.int64)]]
+        chosen_pair = np.full(_BUCKETS, ~kind(0), kind)
+        chosen_pair[heavy] = last[heavy]
+        at = np.flatnonzero(chosen_pair[bucket] == pair)
         if not len(at):
             break
         # of overlapping places every other one, from the left
@@ -81,15 +80,15 @@ def compress(ids: np.ndarray, vocab: int, rounds: int = ROUNDS) -> tuple[np.ndar
         chosen = np.flatnonzero(uses >= LEAST_USES)
         if not len(chosen):
             break
-        number = np.full(_BUCKETS, -1, np.int64)
+        number = np.zeros(_BUCKETS, kind)
         number[chosen] = vocab + len(rules) + np.arange(len(chosen))
-        at = at[number[bucket[at]] >= 0]
-        closed[vocab + len(rules) + np.arange(len(chosen))] = closed[b[chosen]]
-        rules = np.concatenate([rules, np.stack([a[chosen], b[chosen]], axis=1).astype(np.uint32)])
+        at = at[number[bucket[at]] > 0]
+        right = (chosen_pair[chosen] & ((kind(1) << kind(shift)) - kind(1))).astype(np.int64)
+        closed[vocab + len(rules) + np.arange(len(chosen))] = closed[right]
+        rules = np.concatenate([rules, np.stack([(chosen_pair[chosen] >> kind(shift)).astype(np.int64), right], axis=1).astype(np.uint32)])
         before = len(seq)
         keep = np.ones(before, bool)
         keep[at + 1] = False
-        seq = seq.copy()
         seq[at] = number[bucket[at]]
         seq = seq[keep]
         if before - len(seq) < before // 200:

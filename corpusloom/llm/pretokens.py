@@ -70,7 +70,7 @@ def marked(t, test) -> np.ndarray:
 class Cache:
     """What pre-tokens encode to, kept in a worker: a frequent tier that stays, and two generations of others, of which the older goes when the younger is full."""
 
-    def __init__(self, encode, kept=(), most: int = 400_000) -> None:
+    def __init__(self, encode, kept=(), most: int = 600_000) -> None:
         self.encode, self.kept, self.most, self.young, self.old = encode, dict(kept), most, {}, {}
 
     def table(self, tokens: set[str]) -> dict:

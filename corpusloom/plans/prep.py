@@ -71,8 +71,8 @@ c AS (SELECT id, count(*) AS n FROM s GROUP BY id), r AS (SELECT g, count(*) AS
 o AS (SELECT s.id, s.g, c.n, row_number() OVER (PARTITION BY s.id ORDER BY r.df, hash(s.g), s.g) AS k FROM s JOIN r USING (g) JOIN c ON c.id = s.id),
 f AS (SELECT * FROM o WHERE k <= n - ceil(n * 0.85::DOUBLE) + 1),
 p AS (SELECT DISTINCT a.id AS a, b.id AS b, a.n AS na, b.n AS nb FROM f a JOIN f b ON a.g = b.g AND a.id < b.id AND b.n >= a.n * 0.85 AND a.n >= b.n * 0.85),
-i AS (SELECT p.a, p.b, na, nb, count(*) AS both FROM p JOIN s x ON x.id = p.a JOIN s y ON y.id = p.b AND y.g = x.g GROUP BY ALL)
-SELECT a, b, round(both / (na + nb - both)::DOUBLE, 6) AS jaccard FROM i WHERE both / (na + nb - both)::DOUBLE >= 0.85"""
+i AS (SELECT p.a, p.b, na, nb, count(*) AS common FROM p JOIN s x ON x.id = p.a JOIN s y ON y.id = p.b AND y.g = x.g GROUP BY ALL)
+SELECT a, b, round(common / (na + nb - common)::DOUBLE, 6) AS jaccard FROM i WHERE common / (na + nb - common)::DOUBLE >= 0.85"""
 
 
 @query(_PAIRS)

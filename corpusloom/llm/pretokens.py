@@ -70,34 +70,23 @@ def marked(t, test) -> np.ndarray:
 class Cache:
     """What pre-tokens encode to, kept in a worker: a frequent tier that stays, and two generations of others, of which the older goes when the younger is full."""
 
-    def __init__(self, encode, kept=(), most: int = 600_000) -> None:
-        self.encode, self.kept, self.most, self.young, self.old = encode, dict(kept), most, {}, {}
+    def __init__(self, encode, kept=(), most: int = 400_000) -> None:
+        self.encode, self.kept, self.most, self.old = encode, dict(kept), most, {}
+        self.young = dict(self.kept)
 
     def table(self, tokens: set[str]) -> dict:
-        """A value for each of the tokens; those not seen lately are encoded together."""
-        out, missed = {}, []
-        kept, young, old = self.kept, self.young, self.old
-        for x in tokens:
-            v = kept.get(x)
-            if v is None:
-                v = young.get(x)
-                if v is None:
-                    v = old.get(x)
-                    if v is None:
-                        missed.append(x)
-                        continue
-                    young[x] = v
-            out[x] = v
-        if missed:
-            new = self.encode(missed)
-            young.update(new)
-            out.update(new)
-        if len(young) > self.most:
-            self.young, self.old = {}, young
-        return out
-
-
-def blocks(texts: list[str], chars: int = 1 << 22):
+        """Values of all the tokens, and of others; what is not kept any more is encoded together."""
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, dict(self.kept)
+        missing = tokens.difference(self.young)
+        back = missing.intersection(self.old)
+        self.young.update(zip(back, map(self.old.__getitem__, back)))
+        if new := list(missing.difference(back)):
+            self.young.update(self.encode(new))
+        return self.young
+
+
+def blocks(texts: list[str], chars: int = 1 << 21):
     """Slices of the list of about so many characters."""
     lo = size = 0
     for i, x in enumerate(texts):

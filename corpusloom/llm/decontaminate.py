@@ -163,23 +163,17 @@ def _put(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:
     return batch.set_column(batch.schema.get_field_index(name), name, column)
 
 
-def _pass(docs: DataFrame, sent) -> DataFrame:
-    """Adds one block's hits (pairs of first word and length) and items to each row."""
-
-    def search(batches):
-        ix = sent.value
-        for batch in batches:
-            hits, items = batch.column("_hits").to_pylist(), batch.column("_items").to_pylist()
-            for c in W.chunks(W.text_column(batch), W.ALNUM, W.LOWER):
-                found: dict[int, list[tuple[int, int]]] = {}
-                for s, w in _search(c, ix):
-                    found.setdefault(int(c.doc[s]), []).append((int(c.pos[s]), w))
-                for d, x in found.items():
-                    hits[c.lo + d] += np.array([(s, ix["n"][w]) for s, w in x], np.int64).tobytes()
-                    items[c.lo + d] = sorted({*items[c.lo + d], *(i for _, w in x for i in ix["items"][w])})
-            yield _put(_put(batch, "_hits", pa.array(hits, pa.binary())), "_items", pa.array(items, pa.list_(pa.string())))
-
-    return docs.mapInArrow(search, docs.schema)
+def _hit(batch: pa.RecordBatch, ix: dict) -> pa.RecordBatch:
+    """The batch with one block's hits (pairs of first word and length) and items added to each row."""
+    hits, items = batch.column("_hits").to_pylist(), batch.column("_items").to_pylist()
+    for c in W.chunks(W.text_column(batch), W.ALNUM, W.LOWER):
+        found: dict[int, list[tuple[int, int]]] = {}
+        for s, w in _search(c, ix):
+            found.setdefault(int(c.doc[s]), []).append((int(c.pos[s]), w))
+        for d, x in found.items():
+            hits[c.lo + d] += np.array([(s, ix["n"][w]) for s, w in x], np.int64).tobytes()
+            items[c.lo + d] = sorted({*items[c.lo + d], *(i for _, w in x for i in ix["items"][w])})
+    return _put(_put(batch, "_hits", pa.array(hits, pa.binary())), "_items", pa.array(items, pa.list_(pa.string())))
 
 
 def _judged(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -202,35 +196,45 @@ def _contaminated(n_words: np.ndarray, n_hit: np.ndarray) -> np.ndarray:
     return (n_hit > 0) & (20 * n_hit >= n_words)
 
 
-def _digest(batches):
-    for batch in batches:
-        n_words, n_hit = _judged(batch)
-        items = batch.column("_items").to_pylist()
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(n_words), pa.array(n_hit), pa.array([len(x) for x in items], pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string()), pa.array(_contaminated(n_words, n_hit))],
-            ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-        )
+def _digest(batch: pa.RecordBatch) -> pa.RecordBatch:
+    n_words, n_hit = _judged(batch)
+    items = batch.column("_items").to_pylist()
+    return pa.RecordBatch.from_arrays(
+        [batch.column("doc_id"), pa.array(n_words), pa.array(n_hit), pa.array([len(x) for x in items], pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string()), pa.array(_contaminated(n_words, n_hit))],
+        ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
+    )
 
 
-def searched(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """docs with _hits (pairs of 64-bit integers: first word, number of words) and _items."""
+def _clean(batch: pa.RecordBatch) -> pa.RecordBatch:
+    return batch.filter(pa.array(~_contaminated(*_judged(batch)))).select([x for x in batch.schema.names if x not in ("_hits", "_items")])
+
+
+def searched(docs: DataFrame, benchmark: DataFrame, finish, schema, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """finish (batch -> batch of schema) of docs with _hits (pairs of 64-bit integers: first word, number of words) and _items; the last block's pass applies it."""
     out = docs.withColumns({"_hits": F.lit(b"").cast("binary"), "_items": F.expr("cast(array() as array<string>)")})
+
+    def run(sent, last: bool):
+        def passed(batches):
+            for batch in batches:
+                batch = _hit(batch, sent.value) if sent is not None else batch
+                yield finish(batch) if last else batch
+
+        return passed
+
+    sent = None
     for block in blocks(benchmark, block_words):
         if found := windows(block):
-            out = _pass(out, docs.sparkSession.sparkContext.broadcast(index(docs, found)))
-    return out
+            if sent is not None:
+                out = out.mapInArrow(run(sent, False), out.schema)
+            sent = docs.sparkSession.sparkContext.broadcast(index(docs, found))
+    return out.mapInArrow(run(sent, True), schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated: one row for each row of docs."""
-    return searched(documents(docs), benchmark, block_words).mapInArrow(_digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return searched(documents(docs), benchmark, _digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean", block_words)
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of docs that are not contaminated, with all their columns."""
-
-    def judge(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(~_contaminated(*_judged(batch)))).select([x for x in batch.schema.names if x not in ("_hits", "_items")])
-
-    return searched(docs, benchmark, block_words).mapInArrow(judge, docs.schema)
+    return searched(docs, benchmark, _clean, docs.schema, block_words)

@@ -122,19 +122,21 @@ def expansions(rules: np.ndarray, vocab: int) -> np.ndarray:
     return ids
 
 
-def expand(seq: np.ndarray, flat: np.ndarray, lengths: np.ndarray, vocab: int) -> np.ndarray:
-    """The ids of a stretch of symbols; flat: the rules' expansions, lengths: theirs."""
-    at = np.flatnonzero(seq >= vocab)
-    k = seq[at].astype(np.int64) - vocab
-    n = lengths[k]
-    size = np.ones(len(seq), np.int64)
-    size[at] = n
-    to = np.cumsum(size) - size
-    out = np.empty(int(size.sum()), np.uint32)
-    out[to[seq < vocab]] = seq[seq < vocab]
-    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    out[np.repeat(to[at], n) + step] = flat[np.repeat((np.cumsum(lengths) - lengths)[k], n) + step]
-    return out
+def table(rules: np.ndarray, lengths: np.ndarray, vocab: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every symbol, ids included, where its expansion begins and how long it is; and the expansions."""
+    own = np.arange(vocab, dtype=np.int32)
+    begins = np.concatenate([own, vocab + np.cumsum(lengths) - lengths]).astype(np.int32)
+    return begins, np.concatenate([np.ones(vocab, np.int32), lengths]).astype(np.int32), np.concatenate([own, expansions(rules, vocab)]).astype("<u4")
+
+
+def expand(seq: np.ndarray, symbols: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """The ids of a stretch of symbols."""
+    begins, lengths, flat = symbols
+    n = lengths[seq]
+    last = np.cumsum(n, dtype=np.int64)
+    source = np.repeat(begins[seq] - (last - n), n)
+    source += np.arange(len(source))
+    return flat[source]
 
 
 def pack(doc_ids: list, ids: list[np.ndarray], vocab: int, rounds: int = ROUNDS) -> bytes:
@@ -176,10 +178,10 @@ class Shard:
         self.rules, self.lengths = take("<u4", 2 * r).reshape(-1, 2), take("<u4", r).astype(np.int64)
         self.vocab = int(take("<u4", 1)[0])
         self.seq = take("<u2" if self.vocab + r <= 65536 else "<u4", s)
-        self.flat = expansions(self.rules, self.vocab)
+        self.symbols = table(self.rules, self.lengths, self.vocab)
 
     def document(self, i: int) -> np.ndarray:
-        return expand(self.seq[self.places[i] : self.places[i + 1]], self.flat, self.lengths, self.vocab)
+        return expand(self.seq[self.places[i] : self.places[i + 1]], self.symbols)
 
     def ids(self, a: int, b: int) -> np.ndarray:
         """Ids a .. b-1 of the shard, found by the expansion lengths."""
@@ -190,7 +192,7 @@ class Shard:
         size[inner] = self.lengths[part[inner].astype(np.int64) - self.vocab]
         before = self.starts[i] + np.append(0, np.cumsum(size))
         x, y = int(np.searchsorted(before, a, "right")) - 1, int(np.searchsorted(before, b))
-        return expand(part[x:y], self.flat, self.lengths, self.vocab)[a - before[x] : b - before[x]]
+        return expand(part[x:y], self.symbols)[a - before[x] : b - before[x]]
 
 
 _caches: dict = {}
@@ -265,7 +267,7 @@ def read_shards(spark, path: str) -> DataFrame:
             for part, before, raw in zip(batch.column("part").to_pylist(), batch.column("before").to_pylist(), batch.column("shard").to_pylist()):
                 shard = Shard(raw)
                 n = np.diff(shard.starts)
-                ids = memoryview(expand(shard.seq, shard.flat, shard.lengths, shard.vocab).astype("<u4").tobytes())
+                ids = memoryview(expand(shard.seq, shard.symbols).tobytes())
                 crcs = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(shard.starts[:-1].tolist(), shard.starts[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids, pa.int64()), pa.array(shard.starts[:-1] + before + sent.value[part]), pa.array(n), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 

@@ -1,7 +1,7 @@
-"""Pre-tokens of the two tokenizers that the operators use, and caches of their encodings.
+"""Pre-tokens of the word tokenizer, and caches of what pre-tokens encode to.
 
-A pre-token is encoded the same alone as within its text. The patterns below
-are the tokenizers' own, with their letter and number classes written out for
+A pre-token is encoded the same alone as within its text. The pattern below
+is the tokenizer's own, with its letter and number classes written out for
 ASCII and Latin letters below U+0250 (fixed values). A text with any other
 character, or with the opening of a special token, goes to the library whole.
 """
@@ -17,7 +17,6 @@ _N = "0-9²³¹¼-¾"
 _S = " \t\n\r"
 PLAIN = re.compile(f"[{_S}\\x21-\\x7e¡-įı-ɏ]*").fullmatch
 WORD_BPE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+").findall
-BYTE_BPE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+").findall
 SPECIAL = "<|"
 
 
@@ -39,24 +38,21 @@ def tokenizer(path: str):
     return _tokenizers[path]
 
 
-def split_ids(t, tokens: list[str], gap: str, begins: np.ndarray | None, ends: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """ids, cuts, tokens (perhaps in another order): pre-token i has the ids from cuts[i] to cuts[i + 1].
+def split_ids(t, tokens: list[str], ends: np.ndarray) -> tuple[np.ndarray, list[str]]:
+    """cuts, tokens (perhaps in another order): pre-token i has the ids from cuts[i] to cuts[i + 1].
 
-    Pre-tokens of letters alone are encoded as one text, joined by gap, and
-    told apart by ids that can only begin, or only end, a pre-token.
+    Pre-tokens of letters alone are encoded as one text and told apart by ids
+    that can only end a pre-token.
     """
-    if begins is not None:
-        words = [x for x in tokens if x[0] == " " and x[1:].isalpha()]
-    else:
-        words = [x for x in tokens if x.isalpha()]
-    ids = np.array(t.encode_batch_fast([gap.join(words)], add_special_tokens=False)[0].ids, np.uint32)
-    cuts = np.append(np.flatnonzero(begins[ids]), len(ids)) if begins is not None else np.append(0, np.flatnonzero(ends[ids]) + 1)
+    words = [x for x in tokens if x.isalpha()]
+    ids = np.array(t.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+    cuts = np.append(0, np.flatnonzero(ends[ids]) + 1)
     if len(cuts) != len(words) + 1:
-        words, ids, cuts = [], ids[:0], np.zeros(1, np.int64)
+        words, cuts = [], np.zeros(1, np.int64)
     told = set(words)
     rest = [x for x in tokens if x not in told]
-    more = [np.array(t.encode(x, add_special_tokens=False).ids, np.uint32) for x in rest]
-    return np.concatenate([ids, *more]), np.append(cuts, len(ids) + np.cumsum([len(x) for x in more], dtype=np.int64)), words + rest
+    more = [len(t.encode(x, add_special_tokens=False)) for x in rest]
+    return np.append(cuts, cuts[-1] + np.cumsum(more, dtype=np.int64)), words + rest
 
 
 def marked(t, test) -> np.ndarray:

@@ -85,7 +85,7 @@ def _cache(path: str, run: str, sent) -> P.Cache:
         ends = P.marked(t, lambda x: x.endswith("</w>"))
 
         def encode(tokens):
-            _, cuts, tokens = P.split_ids(t, tokens, " ", None, ends)
+            cuts, tokens = P.split_ids(t, tokens, ends)
             return dict(zip(tokens, np.diff(cuts).tolist()))
 
         _caches[path, run] = P.Cache(encode, zip(names.split("\n"), np.frombuffer(lengths, np.uint8).tolist()) if lengths else ())

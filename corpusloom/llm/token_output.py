@@ -32,6 +32,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from . import pretokens as P
@@ -196,34 +197,113 @@ class Shard:
 
 
 _caches: dict = {}
+_ALNUM = np.array([chr(x).isalnum() for x in range(128)] + [False] * 128)
+_TAIL = "!\"#$%&()*+,-./:;=?@[]^_`{|}~"
 
 
 def _cache(path: str) -> P.Cache:
+    """Ids of stretches that follow a space, that space included."""
     if path not in _caches:
         t = P.tokenizer(path)
-        begins, wide = P.marked(t, lambda x: x.startswith("\u0120")), np.uint16 if t.get_vocab_size() <= 65536 else np.uint32
+        begins, wide = P.marked(t, lambda x: x.startswith("\u0120")), _wide(t)
 
-        def encode(tokens):
-            ids, cuts, tokens = P.split_ids(t, tokens, "", begins, None)
-            raw, cuts = ids.astype(wide).tobytes(), (cuts * np.dtype(wide).itemsize).tolist()
-            return {x: raw[a:b] for x, a, b in zip(tokens, cuts, cuts[1:])}
+        def encode(stretches):
+            ids = np.array(t.encode_batch_fast([" " + " ".join(stretches)], add_special_tokens=False)[0].ids, wide)
+            cuts = np.append(np.flatnonzero(begins[ids]), len(ids))  # a stretch holds no other space, so only its first id begins with one
+            if len(cuts) != len(stretches) + 1:
+                return {x: np.array(t.encode(" " + x, add_special_tokens=False).ids, wide).tobytes() for x in stretches}
+            raw, cuts = ids.tobytes(), (cuts * ids.itemsize).tolist()
+            return {x: raw[a:b] for x, a, b in zip(stretches, cuts, cuts[1:])}
 
         _caches[path] = P.Cache(encode)
     return _caches[path]
 
 
+def _wide(t):
+    return np.uint16 if t.get_vocab_size() <= 65536 else np.uint32
+
+
+def _ends(strings: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Length in bytes, first byte and last byte of each string (0 where it is empty)."""
+    at, data = np.frombuffer(strings.buffers()[1], np.int64, len(strings) + 1, 8 * strings.offset), np.frombuffer(strings.buffers()[2] or b"", np.uint8)
+    n, some = np.diff(at), np.append(data, np.uint8(0))
+    return n, np.where(n > 0, some[np.minimum(at[:-1], len(data))], 0), np.where(n > 0, some[at[1:] - 1], 0).astype(np.int64)
+
+
+def _joined(raw: list[bytes], wide) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each value's ids begin, how many they are, and all ids."""
+    n = np.fromiter(map(len, raw), np.int64, len(raw)) // np.dtype(wide).itemsize
+    return np.cumsum(n) - n, n, np.frombuffer(b"".join(raw), wide)
+
+
+def _gather(begins: np.ndarray, n: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """The stretches of flat, one after the other."""
+    source = np.repeat(begins - (np.cumsum(n) - n), n)
+    source += np.arange(len(source))
+    return flat[source]
+
+
 def encode_texts(texts: list[str], path: str):
-    """The ids of each text, without the end id."""
+    """The ids of each text, without the end id.
+
+    A text is cut before its spaces: the tokenizer begins a pre-token at any
+    space that no white space follows, and between a letter or digit and the
+    punctuation after it, so that each distinct stretch is encoded once and
+    its punctuation apart. Texts with other spaces, or with the opening of a
+    special token, go to the library whole.
+    """
     t, cache = P.tokenizer(path), _cache(path)
-    wide = np.uint16 if t.get_vocab_size() <= 65536 else np.uint32
-    for lo, hi in P.blocks(texts):
-        tokens = [P.BYTE_BPE(x) if P.plain(x) else None for x in texts[lo:hi]]
-        get = cache.table(set().union(*(x for x in tokens if x is not None))).__getitem__
-        for text, found in zip(texts[lo:hi], tokens):
-            if found is None:
-                yield np.array(t.encode(text, add_special_tokens=False).ids, wide)
+    wide = _wide(t)
+
+    def alone(text):
+        return np.array(t.encode(text, add_special_tokens=False).ids, wide)
+
+    for lo, hi in P.blocks(texts, 1 << 22):
+        cut = pc.split_pattern(pa.array(texts[lo:hi], pa.large_string()), " ")
+        bounds, found = cut.offsets.to_numpy(), cut.flatten().dictionary_encode()
+        code, distinct = found.indices.to_numpy(), found.dictionary
+        size, head, _ = _ends(distinct)
+        odd = np.array(pc.match_substring(distinct, P.SPECIAL).to_numpy(zero_copy_only=False)) | (size == 0)
+        for i in np.flatnonzero((head <= 32) | np.isin(head, (0xC2, 0xE1, 0xE2, 0xE3))).tolist():  # where all white space begins
+            x = distinct[i].as_py()
+            odd[i] |= x[:1].isspace() or x[:1] == "\u180e"
+        first = np.zeros(len(code), bool)
+        first[bounds[:-1]] = True
+        whole = np.logical_or.reduceat(odd[code] & ~first, bounds[:-1])
+        met = np.zeros(len(distinct), bool)
+        met[code[~(first | np.repeat(whole, np.diff(bounds)))]] = True
+        distinct = distinct.filter(pa.array(met))
+        size, _, final = _ends(distinct)
+
+        stems = pc.ascii_rtrim(distinct, characters=_TAIL)
+        kept, _, last = _ends(stems)
+        tail = np.where((last < 128) & ~_ALNUM[last], 0, size - kept)  # bytes of punctuation to encode apart
+        for i in np.flatnonzero((last >= 128) & (tail > 0)).tolist():
+            x = stems[i].as_py()[-1]
+            tail[i] = tail[i] if x <= "\u024f" and x.isalnum() else 0
+        stems = pc.if_else(pa.array(tail > 0), stems, distinct).dictionary_encode()
+        words = stems.dictionary.to_pylist()
+        ends = {chr(x): x for x in np.unique(final[tail == 1]).tolist()}  # one mark of punctuation by its byte
+        which = np.where(tail == 1, final, 0)
+        for i in np.flatnonzero(tail > 1).tolist():
+            which[i] = ends.setdefault(distinct[i].as_py()[-tail[i] :], 128 + len(ends))
+        number = np.zeros(256 + len(ends), np.int64)
+        number[list(ends.values())] = np.arange(1, len(ends) + 1)
+        which = len(words) + number[which]
+        begins, n, flat = _joined([*map(cache.table(set(words)).__getitem__, words), b"", *(alone(x).tobytes() for x in ends)], wide)
+        pairs = np.stack([stems.indices.to_numpy().astype(np.int64), which], axis=1).ravel()
+        flat = _gather(begins[pairs], n[pairs], flat)
+        lengths, places = np.zeros(len(met), np.int64), np.zeros(len(met), np.int64)
+        lengths[met] = n[pairs].reshape(-1, 2).sum(axis=1)
+        places[met] = np.cumsum(lengths[met]) - lengths[met]
+
+        for text, other, a, b in zip(texts[lo:hi], whole.tolist(), bounds[:-1].tolist(), bounds[1:].tolist()):
+            lead = text.partition(" ")[0]
+            if other or P.SPECIAL in lead:
+                yield alone(text)
             else:
-                yield np.frombuffer(b"".join(map(get, found)), wide)
+                part = code[a + 1 : b]
+                yield np.concatenate([alone(lead), _gather(places[part], lengths[part], flat)])
 
 
 def write_shards(docs: DataFrame, tokenizer_path: str, path: str, shard_tokens: int = SHARD_TOKENS, rounds: int = ROUNDS) -> None:

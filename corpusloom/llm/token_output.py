@@ -282,7 +282,7 @@ def encode_texts(texts: list[str], path: str):
             x = stems[i].as_py()[-1]
             tail[i] = tail[i] if x <= "\u024f" and x.isalnum() else 0
         stems = pc.if_else(pa.array(tail > 0), stems, distinct).dictionary_encode()
-        words = stems.dictionary.to_pylist()
+        words = stems.dictionary.to_numpy(zero_copy_only=False).tolist()
         ends = {chr(x): x for x in np.unique(final[tail == 1]).tolist()}  # one mark of punctuation by its byte
         which = np.where(tail == 1, final, 0)
         for i in np.flatnonzero(tail > 1).tolist():

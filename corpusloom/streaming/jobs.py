@@ -12,8 +12,11 @@ def dedup_stream(stream: DataFrame, key, time: str = "ts", late: str = "1 hour")
 
 
 def tallies(events: DataFrame, window: str = "1 day", late: str = "1 hour") -> DataFrame:
-    """Count and sum of values by kind of event and window; the same on a table and on a stream."""
-    if events.isStreaming:
+    """Count and sum of values by kind of event and window; the same on a table and on a stream.
+
+    Times without a zone take no watermark, so such a stream is for complete output.
+    """
+    if events.isStreaming and events.schema["ts"].dataType.typeName() == "timestamp":
         events = events.withWatermark("ts", late)
     return events.groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 

@@ -2,8 +2,9 @@
 
 Documents in ascending order of doc_id (range partitions, each sorted) are
 encoded and cut into shards of whole documents. In each shard frequent pairs
-of ids are replaced by nonterminals, round after round; pairs never reach
-across a document's end. A shard is written with its rules, the number of ids
+of ids are replaced by nonterminals, round after round, until no pair has
+LEAST_USES places or the symbols are used up; pairs never reach across a
+document's end. A shard is written with its rules, the number of ids
 that each rule expands to, and the place of each document in the sequence, so
 that any document, or any id by its place, is decoded without the rest.
 
@@ -40,60 +41,72 @@ from .common import documents, scratch
 
 END = 2
 SHARD_TOKENS = 1 << 20
-ROUNDS = 3
 RULES_A_ROUND = 2048
 LEAST_USES = 4
 _MAGIC = b"RPAIR001"
 _BUCKETS = 1 << 18
 
 
-def compress(ids: np.ndarray, vocab: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """The sequence with frequent pairs replaced, and the rules (pairs of symbols). No left symbol of a pair ends with END."""
+def frequent(pair: np.ndarray, shift: int, closed: np.ndarray, room: int) -> np.ndarray:
+    """Up to room of the pairs that have LEAST_USES places or more that do not overlap, the most frequent first."""
+    kind = pair.dtype.type
+    order = np.sort(pair)
+    begins = np.flatnonzero(np.append(True, order[1:] != order[:-1]))
+    count = np.diff(np.append(begins, len(order)))
+    often = np.flatnonzero(count >= LEAST_USES)
+    found, count = order[begins[often]], count[often]
+    left, right = found >> kind(shift), found & ((kind(1) << kind(shift)) - kind(1))
+    own = np.flatnonzero(left == right)  # a pair of one symbol overlaps itself
+    if len(own):
+        apart, n = np.unique(pair[every_other(np.flatnonzero(pair >> kind(shift) == pair & ((kind(1) << kind(shift)) - kind(1))))], return_counts=True)
+        count[own] = n[np.searchsorted(apart, found[own])]
+    ok = (count >= LEAST_USES) & ~closed[left.astype(np.int64)]
+    found, count = found[ok], count[ok]
+    if len(found) > room:
+        at = np.argpartition(count, -room)[-room:]
+        found, count = found[at], count[at]
+    return found[np.argsort(-count, kind="stable")]
+
+
+def every_other(at: np.ndarray) -> np.ndarray:
+    """Of overlapping places every other one, from the left."""
+    new = np.append(True, np.diff(at) > 1)
+    first = np.flatnonzero(new)
+    return at[(np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))) % 2 == 0]
+
+
+def compress(ids: np.ndarray, vocab: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sequence with frequent pairs replaced until none is left or the symbols are used up, and the rules (pairs of symbols). No left symbol of a pair ends with END."""
     small = vocab < 65536  # then no symbol takes more than 16 bits, and a pair fits 32
     limit, shift, kind = (65535 - vocab, 16, np.uint32) if small else (1 << 16, 32, np.uint64)
     spread, down = (kind(0x9E3779B1), kind(14)) if small else (kind(0x9E3779B97F4A7C15), kind(46))
     seq, rules = ids.astype(kind), np.zeros((0, 2), np.uint32)
     closed = np.zeros(vocab + limit, bool)  # symbols whose last id is END
     closed[END] = True
-    for _ in range(rounds):
-        room = min(RULES_A_ROUND, limit - len(rules))
-        if len(seq) < 2 or room <= 0:
-            break
+    while len(seq) > 1 and len(rules) < limit:
         pair = seq[:-1] << kind(shift) | seq[1:]
-        bucket = (pair * spread >> down).astype(np.int64)
-        count = np.bincount(bucket, minlength=_BUCKETS)
-        heavy = np.argpartition(count, -room)[-room:]
-        heavy = heavy[count[heavy] >= LEAST_USES]
-        # each bucket stands for the pair that is met last in it
-        last = np.zeros(_BUCKETS, kind)
-        last[bucket] = pair
-        heavy = heavy[~closed[(last[heavy] >> kind(shift)).astype(np.int64)]]
-        chosen_pair = np.full(_BUCKETS, ~kind(0), kind)
-        chosen_pair[heavy] = last[heavy]
-        at = np.flatnonzero(chosen_pair[bucket] == pair)
-        if not len(at):
-            break
-        # of overlapping places every other one, from the left
-        new = np.append(True, np.diff(at) > 1)
-        first = np.flatnonzero(new)
-        at = at[(np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))) % 2 == 0]
-        uses = np.bincount(bucket[at], minlength=_BUCKETS)
-        chosen = np.flatnonzero(uses >= LEAST_USES)
-        if not len(chosen):
+        heavy = frequent(pair, shift, closed, min(RULES_A_ROUND, limit - len(rules)))
+        if not len(heavy):
             break
+        bucket = (pair * spread >> down).astype(np.int64)
+        for some in (heavy[::-1], heavy[:1]):  # where the places of many leave none enough, the first pair alone
+            chosen_pair = np.full(_BUCKETS, ~kind(0), kind)
+            chosen_pair[(some * spread >> down).astype(np.int64)] = some  # one pair a bucket, the most frequent
+            at = every_other(np.flatnonzero(chosen_pair[bucket] == pair))
+            uses = np.bincount(bucket[at], minlength=_BUCKETS)
+            chosen = np.flatnonzero(uses >= LEAST_USES)
+            if len(chosen):
+                break
         number = np.zeros(_BUCKETS, kind)
         number[chosen] = vocab + len(rules) + np.arange(len(chosen))
         at = at[number[bucket[at]] > 0]
         right = (chosen_pair[chosen] & ((kind(1) << kind(shift)) - kind(1))).astype(np.int64)
         closed[vocab + len(rules) + np.arange(len(chosen))] = closed[right]
         rules = np.concatenate([rules, np.stack([(chosen_pair[chosen] >> kind(shift)).astype(np.int64), right], axis=1).astype(np.uint32)])
-        before = len(seq)
-        keep = np.ones(before, bool)
+        keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq[at] = number[bucket[at]]
         seq = seq[keep]
-        if before - len(seq) < before // 200:
-            break
     return seq, rules
 
 
@@ -140,9 +153,9 @@ def expand(seq: np.ndarray, symbols: tuple[np.ndarray, np.ndarray, np.ndarray])
     return flat[source]
 
 
-def pack(doc_ids: list, ids: list[np.ndarray], vocab: int, rounds: int = ROUNDS) -> bytes:
+def pack(doc_ids: list, ids: list[np.ndarray], vocab: int) -> bytes:
     """A shard of documents, each with its end id."""
-    seq, rules = compress(np.concatenate(ids), vocab, rounds)
+    seq, rules = compress(np.concatenate(ids), vocab)
     lengths = expansion_lengths(rules, vocab)
     size = np.ones(len(seq), np.int64)
     size[seq >= vocab] = lengths[seq[seq >= vocab].astype(np.int64) - vocab]
@@ -306,7 +319,7 @@ def encode_texts(texts: list[str], path: str):
                 yield np.concatenate([alone(lead), _gather(places[part], lengths[part], flat)])
 
 
-def write_shards(docs: DataFrame, tokenizer_path: str, path: str, shard_tokens: int = SHARD_TOKENS, rounds: int = ROUNDS) -> None:
+def write_shards(docs: DataFrame, tokenizer_path: str, path: str, shard_tokens: int = SHARD_TOKENS) -> None:
     """Writes the shards of docs as a Parquet table."""
 
     def encode(batches):
@@ -314,7 +327,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, path: str, shard_tokens:
         doc_ids, ids, size, before, part = [], [], 0, 0, 0
 
         def shard():
-            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "before": pa.array([before]), "n_tokens": pa.array([size]), "shard": pa.array([pack(doc_ids, ids, vocab, rounds)], pa.binary())})
+            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "before": pa.array([before]), "n_tokens": pa.array([size]), "shard": pa.array([pack(doc_ids, ids, vocab)], pa.binary())})
 
         for batch in batches:
             part = batch.column("part")[0].as_py() if batch.num_rows else part
@@ -354,8 +367,8 @@ def read_shards(spark, path: str) -> DataFrame:
     return shards.select("part", "before", "shard").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def token_output(docs: DataFrame, tokenizer_path: str, shard_tokens: int = SHARD_TOKENS, rounds: int = ROUNDS) -> DataFrame:
+def token_output(docs: DataFrame, tokenizer_path: str, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Writes the shards and reads them back: doc_id, start, n_tokens, ids_crc32, one row for each row of docs."""
     path = scratch(docs.sparkSession, "token-shards")
-    write_shards(docs, tokenizer_path, path, shard_tokens, rounds)
+    write_shards(docs, tokenizer_path, path, shard_tokens)
     return read_shards(docs.sparkSession, path)

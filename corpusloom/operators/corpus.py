@@ -44,18 +44,22 @@ def similar_pairs(df: DataFrame, threshold: float = 0.85, size: int = 5) -> Data
     return checked.select("a", "b", X.jaccard(F.col("ga"), F.col("gb")).alias("jaccard")).where(F.col("jaccard") >= threshold)
 
 
-def greedy_keep(df: DataFrame, pairs: DataFrame, rounds: int = 100) -> DataFrame:
+def greedy_keep(df: DataFrame, pairs: DataFrame, small: int = 1 << 16) -> DataFrame:
     """Rows that stay when, in order of id, a row goes if an earlier row that stayed is similar to it.
 
-    Each round decides every row whose earlier similar rows are decided; the
-    longest chain of those bounds the number of rounds. Rounds are written to
-    the checkpoint folder.
+    Each round decides every row whose earlier similar rows are decided, the
+    smallest undecided id at least, until no pair is left. Up to small pairs
+    are settled on the driver in one go, so that a long chain does not take a
+    round for each two of its links. Rounds are written to the checkpoint folder.
     """
     spark, path = df.sparkSession, _shared(df.sparkSession)
     left = _written(spark, pairs.select("a", "b"), path)
     gone = None
-    for _ in range(rounds):
-        if left.isEmpty():
+    while n := left.count():
+        if n <= small:
+            goes = _settled([tuple(r) for r in left.collect()])
+            goes = spark.createDataFrame([(b,) for b in goes], left.select("b").schema)
+            gone = goes if gone is None else gone.union(goes)
             break
         waiting = left.select(F.col("b").alias("a")).distinct()
         stays = left.select("a").distinct().join(waiting, "a", "left_anti")
@@ -67,6 +71,15 @@ def greedy_keep(df: DataFrame, pairs: DataFrame, rounds: int = 100) -> DataFrame
     return df if gone is None else df.join(gone.select(F.col("b").alias("id")), "id", "left_anti")
 
 
+def _settled(pairs: list) -> list:
+    """The later rows that go, of pairs a < b."""
+    gone = set()
+    for a, b in sorted(pairs, key=lambda p: (p[1], p[0])):
+        if a not in gone:
+            gone.add(b)
+    return sorted(gone)
+
+
 def _shared(spark) -> str:
     import tempfile
 

@@ -1,7 +1,9 @@
-"""What several operators share: row keys, the shared folder, output frames."""
+"""What several operators share: row keys, tasks over Arrow batches, the shared folder."""
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
 
@@ -13,18 +15,49 @@ def documents(docs: DataFrame, *extra: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *extra)
 
 
-def keyed(docs: DataFrame, *more: str) -> DataFrame:
-    """Adds did (doc_id, 0 for null) and text_key; rows that the two can't tell apart have the same doc_id, text and further columns named."""
+def row_keys(*more: str) -> dict:
+    """did (doc_id, 0 for null) and text_key; rows that the two can't tell apart have the same doc_id, text and further columns named."""
     parts = [x for c in ("text", "doc_id", *more) for x in (F.col(c), F.col(c).isNull())]
-    return docs.withColumns({"did": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "text_key": F.xxhash64(*parts)})
+    return {"did": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "text_key": F.xxhash64(*parts)}
+
+
+def keyed(docs: DataFrame, *more: str) -> DataFrame:
+    """Adds the row keys to columns that the operator has chosen itself."""
+    return docs.withColumns(row_keys(*more))
+
+
+def nested(docs: DataFrame, *more: str) -> DataFrame:
+    """row (all of the user's columns in one struct, so that no name clashes), did, text_key."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(k) for k, c in row_keys(*more).items()])
+
+
+def in_tasks(df: DataFrame, run, schema) -> DataFrame:
+    """mapInArrow; when a task ends, its worker gives free memory back. Spark keeps idle workers, whose pools would add up from stage to stage."""
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(task, schema)
+
+
+def give_back() -> None:
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path is None:
-        path = spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share: the session must name it, unless both are one process."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if path is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)

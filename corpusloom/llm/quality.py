@@ -7,9 +7,9 @@ model is fitted to them by dual coordinate descent, and a logistic curve over
 its margins gives the score.
 
 Labels are learnt from rows whose crc32(doc_id) mod 3 is not 1. Of those at
-most about ``MOST_ROWS`` are taken, by a hash of the doc_id, and their features
-go to the driver for the fit; the bound keeps that data's size the same for any
-corpus. All documents are scored, where they lie, with a model of a fixed size.
+most about ``MOST_ROWS`` are taken, by a hash of the doc_id, leaving out texts
+of more than ``MOST_FEATURES`` features, and their features go to the driver
+for the fit; the bounds keep that data's size the same for any corpus. All documents are scored, where they lie, with a model of a fixed size.
 doc_id decides which rows are learnt from; it, source, lang and labels are
 never inputs of a score.
 
@@ -28,22 +28,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import words as W
-from .common import documents
+from .common import documents, in_tasks
 
 BUCKETS = 1 << 18
 MOST_ROWS = 6000
+MOST_FEATURES = 1 << 15
 EPOCHS = 15
 C = 1.0
 FOLDS, HELD_OUT = 3, 1
 
 
 def features(column: pa.Array):
-    """(lo, hi, doc, feature): for each chunk the distinct features of its documents, in order."""
-    for c in W.chunks(column, W.MIXED, W.LOWER):
-        h = c.hashes()
-        two = W.grams(h, 2)[c.left >= 2]
-        doc = np.concatenate([c.doc, c.doc[c.left >= 2]])
-        key = np.unique(doc * BUCKETS + (np.concatenate([h, two]) >> W.U(46)).astype(np.int64))
+    """(lo, hi, doc, feature): the distinct features of documents lo:hi, in order; a long document's pieces are gathered."""
+    held = np.zeros(0, np.int64)
+    for c in W.chunks(column, W.MIXED, W.LOWER, 1):
+        h, two = c.hashes(), c.begins(2)
+        doc = np.concatenate([c.doc[: c.mine], c.doc[two]])
+        key = np.unique(doc * BUCKETS + (np.concatenate([h[: c.mine], W.grams(h, 2)[two]]) >> W.U(46)).astype(np.int64))
+        if not c.whole:
+            held = np.union1d(held, key)
+            if not c.final:
+                continue
+            key, held = held, held[:0]
         yield c.lo, c.hi, key // BUCKETS, key % BUCKETS
 
 
@@ -58,7 +64,8 @@ def _example_rows(batches):
             cuts = np.searchsorted(doc, np.arange(hi - lo + 1))
             for d in range(hi - lo):
                 rows[lo + d] = feature[cuts[d] : cuts[d + 1]].astype(np.uint32).tobytes()
-        yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(rows, pa.binary())], ["label", "features"])
+        out = pa.RecordBatch.from_arrays([batch.column("label"), pa.array(rows, pa.binary())], ["label", "features"])
+        yield out.filter(pa.array([len(x) <= 4 * MOST_FEATURES for x in rows], pa.bool_()))
 
 
 def fit(x: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, c: float = C, seed: int = 0) -> tuple[np.ndarray, float, float, float]:
@@ -109,7 +116,8 @@ def learn(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS):
         return 0.5
     share = min(1.0, most_rows / n)
     some = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    rows = documents(docs).join(F.broadcast(some), "doc_id").select("label", "text").mapInArrow(_example_rows, "label int, features binary").collect()
+    rows = documents(docs).join(F.broadcast(some), "doc_id").select("label", "text")  # some: about most_rows rows
+    rows = in_tasks(rows, _example_rows, "label int, features binary").collect()
     rows = sorted((int(r["label"]), bytes(r["features"])) for r in rows)
     y = np.array([1 if label else -1 for label, _ in rows])
     if len(set(y.tolist())) < 2:
@@ -144,7 +152,7 @@ def classify(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) ->
             s = score(W.text_column(batch))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s)], ["doc_id", "score"])
 
-    scored = documents(docs).mapInArrow(run, "doc_id long, score double")
+    scored = in_tasks(documents(docs), run, "doc_id long, score double")
     return scored.select("doc_id", (fold() == HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -156,4 +164,4 @@ def good_documents(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROW
         for batch in batches:
             yield batch.filter(pa.array(score(W.text_column(batch)) >= 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_tasks(docs, run, docs.schema)

@@ -30,7 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import documents, keyed, stored
+from .common import documents, in_tasks, stored
 from .words import U
 
 SHINGLE = 3
@@ -38,6 +38,7 @@ DISTANCE = 3
 SEED = 42
 SEGMENTS = 16
 DENSE = 1024
+_SOME = 1 << 16
 _LANES = U(0x0101010101010101)
 
 
@@ -49,9 +50,11 @@ def shingle_hashes(text: str, size: int = SHINGLE) -> np.ndarray:
     cuts = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
     if len(cuts) < size:
         return np.array([xxhash.xxh64_intdigest(joined, SEED)], U)
-    first, last = [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(joined)]
-    digest = xxhash.xxh64_intdigest
-    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(first, last[size - 1 :])), U, len(cuts) + 2 - size)
+    first, last = np.append(0, cuts + 1), np.append(cuts, len(joined))[size - 1 :]
+    digest, out = xxhash.xxh64_intdigest, np.empty(len(last), U)
+    for i in range(0, len(last), _SOME):
+        out[i : i + _SOME] = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(first[i : i + _SOME].tolist(), last[i : i + _SOME].tolist())), U)
+    return out
 
 
 def fingerprint(text: str, size: int = SHINGLE) -> int:
@@ -78,7 +81,7 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
             fp = np.array([fingerprint(t or "", size) for t in batch.column("text").to_pylist()], U)
             yield batch.select([f.name for f in rest]).append_column("fp", pa.array(fp.view(np.int64)))
 
-    return docs.mapInArrow(run, T.StructType([*rest, T.StructField("fp", T.LongType())]))
+    return in_tasks(docs, run, T.StructType([*rest, T.StructField("fp", T.LongType())]))
 
 
 def _keys(fp: np.ndarray) -> np.ndarray:
@@ -168,17 +171,28 @@ def links(distinct: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(_keys(fp).ravel()), pa.array(np.repeat(fp, 2 * SEGMENTS).view(np.int64))], ["key", "fp"])
 
     def meet(batches):
-        key, fp = np.zeros(0, np.int64), np.zeros(0, U)
-        for batch in batches:  # sorted by key; the last key of a batch may go on in the next
-            key, fp = np.append(key, batch.column("key").to_numpy()), np.append(fp, batch.column("fp").to_numpy().view(U))
-            if len(key) and key[0] != key[-1]:
-                cut = int(np.searchsorted(key, key[-1]))
-                yield from _edges(key[:cut], fp[:cut])
-                key, fp = key[cut:], fp[cut:]
-        yield from _edges(key, fp)
-
-    dealt = distinct.mapInArrow(deal, "key long, fp long")
-    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long")
+        for key, fp in whole_keys(batches):
+            yield from _edges(key, fp.view(U))
+
+    dealt = in_tasks(distinct, deal, "key long, fp long")
+    return in_tasks(dealt.repartition("key").sortWithinPartitions("key"), meet, "a long, b long")
+
+
+def whole_keys(batches):
+    """The columns of batches sorted by the first, cut where it changes: the last key of a batch may go on in the next."""
+    held: list = []
+    for batch in batches:
+        now = [batch.column(k).to_numpy() for k in range(batch.num_columns)]
+        if not len(now[0]):
+            continue
+        if held and held[0][0][0] == now[0][-1]:  # still the same key
+            held.append(now)
+            continue
+        cut = int(np.searchsorted(now[0], now[0][-1]))
+        yield [np.concatenate(x) for x in zip(*held, [x[:cut] for x in now])]
+        held = [[x[cut:] for x in now]]
+    if held:
+        yield [np.concatenate(x) for x in zip(*held)]
 
 
 def _edges(key: np.ndarray, fp: np.ndarray):
@@ -231,13 +245,3 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     least = labelled(fps).join(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "fp")
     by_fp = least.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return fps.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def representatives(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """One row of docs, with all its columns, for each component: that of the smallest doc_id (null last)."""
-    rows = keyed(docs)
-    fps = stored(fingerprints(rows.select("did", "text_key", F.col("doc_id").isNull().alias("last"), F.coalesce("text", F.lit("")).alias("text")), size), "fingerprints")
-    rank = F.struct("last", "did", "text_key")
-    least = labelled(fps).join(fps.groupBy("fp").agg(F.min(rank).alias("least")), "fp")
-    kept = least.groupBy("root").agg(F.min("least").alias("k")).select("k.did", "k.text_key")
-    return rows.join(kept, ["did", "text_key"], "left_semi").dropDuplicates(["did", "text_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -37,12 +37,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from . import pretokens as P
-from .common import documents, scratch
+from .common import documents, in_tasks, scratch
 
 END = 2
 SHARD_TOKENS = 1 << 20
 RULES_A_ROUND = 2048
 LEAST_USES = 4
+CACHED = 150_000
 _MAGIC = b"RPAIR001"
 _BUCKETS = 1 << 18
 
@@ -228,7 +229,7 @@ def _cache(path: str) -> P.Cache:
             raw, cuts = ids.tobytes(), (cuts * ids.itemsize).tolist()
             return {x: raw[a:b] for x, a, b in zip(stretches, cuts, cuts[1:])}
 
-        _caches[path] = P.Cache(encode)
+        _caches[path] = P.Cache(encode, most=CACHED)
     return _caches[path]
 
 
@@ -341,9 +342,10 @@ def write_shards(docs: DataFrame, tokenizer_path: str, path: str, shard_tokens:
                 size += len(found)
         if ids:
             yield shard()
+        _caches.clear()  # idle workers would keep them from stage to stage
 
     ordered = documents(docs).repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    ordered.withColumn("part", F.spark_partition_id()).mapInArrow(encode, "part int, before long, n_tokens long, shard binary").write.parquet(path)
+    in_tasks(ordered.withColumn("part", F.spark_partition_id()), encode, "part int, before long, n_tokens long, shard binary").write.parquet(path)
 
 
 def read_shards(spark, path: str) -> DataFrame:
@@ -364,7 +366,7 @@ def read_shards(spark, path: str) -> DataFrame:
                 crcs = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(shard.starts[:-1].tolist(), shard.starts[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids, pa.int64()), pa.array(shard.starts[:-1] + before + sent.value[part]), pa.array(n), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return shards.select("part", "before", "shard").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return in_tasks(shards.select("part", "before", "shard"), decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_output(docs: DataFrame, tokenizer_path: str, shard_tokens: int = SHARD_TOKENS) -> DataFrame:

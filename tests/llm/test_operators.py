@@ -97,7 +97,7 @@ def test_decontamination(spark, docs, texts, empty):
     items = [(1, texts[7]), (2, "two words"), (3, None), (10, texts[5]), (10, "alpha"), (None, texts[14])]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     names = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
-    for block in (40, 1 << 20):
+    for block in (12_000, 1 << 20):
         assert collected(decontaminate.decontaminate(docs, benchmark, block), *names) == sorted(brute.contamination(pairs(docs), items), key=repr)
     assert decontaminate.decontaminate(empty, benchmark).count() == 0
     assert decontaminate.decontaminate(docs, benchmark.limit(0)).where("contaminated").count() == 0
@@ -156,8 +156,6 @@ def test_simhash(docs, empty):
     expected = sorted(((d, f"{f:016x}", least[c]) for (d, _), f, c in zip(rows, fps, comp)), key=repr)
     assert collected(simhash.near_duplicates(docs), "doc_id", "fingerprint", "component_id") == expected
     assert simhash.near_duplicates(empty).count() == 0
-    kept = simhash.representatives(docs)
-    assert kept.count() == len(set(comp)) and kept.columns == docs.columns
 
 
 @pytest.mark.parametrize("dense", [4, 1024])
@@ -211,23 +209,64 @@ def test_substrings(docs, empty, monkeypatch, block):
     assert substrings.remove_repeats(empty).count() == 0
 
 
-def test_mixing(docs, empty):
-    got = mixing.mix(docs).collect()
-    assert len(got) == docs.count() and all(0 <= r["taken"] <= 3 * r["size"] for r in got)
+def source_facts(docs):
+    """Size and target of each source, the plain way: share out by weight, cap, share again."""
     sizes = Counter()
     for r in docs.collect():
         sizes[r["source"]] += len(re.findall(brute.SPACED, r["text"] or ""))
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
-    goal = dict(zip(order, mixing.targets([sizes[s] for s in order], [(5, 2, 1)[i % 3] for i in range(len(order))])))
-    assert abs(sum(goal.values()) - sum(sizes.values())) < 1e-6 and all(goal[s] <= 3 * sizes[s] + 1e-9 for s in order)
-    by_goal = Counter()
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    full = set()
+    while True:
+        left, w = sum(sizes.values()) - sum(3 * sizes[s] for s in full), sum(weight[s] for s in order if s not in full)
+        more = {s for s in order if s not in full and left / w * weight[s] >= 3 * sizes[s]}
+        if not more:
+            return {s: (sizes[s], 3 * sizes[s] if s in full else left / w * weight[s]) for s in order}
+        full |= more
+
+
+@pytest.mark.parametrize("block", [7, mixing.BLOCK_WORDS])
+def test_mixing(docs, empty, block):
+    got = mixing.mix(docs, block).collect()
+    assert len(got) == docs.count() and all(0 <= r["taken"] <= 3 * r["size"] for r in got)
+    facts, source = source_facts(docs), {}
+    for r in docs.collect():
+        source.setdefault((r["doc_id"], len(re.findall(brute.SPACED, r["text"] or ""))), set()).add(r["source"])
+    taken = Counter()
     for r in got:
-        by_goal[r["target"]] += r["taken"]
-    assert all(abs(by_goal[g] - g) <= 2 * mixing.BLOCK_WORDS + 0.01 * g for g in goal.values())
-    assert sorted(map(repr, got)) == sorted(map(repr, mixing.mix(docs.repartition(5)).collect()))
-    assert mixing.mix(empty).count() == 0
-    mixed = mixing.mixed_documents(docs)
+        own = [s for s in source[r["doc_id"], r["size"]] if facts[s][0] == r["source_size"]]
+        assert own and r["target"] == pytest.approx(facts[own[0]][1])
+        taken[own[0]] += r["taken"]
+    assert all(abs(taken[s] - goal) <= block + 3 for s, (_, goal) in facts.items())
+    assert sorted(map(repr, got)) == sorted(map(repr, mixing.mix(docs.repartition(5), block).collect()))
+    assert mixing.mix(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
+    mixed = mixing.mixed_documents(docs, block)
     assert mixed.columns == docs.columns and sum(len(re.findall(brute.SPACED, r["text"])) for r in mixed.collect()) == sum(r["taken"] for r in got)
+    whole = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in mixed.where("doc_id IS NOT NULL").collect():  # what is taken are stretches of the document
+        words = whole[r["doc_id"]].split()
+        assert all(line in " ".join(words) for line in (" ".join(x.split()) for x in r["text"].split("\n")) if len(words) < 200)
+
+
+def test_mixing_of_shards(spark):
+    """The shares of a shard are those of a plain walk over its blocks."""
+    import pandas as pd
+
+    group = pd.DataFrame({"did": range(40), "text_key": range(40), "size": [(7 * i) % 23 for i in range(40)], "copies": [1] * 40, "place": [(i * 37) % 101 for i in range(40)]})
+    total = int(group["size"].sum())
+    for words in (0, 1, 50, total, total + 77, 3 * total):
+        out = mixing._shares(8)((3, 5), group.assign(words=words))
+        size = dict(zip(group["did"], group["size"]))
+        share = {r.did: r.rounds * size[r.did] + sum(p["b"] - p["a"] for p in r.parts) for r in out.itertuples()}
+        assert sum(share.values()) == words and all(words // total * size[d] <= n <= (words // total + 1) * size[d] for d, n in share.items())
+        assert all(0 <= p["a"] < p["b"] <= size[r.did] for r in out.itertuples() for p in r.parts)
+
+
+def test_mixing_of_few_words_and_likes(spark):
+    few = spark.createDataFrame([(1, "a b c d", "x"), (2, "e f g h", "y")], "doc_id long, text string, source string")
+    assert sum(r["taken"] for r in mixing.mix(few).collect()) == 8 and mixing.mixed_documents(few).count() == 2
+    alike = spark.createDataFrame([(1, "a b c d e f g", "x")] * 5 + [(2, "p q r", "x"), (3, "k " * 40, "y")], "doc_id long, text string, source string")
+    assert len({r["taken"] for r in mixing.mix(alike).where("doc_id = 1").collect()}) == 1
 
 
 def test_sainte_lague_and_targets():

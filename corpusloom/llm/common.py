@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -74,3 +75,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_old_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of what has been stored meanwhile: it does so when the driver collects garbage, which may not happen for long."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+BITMAP_BITS = 1 << 23
+
+
+def perhaps_in(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows whose key (a hash) is one of keys, and some others: by a bitmap of one size for all inputs, 1 MB, so that most rows need not be sent anywhere to be found unwanted."""
+    bit = F.pmod(F.col(key), F.lit(BITMAP_BITS))
+    bits = keys.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    place = F.bitmap_bit_position(bit)
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    met = rows.join(F.broadcast(bits), F.bitmap_bucket_number(bit) == F.col("bucket"))
+    return met.where(F.call_function("shiftright", byte, (place % 8).cast("int")).bitwiseAND(F.lit(1)) == 1).select(*rows.columns)

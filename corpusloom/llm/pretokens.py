@@ -2,8 +2,10 @@
 
 A pre-token is encoded the same alone as within its text. The pattern below
 is the tokenizer's own, with its letter and number classes written out for
-ASCII and Latin letters below U+0250 (fixed values). A text with any other
-character, or with the opening of a special token, goes to the library whole.
+ASCII, Latin below U+0250, Greek (without capital sigma, whose small form
+depends on its place), Cyrillic, kana, CJK and Hangul, and common punctuation
+and symbols allowed (fixed values). A text with any other character, or with
+the opening of a special token, goes to the library whole.
 """
 
 from __future__ import annotations
@@ -12,10 +14,13 @@ import re
 
 import numpy as np
 
-_L = "A-Za-zªµºÀ-ÖØ-öø-įı-ɏ"
+_OTHER_LETTERS = "\u0391-\u03a1\u03a4-\u03a9\u03b1-\u03c9\u0400-\u0481\u048a-\u04ff\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
+_L = "A-Za-zªµºÀ-ÖØ-öø-įı-ɏ" + _OTHER_LETTERS
+#: Dashes, quotes, ellipsis, per mille, currencies, arrows, CJK full stops and brackets, dingbats, emoji of the first blocks.
+_MARKS = "\u2010-\u2027\u2030-\u205e\u20a0-\u20bf\u2190-\u21ff\u3001-\u3003\u3008-\u3011\u2600-\u26ff\U0001f300-\U0001f5ff\U0001f600-\U0001f64f"
 _N = "0-9²³¹¼-¾"
 _S = " \t\n\r"
-PLAIN = re.compile(f"[{_S}\\x21-\\x7e¡-įı-ɏ]*").fullmatch
+PLAIN = re.compile(f"[{_S}\\x21-\\x7e¡-įı-ɏ{_OTHER_LETTERS}{_MARKS}]*").fullmatch
 WORD_BPE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+").findall
 SPECIAL = "<|"
 

@@ -66,6 +66,23 @@ def test_token_counts(docs, empty):
     assert token_counts.count_tokens(empty, path).count() == 0
 
 
+def test_pretokens_of_other_scripts():
+    """Texts that pass for plain have the library's tokens, pre-token by pre-token."""
+    from tokenizers import Tokenizer
+
+    from corpusloom.llm import pretokens as P
+
+    t, rng = Tokenizer.from_file(vocabulary("word_bpe_49k.json")), random.Random(9)
+    some = [*"abzABZ019 .,'!?\n", *"éßØıłŽ", *"αβΩώϊΆ", *"яЖйЁѣҐ", *"漢字日語", *"ひらカタ", *"한국어", *"–—‘’“”…€→、。「」☃", "\U0001f600", "\U0001f680"]
+    plain = 0
+    for _ in range(1500):
+        x = "".join(rng.choice(some) for _ in range(rng.randint(1, 25)))
+        if P.plain(x):
+            plain += 1
+            assert sum(len(t.encode(w, add_special_tokens=False)) for w in P.WORD_BPE(x.lower())) == len(t.encode(x, add_special_tokens=False)), x
+    assert plain > 500
+
+
 def test_token_output(docs, empty):
     path = vocabulary("byte_bpe_50k.json")
     from tokenizers import Tokenizer
@@ -129,6 +146,26 @@ def test_pii_labelers_agree_after_training():
     assert pii._features("phone", "++00+0", 5) @ w > 0 > pii._features("phone", "-0-00-", 5) @ w
 
 
+def test_pii_added_spans(spark):
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    texts = [f'the token = "{key[i:]}{key[:i]}" here {i}' for i in range(20)] + ["call 212-555-0143 now", "Dear John Miller, thanks", "ssn 123-45-6789", "The Monday Morning of long-hyphenated-compound-words", "plain words only", "see commit " + key]
+    rows = {r["doc_id"]: r for r in pii.find_pii(spark.createDataFrame(list(enumerate(texts)), COLUMNS)).collect()}
+    assert all(rows[i]["spans"] == f"secret:13:53" and rows[i]["n_spans"] == 1 for i in range(20))
+    assert rows[24]["spans"] == "" and rows[23]["spans"] == ""
+
+
+def test_pii_reliabilities_against_enumeration():
+    """One round of expectation-maximisation, the posteriors by summing over both truths."""
+    patterns = [("++00+0", 30.0), ("-0-00-", 20.0), ("0+0000", 15.0), ("000000", 40.0)]
+    prior, theta = pii.reliabilities(patterns, 3)
+    v = np.array([["+-0".index(c) for c in p] for p, _ in patterns])
+    got = pii.posterior(v, prior, theta)
+    for row, q in zip(v, got):
+        yes, no = prior * np.prod([theta[j, 1, k] for j, k in enumerate(row)]), (1 - prior) * np.prod([theta[j, 0, k] for j, k in enumerate(row)])
+        assert q == pytest.approx(yes / (yes + no))
+    assert got[0] > 0.5 > got[1] and np.allclose(theta.sum(axis=2), 1)
+
+
 def test_licenses(docs, empty):
     expected = []
     for d, x in pairs(docs):

@@ -1,4 +1,7 @@
-"""Label taxonomy, places, dialect markers, sound rules and cleaning tables (public linguistic facts)."""
+"""Label taxonomy, places, dialect markers, sound rules and cleaning tables.
+
+Results depend on these words, patterns and numbers, so they are required to be what they are.
+"""
 
 from __future__ import annotations
 
@@ -28,20 +31,34 @@ VOIVODESHIP_PLACES = {
 }
 
 MARKERS = {
-    "podhale": "kaj ka hej baca juhas holny ciupaga gazda watra dutki".split(),
-    "silesia": "godać godo jo żech kaj bajtel fana richtig gryfny frelka pieron niy".split(),
-    "kashubia": "jo kaszëbë chëcz białka brutka wiedno".split(),
-    "kurpie": "psiwo psies jesce cego kobzieta bziały".split(),
-    "greater_poland": "tej wuchta szneka pyry bimba gzik bejmy blubrać".split(),
-    "masovia": "chojak sośnia gula latoś".split(),
-}
+    "podhale": [
+        "kaj", "ka", "hej", "baca", "juhas", "holny", "ciupaga", "gazda", "watra", "dutki",
+    ],
+    "silesia": [
+        "godać", "godo", "jo", "żech", "kaj", "bajtel", "fana", "richtig", "gryfny", "frelka", "pieron", "niy",
+    ],
+    "kashubia": [
+        "jo", "kaszëbë", "chëcz", "białka", "brutka", "wiedno",
+    ],
+    "kurpie": [
+        "psiwo", "psies", "jesce", "cego", "kobzieta", "bziały",
+    ],
+    "greater_poland": [
+        "tej", "wuchta", "szneka", "pyry", "bimba", "gzik", "bejmy", "blubrać",
+    ],
+    "masovia": [
+        "chojak", "sośnia", "gula", "latoś",
+    ],
+}
 #: Standard words with a soft-labial cluster.
-SOFT_LABIAL_STOP = (
-    "psi psia psie psią psiej psiego psiemu psim psich psimi psina psisko psiarnia psikus bzik bzika bzie wziąć wziął wzięła wzięło wzięli wzięły "
-    "wzięty wzięta wzięte wziętą wzięci wzięcie wziąwszy wziernik mnie mniej mniejszy mniejsza mniejsze mniejszą mniejszych mniejszym mniejszości "
-    "mniejszość mnich mnicha mnisi mniszka mniemanie mniemać pomnik pomnika pomniki pomników wspomnienie wspomnień wspomnieć przypomnieć "
-    "przypomnienie upomnienie zapomnieć zapomnienie ziemniak ziemniaki ziemniaka ziemniaków ziemniakami ziemniakach ziemniakiem ziemniakom"
-).split()
+SOFT_LABIAL_STOP = [
+    "psi", "psia", "psie", "psią", "psiej", "psiego", "psiemu", "psim", "psich", "psimi", "psina", "psisko", "psiarnia", "psikus", "bzik",
+    "bzika", "bzie", "wziąć", "wziął", "wzięła", "wzięło", "wzięli", "wzięły", "wzięty", "wzięta", "wzięte", "wziętą", "wzięci", "wzięcie",
+    "wziąwszy", "wziernik", "mnie", "mniej", "mniejszy", "mniejsza", "mniejsze", "mniejszą", "mniejszych", "mniejszym", "mniejszości",
+    "mniejszość", "mnich", "mnicha", "mnisi", "mniszka", "mniemanie", "mniemać", "pomnik", "pomnika", "pomniki", "pomników", "wspomnienie",
+    "wspomnień", "wspomnieć", "przypomnieć", "przypomnienie", "upomnienie", "zapomnieć", "zapomnienie", "ziemniak", "ziemniaki",
+    "ziemniaka", "ziemniaków", "ziemniakami", "ziemniakach", "ziemniakiem", "ziemniakom",
+]
 SOFT_LABIAL_PATTERN = "psi|bzi|wzi|mni"
 SIBILANT_DIGRAPHS = ("dż", "cz", "sz", "ż")
 
@@ -55,8 +72,15 @@ RULES = {
 
 DOUBLE_QUOTES, SINGLE_QUOTES, DASHES = "„“”‟«»", "‘’‚‛‹›", "‒–—―−"
 ANNOTATIONS = (
-    r"[sś]miech\w*", r"niezrozumia\w*", r"pauza\w*", r"przerwa\w*", r"ha[lł]as\w*", r"kaszel", r"kas[lł]e\w*", r"wzdych\w*", r"p[lł]acz\w*", "cisza", r"szum\w*",
+    r"[sś]miech\w*", r"niezrozumia\w*", r"pauza\w*", r"przerwa\w*", r"ha[lł]as\w*", r"kaszel|kas[lł]e\w*", r"wzdych\w*", r"p[lł]acz\w*", "cisza", r"szum\w*",
     "oklaski", r"[sś]piew\w*", r"chrz[aą]k\w*", r"laugh\w*", "pause", "noise", "inaudible", "unintelligible", r"cough\w*",
 )
+#: Cleaning patterns: bracketed notes, pause marks, runs of full stops, repeated marks.
+BRACKETED = r"\[[^\[\]]*\]|\{[^{}]*\}|<[^<>]*>"
+PARENTHESISED = r"\(\s*(?:{})[^()]*\)|\(\s*[.\-*\s]+\)"
+PAUSE = r"(?<!\S)(?:-+|\.{3,}|…)(?!\S)"
+LONG_STOPS, REPEATED_MARKS = r"\.{4,}", r"([!?,;:])\1+"
+#: Marks that stylometry counts.
+STYLE_DASHES, STYLE_QUOTES = "-–—", "\"'„”“«»‘’‚"
 AGE_BANDS = ((19, "<=19"), (29, "20-29"), (44, "30-44"), (59, "45-59"))
 LENGTH_BANDS = ((40, "<=40"), (80, "41-80"), (160, "81-160"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import lexicons as L
 
@@ -32,10 +32,10 @@ def total(array: Column, value) -> Column:
 
 def strip_artifacts(text: Column) -> Column:
     """Bracketed notes, parenthesised annotations, pause marks; squeezes repeated punctuation."""
-    text = F.regexp_replace(text, r"\[[^\[\]]*\]|\{[^{}]*\}|<[^<>]*>", " ")
-    text = F.regexp_replace(text, r"(?iuU)\(\s*(?:" + "|".join(L.ANNOTATIONS) + r")[^()]*\)|\(\s*[.\-*\s]+\)", " ")
-    text = F.regexp_replace(text, r"(?U)(?<!\S)(?:-+|\.{3,}|…)(?!\S)", " ")
-    return F.regexp_replace(F.regexp_replace(text, r"\.{4,}", "..."), r"([!?,;:])\1+", "$1")
+    text = F.regexp_replace(text, L.BRACKETED, " ")
+    text = F.regexp_replace(text, "(?iuU)" + L.PARENTHESISED.format("|".join(L.ANNOTATIONS)), " ")
+    text = F.regexp_replace(text, "(?U)" + L.PAUSE, " ")
+    return F.regexp_replace(F.regexp_replace(text, L.LONG_STOPS, "..."), L.REPEATED_MARKS, "$1")
 
 
 def plain_punctuation(text: Column) -> Column:
@@ -167,26 +167,28 @@ def intensity(text: Column, marker_weight: float = 8.0, fired_weight: float = 8.
     return F.lit(1.0) - F.exp(-(marker_weight * rate(marker_hits(tokens, every), F.size(tokens)) + fired_weight * fired))
 
 
-PUNCTUATION = {"comma": ",", "period": ".", "exclamation": "!", "question": "?", "semicolon": ";", "colon": ":", "ellipsis": "..."}
-
-
-def stylometry(text: Column) -> dict[str, Column]:
-    """Sentence, word, punctuation and vocabulary measures; population deviations, zero guards."""
-    text = F.coalesce(text, F.lit(""))
-    tokens, chars = words(text), F.length(text)
-    n = F.size(tokens)
-    lengths = F.filter(F.transform(F.split(text, "[.!?…]+"), lambda s: F.size(F.regexp_extract_all(s, F.lit(WORDS), F.lit(0)))), lambda k: k > 0)
-    mean = lambda a, size: rate(total(a, lambda x: x), size)
-    spread = lambda a, size: F.sqrt(F.greatest(rate(total(a, lambda x: x.cast("double") * x), size) - mean(a, size) * mean(a, size), F.lit(0.0)))
-    word_lengths = F.transform(tokens, F.length)
-    low = F.transform(tokens, F.lower)
-    out = {
-        "sentences": F.size(lengths).cast("double"), "sentence_mean": mean(lengths, F.size(lengths)), "sentence_std": spread(lengths, F.size(lengths)),
-        "word_mean": mean(word_lengths, n), "word_std": spread(word_lengths, n),
-    }
-    out |= {f"{k}_rate": rate((chars - F.length(F.replace(text, F.lit(v), F.lit("")))) / len(v), chars, 100.0) for k, v in PUNCTUATION.items()}
-    out |= {"digit_ratio": rate(F.regexp_count(text, F.lit("[0-9]")), chars), "upper_ratio": rate(F.regexp_count(text, F.lit("\\p{Lu}")), chars), "type_token": rate(F.size(F.array_distinct(low)), n)}
-    return out
+def stylometry(df: DataFrame) -> DataFrame:
+    """doc_id and 17 measures of sentences, words, punctuation and vocabulary; population deviations, 0 where there is nothing to divide by.
+
+    Tokens are cut once; the vocabulary's measures come from counts by document and token.
+    """
+    base = df.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).select("doc_id", "t", words(F.col("t"), True).alias("w"), F.length("t").alias("c"))
+    sentences = F.filter(F.transform(F.split("t", "[.!?…]+"), lambda s: F.size(F.regexp_extract_all(s, F.lit(WORDS), F.lit(0)))), lambda k: k > 0)
+    rows = base.select("doc_id", "t", "c", F.size("w").alias("n"), F.transform("w", F.length).alias("lengths"), sentences.alias("s"))
+    mean = lambda a: rate(total(F.col(a), lambda x: x), F.size(a))
+    spread = lambda a: F.sqrt(F.greatest(rate(total(F.col(a), lambda x: x.cast("double") * x), F.size(a)) - mean(a) * mean(a), F.lit(0.0)))
+    per_100 = lambda pattern: rate(F.regexp_count("t", F.lit(pattern)), F.col("c"), 100.0)
+    measured = rows.select(
+        "doc_id", F.size("s").cast("double").alias("sentence_count"), mean("s").alias("sentence_length_words_mean"), spread("s").alias("sentence_length_words_std"), mean("lengths").alias("word_length_mean"), spread("lengths").alias("word_length_std"),
+        per_100(",").alias("commas_per_100_chars"), per_100("\\.").alias("periods_per_100_chars"), per_100("\\?").alias("question_marks_per_100_chars"), per_100("!").alias("exclamations_per_100_chars"),
+        per_100(f"[{L.STYLE_DASHES}]").alias("dashes_per_100_chars"), per_100("\\.{3}|…").alias("ellipses_per_100_chars"), per_100(f"[{L.STYLE_QUOTES}]").alias("quotes_per_100_chars"),
+        rate(F.regexp_count("t", F.lit("\\p{Nd}")), F.col("c")).alias("digit_ratio"), rate(F.regexp_count("t", F.lit("\\p{Lu}")), F.regexp_count("t", F.lit("\\p{L}"))).alias("uppercase_ratio"), "n",
+    )
+    counts = base.select("doc_id", F.explode("w").alias("x")).groupBy("doc_id", "x").agg(F.count("*").alias("k"))
+    kinds = counts.groupBy("doc_id").agg(F.count("*").alias("types"), F.count_if(F.col("k") == 1).alias("once"), F.sum(F.col("k") * F.col("k")).alias("m2"))
+    out = measured.join(kinds, "doc_id", "left")
+    n = F.col("n")
+    return out.select(*measured.drop("n").columns, F.coalesce(rate(F.col("types"), n), F.lit(0.0)).alias("type_token_ratio"), F.coalesce(rate(F.col("once"), n), F.lit(0.0)).alias("hapax_legomena_ratio"), F.coalesce(rate(F.col("m2") - n, n.cast("double") * n, 1e4), F.lit(0.0)).alias("yules_k"))
 
 
 def affixes(token: Column, shortest: int = 2, longest: int = 4) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, Window, functions as F
@@ -52,8 +53,8 @@ def greedy_keep(df: DataFrame, pairs: DataFrame, small: int = 1 << 16) -> DataFr
     are settled on the driver in one go, so that a long chain does not take a
     round for each two of its links. Rounds are written to the checkpoint folder.
     """
-    spark, path = df.sparkSession, _shared(df.sparkSession)
-    left = _written(spark, pairs.select("a", "b"), path)
+    spark = df.sparkSession
+    left = written(spark, pairs.select("a", "b"))
     gone = None
     while n := left.count():
         if n <= small:
@@ -64,10 +65,10 @@ def greedy_keep(df: DataFrame, pairs: DataFrame, small: int = 1 << 16) -> DataFr
         waiting = left.select(F.col("b").alias("a")).distinct()
         stays = left.select("a").distinct().join(waiting, "a", "left_anti")
         goes = left.join(stays, "a", "left_semi").select("b").distinct()
-        goes = _written(spark, goes, path)
+        goes = written(spark, goes)
         gone = goes if gone is None else gone.union(goes)
         kept = left.join(stays, "a", "left_anti").join(goes, "b", "left_anti").join(goes.select(F.col("b").alias("a")), "a", "left_anti")
-        left = _written(spark, kept, path)
+        left = written(spark, kept)
     return df if gone is None else df.join(gone.select(F.col("b").alias("id")), "id", "left_anti")
 
 
@@ -80,14 +81,19 @@ def _settled(pairs: list) -> list:
     return sorted(gone)
 
 
-def _shared(spark) -> str:
-    import tempfile
+def shared_folder(spark) -> str:
+    """The checkpoint folder, which the session must name unless driver and executors are one process."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+    return folder
 
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="spark-shared-")
 
-
-def _written(spark, df: DataFrame, folder: str) -> DataFrame:
-    path = f"{folder}/rounds-{uuid.uuid4().hex}"
+def written(spark, df: DataFrame) -> DataFrame:
+    """df stored in the shared folder and read back."""
+    path = f"{shared_folder(spark)}/rounds-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -121,12 +127,16 @@ def validation_issues(df: DataFrame) -> DataFrame:
 def group_split(df: DataFrame, group: str, label: str, fractions=(("train", 0.7), ("validation", 0.15), ("test", 0.15)), seed: int = 42) -> DataFrame:
     """df with a split column: whole groups go to splits, largest first, each to where its majority label, then rows in all, lack most.
 
-    Group sizes are aggregated in Spark; what the driver sees is one row for each group.
+    A row without a group is a group of its own; rows without a label count as
+    unlabelled ones. Group sizes are aggregated in Spark; what the driver sees
+    is one row for each group.
     """
     import hashlib
 
-    groups = majority_label(df.where(F.col(label).isNotNull()), group, label).collect()
-    order = sorted(groups, key=lambda r: (-r["size"], hashlib.md5(f"{seed}|{r[group]}".encode()).hexdigest()))
+    own = F.coalesce(F.concat(F.lit("g"), F.nullif(F.trim(F.col(group).cast("string")), F.lit(""))), F.concat(F.lit("i"), F.col("id").cast("string")))
+    keyed = df.withColumn("_group", own)
+    groups = majority_label(keyed.select("_group", F.coalesce(F.col(label), F.lit(L.UNLABELLED)).alias("_label")), "_group", "_label").collect()
+    order = sorted(groups, key=lambda r: (-r["size"], hashlib.md5(f"{seed}|{r['_group']}".encode()).hexdigest()))
     n_all = sum(r["size"] for r in groups)
     n_label: dict = {}
     for r in groups:
@@ -138,11 +148,11 @@ def group_split(df: DataFrame, group: str, label: str, fractions=(("train", 0.7)
         best = max(enumerate(options), key=lambda o: (o[1][1] * n_label[r["majority"]] - have_label.get((o[1][0], r["majority"]), 0), o[1][1] * n_all - have[o[1][0]], -o[0]))[1][0]
         have[best] += r["size"]
         have_label[best, r["majority"]] = have_label.get((best, r["majority"]), 0) + r["size"]
-        out.append((r[group], best))
+        out.append((r["_group"], best))
     if missing := [s for s, f in fractions if f > 0 and not have[s]]:
         raise ValueError(f"too few groups: {', '.join(missing)} would be empty")
-    assigned = df.sparkSession.createDataFrame(out, f"{group} {df.schema[group].dataType.simpleString()}, split string")
-    return df.join(assigned, group)
+    assigned = df.sparkSession.createDataFrame(out, "_group string, split string")
+    return keyed.join(assigned, "_group").drop("_group")
 
 
 def grouped_kfold(df: DataFrame, group: str, label: str, k: int = 5, seed: int = 42) -> DataFrame:

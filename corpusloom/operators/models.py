@@ -8,6 +8,7 @@ from pyspark.ml.feature import HashingTF, StringIndexer
 from pyspark.sql import DataFrame, Window, functions as F
 
 from corpusloom.functions import text as X
+from corpusloom.operators.corpus import written
 
 
 def token_counts(df: DataFrame, *keep: str) -> DataFrame:
@@ -15,6 +16,27 @@ def token_counts(df: DataFrame, *keep: str) -> DataFrame:
     return df.select("id", *keep, F.explode(X.words(F.col("text"), True)).alias("token")).groupBy("id", *keep, "token").agg(F.count("*").alias("tf"))
 
 
+def gram_counts(df: DataFrame) -> DataFrame:
+    """(id, token, tf) of words of letters, digits and underscores, and of pairs of neighbours joined by a space."""
+    w = df.select("id", F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[\\p{L}\\p{N}_]+"), F.lit(0)).alias("w"))
+    rows = w.select("id", F.explode(F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))).alias("b"))).alias("p"))
+    both = F.concat("p.a", F.lit(" "), "p.b")  # null after the last word
+    return rows.select("id", F.explode(F.array_compact(F.array(F.col("p.a"), both))).alias("token")).groupBy("id", "token").agg(F.count("*").alias("tf"))
+
+
+def char_wb_counts(df: DataFrame, shortest: int = 2, longest: int = 5) -> DataFrame:
+    """(id, token, tf) of character n-grams inside space-padded words, from each document's distinct words.
+
+    A padded word no longer than n is emitted whole, once.
+    """
+    words = df.select("id", F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), r"(?U)\s+")).alias("w")).where("w != ''").groupBy("id", "w").agg(F.count("*").alias("k"))
+    padded = words.select("id", "k", F.concat(F.lit(" "), "w", F.lit(" ")).alias("w"))
+    none = F.array().cast("array<string>")
+    grams = [F.when(F.length("w") > n, F.regexp_extract_all("w", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))).otherwise(none) for n in range(shortest, longest + 1)]
+    whole = F.when(F.length("w") <= longest, F.array("w")).otherwise(none)
+    return padded.select("id", "k", F.explode(F.concat(*grams, whole)).alias("token")).groupBy("id", "token").agg(F.sum("k").alias("tf"))
+
+
 def tfidf(counts: DataFrame, min_df: int = 2) -> DataFrame:
     """(id, token, weight): 1 + ln tf, smoothed idf + 1, rows of length 1, over tokens in at least min_df documents."""
     n = counts.agg(F.count_distinct("id").alias("n"))
@@ -24,8 +46,8 @@ def tfidf(counts: DataFrame, min_df: int = 2) -> DataFrame:
     return w.join(length, "id").select("id", "token", (F.col("w") / F.col("len")).alias("weight"))
 
 
-def naive_bayes(train: DataFrame, test: DataFrame, label: str, alpha: float = 0.1) -> DataFrame:
-    """(id, y_pred): multinomial naive Bayes, unseen test tokens left out; ties go to the smallest label. All joins and sums.
+def naive_bayes(train: DataFrame, test: DataFrame, label: str, alpha: float = 0.1, confidence: bool = False) -> DataFrame:
+    """(id, y_pred, and the posterior of that if confidence): multinomial naive Bayes, unseen test tokens left out; ties go to the smallest label. All joins and sums.
 
     The prior is the share of training rows; a document without known tokens gets the most frequent label.
     """
@@ -40,6 +62,10 @@ def naive_bayes(train: DataFrame, test: DataFrame, label: str, alpha: float = 0.
     n = tokens.groupBy("id").agg(F.sum("tf").alias("n"))
     scored = test.select("id").crossJoin(F.broadcast(classes)).join(n, "id", "left").join(gains, ["id", label], "left")
     scored = scored.select("id", label, (F.col("prior") + F.coalesce("n", F.lit(0)) * F.col("none") + F.coalesce("gain", F.lit(0.0))).alias("score"))
+    if confidence:
+        best = scored.groupBy("id").agg(F.max("score").alias("top"))
+        share = scored.join(best, "id").groupBy("id").agg(F.min(F.struct(-F.round("score", 6), F.col(label)))[label].alias("y_pred"), (1 / F.sum(F.exp(F.col("score") - F.col("top")))).alias("confidence"))
+        return share
     return scored.groupBy("id").agg(F.min(F.struct(-F.round("score", 6), F.col(label)))[label].alias("y_pred"))
 
 
@@ -72,16 +98,22 @@ def fit_predict(kind: str, train: DataFrame, test: DataFrame, label: str) -> Dat
     return model.transform(test.withColumn("tokens", tokens)).select("id", F.col(label).alias("y_true"), F.element_at(names, F.col("prediction").cast("int") + 1).alias("y_pred"))
 
 
-def self_train(train: DataFrame, pool: DataFrame, label: str, rounds: int = 2, cap: int = 100) -> DataFrame:
-    """(round, n): confident pool rows labelled by naive Bayes agreement on both halves of the training rows, added round after round."""
-    grown, used, out = train, None, None
+def self_train(train: DataFrame, pool: DataFrame, label: str, rounds: int = 3, threshold: float = 0.90, cap: int | None = None) -> DataFrame:
+    """(round, label, n): pool rows that naive Bayes is sure of (posterior at the threshold or above) join the training rows, round after round, until none does.
+
+    cap: the most confident rows a round may add; without it all that pass.
+    Each round is stored, so that none recomputes those before it.
+    """
+    spark = train.sparkSession
+    grown, left, out = train, pool.drop(label), None
     for r in range(rounds):
-        halves = [grown.where(F.pmod(F.crc32(F.col("id").cast("string")), F.lit(2)) == h) for h in (0, 1)]
-        open_ = pool if used is None else pool.join(used, "id", "left_anti")
-        votes = naive_bayes(halves[0], open_, label).withColumnRenamed("y_pred", "a").join(naive_bayes(halves[1], open_, label).withColumnRenamed("y_pred", "b"), "id")
-        new = votes.where("a = b").orderBy(F.md5(F.col("id").cast("string")), "id").limit(cap)
-        added = open_.drop(label).join(new.select("id", F.col("a").alias(label)), "id").select(*train.columns)
-        grown, used = grown.unionByName(added), new.select("id") if used is None else used.union(new.select("id"))
-        one = added.groupBy(label).agg(F.count("*").alias("n")).withColumn("round", F.lit(r))
+        sure = naive_bayes(grown, left, label, confidence=True).where(F.col("confidence") >= threshold)
+        sure = sure.orderBy(F.desc("confidence"), "id").limit(cap) if cap is not None else sure
+        sure = written(spark, sure.select("id", F.col("y_pred").alias(label)))
+        if sure.isEmpty():
+            break
+        grown = grown.unionByName(left.join(sure, "id").select(*train.columns))
+        left = left.join(sure.select("id"), "id", "left_anti")
+        one = sure.groupBy(label).agg(F.count("*").alias("n")).withColumn("round", F.lit(r))
         out = one if out is None else out.unionByName(one)
-    return out
+    return out if out is not None else train.groupBy(label).agg(F.count("*").alias("n")).withColumn("round", F.lit(0)).limit(0)

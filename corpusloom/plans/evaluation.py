@@ -149,10 +149,10 @@ def mcnemar_discordants(spark, sf):
     return predictions(spark, sf).agg(F.count_if(a & ~b).alias("a_only"), F.count_if(b & ~a).alias("b_only"), F.count("*").alias("n"))
 
 
-@query(PRED + """, f AS (SELECT id % 10 AS fold, avg((y_true = y_pred)::INT) AS accuracy FROM pr WHERE id % 7 <> 0 GROUP BY 1)
+@query(PRED + """, f AS (SELECT id % 10 AS fold, avg((y_true = y_pred)::INT) AS accuracy FROM pr GROUP BY 1)
 SELECT round(avg(accuracy), 6) AS mean, round(stddev_samp(accuracy), 6) AS std, round(quantile_cont(accuracy, 0.025), 6) AS low, round(quantile_cont(accuracy, 0.975), 6) AS high FROM f""")
 def cv_summary_percentiles(spark, sf):
-    f = predictions(spark, sf).where("id % 7 != 0").groupBy((F.col("id") % 10).alias("fold")).agg(F.avg((F.col("y_true") == F.col("y_pred")).cast("int")).alias("accuracy"))
+    f = predictions(spark, sf).groupBy((F.col("id") % 10).alias("fold")).agg(F.avg((F.col("y_true") == F.col("y_pred")).cast("int")).alias("accuracy"))
     return f.agg(r6(F.avg("accuracy")).alias("mean"), r6(F.stddev_samp("accuracy")).alias("std"), r6(F.percentile("accuracy", 0.025)).alias("low"), r6(F.percentile("accuracy", 0.975)).alias("high"))
 
 

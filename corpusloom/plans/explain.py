@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Window, functions as F
 
 from corpusloom.functions import lexicons as L, text as X
 from corpusloom.operators import explain as P, models as M
+from corpusloom.operators.corpus import shared_folder
 from corpusloom.plans.features import _RULE_SQL, _isin
 from corpusloom.plans.registry import query
 from corpusloom.plans.tables import r6, samples, table
@@ -50,15 +50,13 @@ y AS (SELECT id, token, round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 6) AS
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY weight DESC, token) AS rank FROM y) WHERE rank <= 5""")
 def char_tfidf_top(spark, sf):
     """The five heaviest character n-grams of each document."""
-    counts = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.explode(X.char_wb(F.col("text"))).alias("token")).groupBy("id", "token").agg(F.count("*").alias("tf"))
-    weights = M.tfidf(counts).withColumn("weight", r6("weight"))
+    weights = M.tfidf(M.char_wb_counts(samples(spark, sf))).withColumn("weight", r6("weight"))
     return weights.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("weight"), "token"))).where("rank <= 5")
 
 
 def _streamed(spark, sf, name: str, change, mode: str):
     """A table as a stream of files, changed and written until all is read; then what was written."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-    path = f"{folder}/stream-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     out = change(spark.readStream.schema(table(spark, sf, name).schema).parquet(f"{sf}/{name}.parque[t]"))  # a pattern, as a stream takes no path of one file
 
     def write(batch, _):

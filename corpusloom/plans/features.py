@@ -10,23 +10,31 @@ from corpusloom.plans.registry import query
 from corpusloom.plans.tables import r6, samples, table
 
 _T = r"SELECT doc_id, text, regexp_extract_all(lower(text), '[\p{L}\p{Nl}\p{No}]+') AS w FROM documents"
-_STYLE = ("sentences", "sentence_mean", "sentence_std", "word_mean", "word_std", "comma_rate", "period_rate", "digit_ratio", "upper_ratio", "type_token")
-
-
 def _each(spark, sf, columns):
     return table(spark, sf, "documents").select("doc_id", *[r6(c).alias(n) for n, c in columns.items()])
 
 
-@query(r"""WITH t AS (SELECT doc_id, text, length(text) AS c, regexp_extract_all(text, '[\p{L}\p{Nl}\p{No}]+') AS w,
-  list_filter(list_transform(string_split_regex(text, '[.!?…]+'), lambda s: len(regexp_extract_all(s, '[\p{L}\p{Nl}\p{No}]+'))), lambda k: k > 0) AS s FROM documents)
-SELECT doc_id, len(s)::DOUBLE AS sentences, round(coalesce(list_avg(s), 0), 6) AS sentence_mean, round(coalesce(list_stddev_pop(s), 0), 6) AS sentence_std,
-  round(coalesce(list_avg(list_transform(w, lambda x: length(x))), 0), 6) AS word_mean, round(coalesce(list_stddev_pop(list_transform(w, lambda x: length(x))), 0), 6) AS word_std,
-  round(CASE WHEN c > 0 THEN 100.0::DOUBLE * (c - length(replace(text, ',', ''))) / c ELSE 0 END, 6) AS comma_rate, round(CASE WHEN c > 0 THEN 100.0::DOUBLE * (c - length(replace(text, '.', ''))) / c ELSE 0 END, 6) AS period_rate,
-  round(CASE WHEN c > 0 THEN len(regexp_extract_all(text, '[0-9]'))::DOUBLE / c ELSE 0 END, 6) AS digit_ratio, round(CASE WHEN c > 0 THEN len(regexp_extract_all(text, '\p{Lu}'))::DOUBLE / c ELSE 0 END, 6) AS upper_ratio,
-  round(CASE WHEN len(w) > 0 THEN len(list_distinct(list_transform(w, lambda x: lower(x))))::DOUBLE / len(w) ELSE 0 END, 6) AS type_token FROM t""".replace("list_stddev_pop(s)", "list_aggregate(s, 'stddev_pop')").replace("list_stddev_pop(list_transform(w, lambda x: length(x)))", "list_aggregate(list_transform(w, lambda x: length(x)), 'stddev_pop')"))
+def _per_100(pattern: str) -> str:
+    return f"round(CASE WHEN c > 0 THEN 100.0::DOUBLE * len(regexp_extract_all(t, '{pattern}')) / c ELSE 0 END, 6)"
+
+
+_QUOTED = L.STYLE_QUOTES.replace("'", "''")
+_STYLE = rf"""WITH b AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS c FROM documents),
+r AS (SELECT doc_id, t, c, regexp_extract_all(lower(t), '[\p{{L}}\p{{Nl}}\p{{No}}]+') AS w, list_filter(list_transform(string_split_regex(t, '[.!?…]+'), lambda x: len(regexp_extract_all(x, '[\p{{L}}\p{{Nl}}\p{{No}}]+'))), lambda k: k > 0) AS s FROM b),
+k AS (SELECT doc_id, count(*) AS types, count_if(k = 1) AS once, sum(k * k) AS m2, sum(k) AS n FROM (SELECT doc_id, x, count(*) AS k FROM (SELECT doc_id, unnest(w) AS x FROM r) GROUP BY ALL) GROUP BY doc_id)
+SELECT doc_id, len(s)::DOUBLE AS sentence_count, round(coalesce(list_avg(s), 0), 6) AS sentence_length_words_mean, round(coalesce(list_aggregate(s, 'stddev_pop'), 0), 6) AS sentence_length_words_std,
+round(coalesce(list_avg(list_transform(w, lambda x: length(x))), 0), 6) AS word_length_mean, round(coalesce(list_aggregate(list_transform(w, lambda x: length(x)), 'stddev_pop'), 0), 6) AS word_length_std,
+{_per_100(',')} AS commas_per_100_chars, {_per_100('[.]')} AS periods_per_100_chars, {_per_100('[?]')} AS question_marks_per_100_chars, {_per_100('!')} AS exclamations_per_100_chars,
+{_per_100(f'[{L.STYLE_DASHES}]')} AS dashes_per_100_chars, {_per_100('[.]{3}|…')} AS ellipses_per_100_chars, {_per_100(f'[{_QUOTED}]')} AS quotes_per_100_chars,
+round(CASE WHEN c > 0 THEN len(regexp_extract_all(t, '\p{{Nd}}'))::DOUBLE / c ELSE 0 END, 6) AS digit_ratio,
+round(CASE WHEN len(regexp_extract_all(t, '\p{{L}}')) > 0 THEN len(regexp_extract_all(t, '\p{{Lu}}'))::DOUBLE / len(regexp_extract_all(t, '\p{{L}}')) ELSE 0 END, 6) AS uppercase_ratio,
+round(coalesce(types / n::DOUBLE, 0), 6) AS type_token_ratio, round(coalesce(once / n::DOUBLE, 0), 6) AS hapax_legomena_ratio, round(coalesce(1e4 * (m2 - n) / (n * n)::DOUBLE, 0), 6) AS yules_k FROM r LEFT JOIN k USING (doc_id)"""
+
+
+@query(_STYLE)
 def stylometry_counts(spark, sf):
-    all_ = X.stylometry(F.col("text"))
-    return _each(spark, sf, {k: all_[k] for k in _STYLE})
+    s = X.stylometry(table(spark, sf, "documents"))
+    return s.select("doc_id", *[r6(c).alias(c) for c in s.columns[1:]])
 
 
 @query(f"""WITH t AS ({_T}), c AS (SELECT doc_id, x, count(*) AS k FROM (SELECT doc_id, unnest(w) AS x FROM t) GROUP BY ALL),
@@ -38,19 +46,21 @@ def stylometry_lexical(spark, sf):
     return s.select(F.col("id").alias("doc_id"), r6(1e4 * (F.col("m2") - F.col("n")) / (F.col("n") * F.col("n"))).alias("yule_k"), r6(F.col("once") / F.col("n")).alias("hapax"))
 
 
-@query(f"""WITH t AS ({_T}), c AS (SELECT doc_id AS id, token, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS token FROM t) GROUP BY ALL), n AS (SELECT count(DISTINCT id) AS n FROM c),
+@query(r"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents),
+g AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS token FROM t),
+c AS (SELECT doc_id AS id, token, count(*) AS tf FROM g GROUP BY ALL), n AS (SELECT count(DISTINCT id) AS n FROM c),
 i AS (SELECT token, ln((1 + n) / (1 + count(*))::DOUBLE) + 1 AS idf FROM c, n GROUP BY token, n HAVING count(*) >= 2), w AS (SELECT id, token, (1 + ln(tf)) * idf AS w FROM c JOIN i USING (token))
 SELECT id, token, round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 6) AS weight FROM w""")
 def word_tfidf(spark, sf):
-    return M.tfidf(M.token_counts(samples(spark, sf))).withColumn("weight", r6("weight"))
+    return M.tfidf(M.gram_counts(samples(spark, sf))).withColumn("weight", r6("weight"))
 
 
 @query(r"""WITH w AS (SELECT doc_id, ' ' || unnest(list_filter(string_split_regex(lower(text), '[\s\x{a0}]+'), lambda x: x <> '')) || ' ' AS w FROM documents),
 g AS (SELECT doc_id, CASE WHEN length(w) <= n THEN [w] ELSE list_transform(range(1, length(w) - n + 2), lambda i: substr(w, i, n)) END AS g FROM w, (VALUES (2), (3), (4), (5)) v(n) WHERE n = 2 OR length(w) > n - 1)
 SELECT doc_id, count(*) AS n, count(DISTINCT x) AS kinds FROM (SELECT doc_id, unnest(g) AS x FROM g) GROUP BY doc_id""")
 def char_wb_ngrams(spark, sf):
-    g = table(spark, sf, "documents").select("doc_id", X.char_wb(F.col("text")).alias("g"))
-    return g.where(F.size("g") > 0).select("doc_id", F.size("g").cast("long").alias("n"), F.size(F.array_distinct("g")).cast("long").alias("kinds"))
+    g = M.char_wb_counts(samples(spark, sf))
+    return g.groupBy(F.col("id").alias("doc_id")).agg(F.sum("tf").alias("n"), F.count("*").alias("kinds"))
 
 
 _AFFIX = f"""WITH t AS ({_T}), k AS (SELECT doc_id, unnest(w) AS x, len(w) AS n FROM t),
@@ -58,18 +68,20 @@ a AS (SELECT doc_id, n, 'pre:' || left(x, l) AS affix FROM k, (VALUES (2), (3),
 
 
 def _affixes(spark, sf):
+    """doc_id, words of the document, affix, how often: from the distinct words of each document."""
     w = table(spark, sf, "documents").select("doc_id", X.words(F.col("text"), True).alias("w"))
-    return w.select("doc_id", F.size("w").alias("n"), F.explode(F.flatten(F.transform("w", lambda t: X.affixes(t)))).alias("affix"))
+    words = w.select("doc_id", F.size("w").alias("n"), F.explode("w").alias("x")).groupBy("doc_id", "n", "x").agg(F.count("*").alias("k"))
+    return words.select("doc_id", "n", "k", F.explode(X.affixes(F.col("x"))).alias("affix")).groupBy("doc_id", "n", "affix").agg(F.sum("k").alias("c"))
 
 
-@query(_AFFIX + " SELECT doc_id, affix, round(count(*) / n::DOUBLE, 6) AS frequency FROM a GROUP BY doc_id, affix, n HAVING count(*) >= 3")
+@query(_AFFIX + " SELECT doc_id, affix, round(count(*) / n::DOUBLE, 6) AS frequency FROM a GROUP BY doc_id, affix, n")
 def affix_frequency(spark, sf):
-    return _affixes(spark, sf).groupBy("doc_id", "affix", "n").agg(F.count("*").alias("c")).where("c >= 3").select("doc_id", "affix", r6(F.col("c") / F.col("n")).alias("frequency"))
+    return _affixes(spark, sf).select("doc_id", "affix", r6(F.col("c") / F.col("n")).alias("frequency"))
 
 
 @query(_AFFIX + " SELECT affix, count(DISTINCT doc_id) AS df FROM a GROUP BY affix ORDER BY df DESC, affix LIMIT 300")
 def affix_vocabulary_topn(spark, sf):
-    return _affixes(spark, sf).select("doc_id", "affix").distinct().groupBy("affix").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "affix").limit(300)
+    return _affixes(spark, sf).groupBy("affix").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "affix").limit(300)
 
 
 def _isin(words):

@@ -29,9 +29,9 @@ def margin_scores(spark, sf):
     return predictions(spark, sf).select("id", r6(A.margin(F.col("p"))).alias("margin"), r6(A.least_confidence(F.col("p"))).alias("least_confidence"))
 
 
-@query("WITH e AS (SELECT vec_id, list_transform(embedding[1:8], lambda v: exp(v::DOUBLE - list_max(embedding[1:8])::DOUBLE)) AS x FROM embeddings) SELECT vec_id, round(list_max(x) / list_sum(x), 5) AS top, round(list_min(x) / list_sum(x), 5) AS low FROM e")
+@query("WITH e AS (SELECT vec_id, list_transform(embedding, lambda v: exp(v::DOUBLE - list_max(embedding)::DOUBLE)) AS x FROM embeddings) SELECT vec_id, round(list_max(x) / list_sum(x), 5) AS top, round(list_min(x) / list_sum(x), 5) AS low FROM e")
 def softmax(spark, sf):
-    s = A.softmax(F.transform(F.slice("embedding", 1, 8), lambda v: v.cast("double")))
+    s = A.softmax(F.transform("embedding", lambda v: v.cast("double")))
     return table(spark, sf, "embeddings").select("vec_id", s.alias("s")).select("vec_id", F.round(F.array_max("s"), 5).alias("top"), F.round(F.array_min("s"), 5).alias("low"))
 
 

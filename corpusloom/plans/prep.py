@@ -22,12 +22,17 @@ def tokens_by_lang(spark, sf):
     return w.groupBy("lang").agg(F.count("*").alias("docs"), F.sum(F.size("w")).alias("tokens"), r6(F.avg(F.size("w"))).alias("mean_tokens"), r6(F.avg(ttr)).alias("mean_ttr"))
 
 
-@query(r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
-  list_aggregate(list_transform(string_split_regex(regexp_replace(text, '\[[^\[\]]*\]|\{[^{}]*\}|<[^<>]*>', ' ', 'g'), ' '), lambda w: CASE WHEN regexp_full_match(w, '-+|\.{3,}|…') THEN ' ' ELSE w END), 'string_agg', ' '),
-  '\.{4,}', '...', 'g'), '!{2,}', '!', 'g'), '\?{2,}', '?', 'g'), ',{2,}', ',', 'g'), ';{2,}', ';', 'g'), ':{2,}', ':', 'g') AS text FROM documents WHERE NOT contains(text, '(') AND NOT regexp_matches(text, '(^|\s)(-+|\.{3,}|…)(\n|$)|\n(-+|\.{3,}|…)(\s|$)')""")
+_SPACE = r"[\s\x{a0}]"
+_PAUSED = rf"(^|{_SPACE})(?:-+|[.]{{3,}}|…)({_SPACE}|$)"
+_NOTES = L.PARENTHESISED.format("|".join(L.ANNOTATIONS))
+
+
+@query(rf"""WITH a AS (SELECT doc_id, regexp_replace(regexp_replace(text, '{L.BRACKETED}', ' ', 'g'), '(?i){_NOTES}', ' ', 'g') AS t FROM documents),
+b AS (SELECT doc_id, regexp_replace(regexp_replace(t, '{_PAUSED}', '\1 \2', 'g'), '{_PAUSED}', '\1 \2', 'g') AS t FROM a)
+SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t,
+  '[.]{{4,}}', '...', 'g'), '!{{2,}}', '!', 'g'), '[?]{{2,}}', '?', 'g'), ',{{2,}}', ',', 'g'), ';{{2,}}', ';', 'g'), ':{{2,}}', ':', 'g') AS text FROM b""")
 def clean_artifacts(spark, sf):
-    d = table(spark, sf, "documents").where(~F.contains("text", F.lit("(")) & ~F.rlike("text", F.lit(r"(^|\s)(-+|\.{3,}|…)(\n|$)|\n(-+|\.{3,}|…)(\s|$)")))
-    return d.select("doc_id", X.strip_artifacts(F.col("text")).alias("text"))
+    return table(spark, sf, "documents").select("doc_id", X.strip_artifacts(F.col("text")).alias("text"))
 
 
 @query("""SELECT doc_id, replace(translate(text, '„“”‟«»‘’‚‛‹›‒–—―−', '\"\"\"\"\"\"''''''''''''-----'), '…', '...') AS text FROM documents""")
@@ -82,7 +87,7 @@ def shingle_jaccard_pairs(spark, sf):
 
 @query()
 def near_dedup_greedy(spark, sf):
-    d = samples(spark, sf)
+    d = C.keep_first(samples(spark, sf), X.hash_text(F.col("text")))  # equal texts go first, so they are never paired
     return C.greedy_keep(d, C.similar_pairs(d)).select("id")
 
 

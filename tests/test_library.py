@@ -39,8 +39,12 @@ def test_keywords_and_stylometry(spark):
     df = spark.createDataFrame([("Jo kaj, baca! Jo.",), (None,)], "text string")
     k = df.select(*[c.alias(n) for n, c in X.keyword_rates(X.words(F.col("text"), True)).items()]).collect()
     assert k[0]["silesia"] == 750 and k[0]["podhale"] == 500 and k[0]["kashubia"] == 500 and k[0]["total"] == 1750 and k[1]["total"] == 0
-    s = df.select(*[c.alias(n) for n, c in X.stylometry(F.col("text")).items()]).collect()
-    assert s[0]["sentences"] == 2 and s[0]["sentence_mean"] == 2 and s[0]["sentence_std"] == 1 and s[0]["type_token"] == 0.75 and s[1]["word_mean"] == 0
+    texts = spark.createDataFrame([(1, "Jo kaj, baca! Jo."), (2, None), (3, "A-b \u2013 c... \u201eD\u201d 12?")], "doc_id long, text string")
+    s = {r["doc_id"]: r for r in X.stylometry(texts).collect()}
+    assert len(s[1]) == 18 and all(s[2][c] == 0 for c in s[2].asDict() if c != "doc_id")
+    assert s[1]["sentence_count"] == 2 and s[1]["sentence_length_words_mean"] == 2 and s[1]["sentence_length_words_std"] == 1 and s[1]["type_token_ratio"] == 0.75
+    assert s[1]["uppercase_ratio"] == pytest.approx(2 / 11) and s[1]["commas_per_100_chars"] == pytest.approx(100 / 17) and s[1]["hapax_legomena_ratio"] == 0.5 and s[1]["yules_k"] == pytest.approx(1e4 * 2 / 16)
+    assert s[3]["dashes_per_100_chars"] == pytest.approx(200 / 18) and s[3]["ellipses_per_100_chars"] == pytest.approx(100 / 18) and s[3]["quotes_per_100_chars"] == pytest.approx(200 / 18) and s[3]["digit_ratio"] == pytest.approx(2 / 18)
 
 
 def test_char_grams_and_shingles(spark):
@@ -143,3 +147,21 @@ def test_streams(spark, tmp_path):
     assert spark.table("seen").count() == 8
     assert spark.table("bucket").count() == 9 and spark.table("bucket").where("allowed").count() == 5
     assert jobs.tallies(events).first()["n"] == 9
+
+
+def test_splits_keep_every_row(spark):
+    rows = [(i, f"t{i}", f"s{i % 9}" if i % 5 else None, "x" if i % 4 else None) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, text string, speaker_id string, dialect string")
+    split = C.group_split(df, "speaker_id", "dialect").collect()
+    assert sorted(r["id"] for r in split) == list(range(60)) and {r["split"] for r in split} == {"train", "validation", "test"}
+    assert all(len({r["split"] for r in split if r["speaker_id"] == g}) == 1 for g in {r["speaker_id"] for r in split} if g)
+    assert sorted(r["id"] for r in C.grouped_kfold(df, "speaker_id", "dialect", 3).collect()) == list(range(60))
+
+
+def test_self_training_by_confidence(spark):
+    train = spark.createDataFrame([(1, "kot pies kot", "a"), (2, "auto rower auto", "b")], "id long, text string, dialect string")
+    pool = spark.createDataFrame([(10, "kot kot pies kot mysz", None), (11, "rower auto rower auto", None), (12, "kot auto", None), (13, "mysz mysz mysz mysz", None)], train.schema)
+    got = sorted(tuple(r) for r in M.self_train(train, pool, "dialect").select("round", "dialect", "n").collect())
+    assert got == [(0, "a", 1), (0, "b", 1), (1, "a", 1)]  # 13 is sure only once mysz is known; 12 never
+    assert M.self_train(train, pool.limit(0), "dialect").count() == 0
+    assert [r["n"] for r in M.self_train(train, pool, "dialect", rounds=1, cap=1).collect()] == [1]

@@ -7,9 +7,11 @@ summed by diagonal; a phrase stands where its diagonal has all its votes.
 Diagonals of a template that lie within ``DRIFT`` of each other are merged
 into spans, so that a notice with words put in or left out is still one
 span, and a span's label holds if it covers ``COVER`` of the template's pairs.
-Words are compared as well as hashes.
+Words are compared as well as hashes. A template's covered places are bits of
+as many integers (segments of ``SEGMENT`` places) as it needs, so templates
+may have any length. Pairs of two function words do not vote for notices.
 
-The templates are fixed and few (about 150 pairs), so they are broadcast. The
+The templates are fixed and few (some 500 pairs), so they are broadcast. The
 join keeps one row for each text besides the matches, and everything after it
 is grouped by a number that each row gets when it is read; no text is read
 twice.
@@ -28,11 +30,13 @@ from .common import documents
 WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 DRIFT = 2
 COVER = 0.7
+SEGMENT = 60
+FUNCTION_WORDS = frozenset("a an and any as at be by for from in is it not of on or out that the this to under use with you".split())
 
 #: The phrases and labels that are asked for.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
-#: Opening or naming sentences of well-known licenses, up to 60 words each.
+#: Opening or naming sentences of well-known licenses, and whole texts or notices of some.
 NOTICES = (
     ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "mit"),
     ("released under the mit license", "mit"),
@@ -47,28 +51,61 @@ NOTICES = (
     ("this work is licensed under a creative commons attribution sharealike", "cc-by-sa"),
     ("this is free and unencumbered software released into the public domain", "unlicense"),
     ("no part of this publication may be reproduced", "reserved"),
-)
+    (
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation "
+        "the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions "
+        "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied "
+        "including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability "
+        "whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+        "mit",
+    ),
+    (
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 "
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied "
+        "see the license for the specific language governing permissions and limitations under the license",
+        "apache-2",
+    ),
+    (
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice "
+        "this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+        "bsd",
+    ),
+    (
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version "
+        "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details",
+        "gpl",
+    ),
+    (
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+        "isc",
+    ),
+)
+
+
+def template_pairs():
+    """(tid, label, base, t, size, first word, second word): one for each voting pair of each template; size is their number."""
+    for tid, (words, label, base) in enumerate([(p, x, True) for p, x in PHRASES] + [(p, x, False) for p, x in NOTICES]):
+        w = words.split()
+        voting = [t for t in range(len(w) - 1) if base or not FUNCTION_WORDS.issuperset(w[t : t + 2])]
+        yield from ((tid, label, base, t, len(voting), w[t], w[t + 1]) for t in voting)
 
 
 def pairs(spark: SparkSession) -> DataFrame:
-    """tid, label, base, t, size (pairs in all), wa, wb, h: one row for each pair of each template."""
-    rows = []
-    for tid, (words, label, base) in enumerate([(p, x, True) for p, x in PHRASES] + [(p, x, False) for p, x in NOTICES]):
-        w = words.split()
-        rows += [f"({tid}, '{label}', {str(base).lower()}, {t}, {len(w) - 1}, '{w[t]}', '{w[t + 1]}')" for t in range(len(w) - 1)]
+    """tid, label, base, t, size, wa, wb, h: one row for each pair of ``template_pairs``."""
+    rows = [f"({tid}, '{label}', {str(base).lower()}, {t}, {size}, '{a}', '{b}')" for tid, label, base, t, size, a, b in template_pairs()]
     return spark.sql("SELECT *, xxhash64(wa, wb) AS h FROM VALUES " + ", ".join(rows) + " AS x(tid, label, base, t, size, wa, wb)")
 
 
 def votes(docs: DataFrame) -> DataFrame:
-    """rid, doc_id, n_words, tid, label, base, size, diagonal, covered (bits of template places): by diagonal; tid is null on one row of each text."""
+    """rid, doc_id, n_words, tid, label, base, size, diagonal, segment, covered (bits of template places): by diagonal and segment; tid is null on one row of each text."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     words = documents(docs).select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.regexp_extract_all(F.translate("text", upper, lower), F.lit(WORD), F.lit(0)).alias("w"))
     rolling = words.select("rid", "doc_id", F.size("w").cast("long").alias("n_words"), F.posexplode_outer(F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))).alias("b"))).alias("p", "pair"))
     rolling = rolling.select("rid", "doc_id", "n_words", F.coalesce("p", F.lit(0)).alias("p"), F.col("pair.a").alias("a"), F.col("pair.b").alias("b")).withColumn("hash", F.xxhash64("a", "b"))
     met = rolling.join(F.broadcast(pairs(docs.sparkSession)), (F.col("hash") == F.col("h")) & (F.col("a") == F.col("wa")) & (F.col("b") == F.col("wb")), "left").where("tid IS NOT NULL OR p = 0")
     # a text whose first pair matches has no row without a match: its matches carry doc_id and n_words as well
-    voted = met.select("rid", "doc_id", "n_words", "tid", "label", "base", "size", (F.col("p") - F.col("t")).cast("long").alias("diagonal"), F.expr("shiftleft(1L, t)").alias("place"))
-    return voted.repartition("rid").groupBy("rid", "doc_id", "n_words", "tid", "label", "base", "size", "diagonal").agg(F.bit_or("place").alias("covered"))
+    voted = met.select("rid", "doc_id", "n_words", "tid", "label", "base", "size", (F.col("p") - F.col("t")).cast("long").alias("diagonal"), F.expr(f"t div {SEGMENT}").alias("segment"), F.expr(f"shiftleft(1L, t % {SEGMENT})").alias("place"))
+    return voted.repartition("rid").groupBy("rid", "doc_id", "n_words", "tid", "label", "base", "size", "diagonal", "segment").agg(F.bit_or("place").alias("covered"))
 
 
 def spans(voted: DataFrame) -> DataFrame:
@@ -77,9 +114,9 @@ def spans(voted: DataFrame) -> DataFrame:
     far = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(near) > DRIFT, F.lit(True)) | F.col("base")
     numbered = voted.withColumn("far", far.cast("int")).withColumn("span", F.sum("far").over(near))
     whole = F.col("base") & (F.bit_count("covered") == F.col("size"))
-    return numbered.groupBy("rid", "doc_id", "n_words", "tid", "label", "base", "size", "span").agg(
-        (F.bit_count(F.bit_or("covered")) / F.col("size")).alias("cover"), F.count_if(whole).alias("n"), F.min(F.when(whole, F.col("diagonal"))).alias("first"), F.max(F.when(whole, F.col("diagonal"))).alias("last")
-    )
+    own = ["rid", "doc_id", "n_words", "tid", "label", "base", "size", "span"]
+    by_segment = numbered.groupBy(*own, "segment").agg(F.bit_count(F.bit_or("covered")).alias("k"), F.count_if(whole).alias("n"), F.min(F.when(whole, F.col("diagonal"))).alias("first"), F.max(F.when(whole, F.col("diagonal"))).alias("last"))
+    return by_segment.groupBy(*own).agg((F.sum("k") / F.col("size")).alias("cover"), F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
 
 
 def scan(docs: DataFrame) -> DataFrame:

@@ -34,20 +34,18 @@ SELECT d.doc_id, len(d.w) AS n_words, count_if(NOT kept) AS n_removed, sha256(co
 
 
 def _license_sql() -> str:
-    from .licenses import COVER, DRIFT, NOTICES, PHRASES
+    from .licenses import COVER, DRIFT, SEGMENT, template_pairs
 
-    rows = []
-    for tid, (words, label, base) in enumerate([(p, x, True) for p, x in PHRASES] + [(p, x, False) for p, x in NOTICES]):
-        w = words.split()
-        rows += [f"({tid}, '{label}', {base}, {t}, {len(w) - 1}, '{w[t]}', '{w[t + 1]}')" for t in range(len(w) - 1)]
+    rows = [f"({tid}, '{label}', {base}, {t}, {size}, '{x}', '{y}')" for tid, label, base, t, size, x, y in template_pairs()]
     return rf"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
      q AS (SELECT * FROM (VALUES {", ".join(rows)}) v(tid, label, base, t, size, wa, wb)),
      g AS (SELECT rid, p, w[p + 1] AS wa, w[p + 2] AS wb FROM d, unnest(range(0, len(w) - 1)) t(p)),
-     v AS (SELECT rid, tid, label, base, size, p - t AS diagonal, bit_or(1::BIGINT << t::BIGINT) AS covered FROM g JOIN q USING (wa, wb) GROUP BY ALL),
+     v AS (SELECT rid, tid, label, base, size, p - t AS diagonal, t // {SEGMENT} AS segment, bit_or(1::BIGINT << (t % {SEGMENT})::BIGINT) AS covered FROM g JOIN q USING (wa, wb) GROUP BY ALL),
      f AS (SELECT *, base OR coalesce(diagonal - lag(diagonal) OVER (PARTITION BY rid, tid ORDER BY diagonal) > {DRIFT}, true) AS far FROM v),
      n AS (SELECT *, sum(far::INT) OVER (PARTITION BY rid, tid ORDER BY diagonal) AS span, base AND bit_count(covered) = size AS whole FROM f),
-     s AS (SELECT rid, tid, label, base, bit_count(bit_or(covered)) / size::DOUBLE AS cover, count_if(whole) AS n, min(CASE WHEN whole THEN diagonal END) AS a, max(CASE WHEN whole THEN diagonal END) AS b FROM n GROUP BY rid, tid, label, base, size, span),
+     e AS (SELECT rid, tid, label, base, size, span, bit_count(bit_or(covered)) AS k, count_if(whole) AS n, min(CASE WHEN whole THEN diagonal END) AS a, max(CASE WHEN whole THEN diagonal END) AS b FROM n GROUP BY rid, tid, label, base, size, span, segment),
+     s AS (SELECT rid, tid, label, base, sum(k) / size::DOUBLE AS cover, sum(n) AS n, min(a) AS a, max(b) AS b FROM e GROUP BY rid, tid, label, base, size, span),
      l AS (SELECT rid, sum(n)::BIGINT AS n_base, min(a) AS first_word, max(b) AS last_word, max(cover) AS score, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base AND n > 0) AS base_labels,
              string_agg(DISTINCT label, ',' ORDER BY label) FILTER (CASE WHEN base THEN n > 0 ELSE cover >= {COVER}::DOUBLE END) AS labels FROM s GROUP BY rid)
 SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score FROM d LEFT JOIN l USING (rid)

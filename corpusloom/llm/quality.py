@@ -162,6 +162,8 @@ def good_documents(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROW
 
     def run(batches):
         for batch in batches:
-            yield batch.filter(pa.array(score(W.text_column(batch)) >= 0.5))
+            text = batch.column("row").field("text").cast(pa.string()).fill_null("")
+            yield batch.filter(pa.array(score(text) >= 0.5, pa.bool_()))
 
-    return in_tasks(docs, run, docs.schema)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))  # in one struct no name clashes
+    return in_tasks(rows, run, rows.schema).select("row.*")

@@ -185,6 +185,35 @@ def test_license_notice_with_an_inserted_word(spark):
     assert row["labels"] == "mit" and row["n_base"] == 0
 
 
+def test_license_of_a_long_template(spark):
+    whole = max((x for x, label in licenses.NOTICES if label == "mit"), key=len)
+    words = whole.split()
+    texts = [whole, " ".join(words[:40] + ["changed"] + words[40:]), " ".join(words[:120]), " ".join(words[60:100])]
+    rows = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), COLUMNS)).collect()}
+    assert len(words) > 2 * licenses.SEGMENT and rows[0]["labels"] == rows[1]["labels"] == "mit" and rows[0]["score"] == 1 and rows[3]["labels"] == ""
+    same = sorted(licenses.template_pairs())
+    assert all(size == sum(p[0] == tid for p in same) for tid, _, _, _, size, _, _ in same)
+
+
+def same_as_sql(spark, name, texts):
+    import duckdb
+    import pandas as pd
+
+    from corpusloom.llm.oracles import ORACLE_SQL
+
+    rows = list(enumerate(texts))
+    documents = pd.DataFrame(rows, columns=["doc_id", "text"])  # noqa: F841  (DuckDB reads it)
+    want = duckdb.sql(ORACLE_SQL[name])
+    got = licenses.scan(spark.createDataFrame(rows, COLUMNS)).select(*want.columns).collect()
+    show = lambda r: tuple(round(x, 9) if isinstance(x, float) else x for x in r)
+    assert sorted(map(show, got)) == sorted(map(show, want.fetchall()))
+
+
+def test_licenses_against_sql(spark, texts):
+    notices = [x for x, _ in licenses.NOTICES]
+    same_as_sql(spark, "op5_license_scan", [t or "" for t in texts] + notices + [notices[13][:700] + " cc by " + notices[14]])
+
+
 def test_simhash(docs, empty):
     rows = pairs(docs)
     fps = [brute.fingerprint(x) for _, x in rows]
@@ -358,3 +387,54 @@ def test_pipeline(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         kept = stage(spark, docs, sf)
         assert kept.columns == docs.columns and {r[0] for r in kept.select("doc_id").collect()} <= {r[0] for r in docs.select("doc_id").collect()}
+
+
+CLASHING = "doc_id long, text string, did long, text_key string, row string, `_hits` int, `_a` int, last string, node int, source string, `a.b` int, n_chars int"
+
+
+def test_stages_with_clashing_columns_nulls_and_repeats(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    some = spark.read.parquet(f"{sf}/documents.parquet").limit(12).collect()
+    rows = [(r["doc_id"], r["text"], 111, "k", "r", 5, 6, "l", 7, r["source"], 8, r["n_chars"]) for r in some]
+    rows += [rows[0], (None, None, None, None, None, None, None, None, None, None, None, None), (None, "", 1, "x", "y", 1, 1, "z", 1, None, 1, 0)]
+    docs = spark.createDataFrame(rows, CLASHING).repartition(3)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        for given in (docs, docs.limit(0)):
+            out = stage(spark, given, sf)
+            assert out.schema.names == docs.schema.names
+            kept = out.collect()
+            assert all(r["did"] == 111 and r["a.b"] == 8 and r["_a"] == 6 for r in kept if r["doc_id"] is not None) and len(kept) <= len(rows)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() == len(rows)
+
+
+def test_long_texts_in_pieces(spark, monkeypatch):
+    """Documents cut into pieces, one with a word longer than a piece, give what whole ones give."""
+    from corpusloom.llm import words as W
+
+    monkeypatch.setattr(W, "CHUNK_BYTES", 400)
+    monkeypatch.setattr(W, "_BLOCK", 800)
+    rng = random.Random(3)
+    line = lambda n: " ".join(f"w{rng.randint(0, 60)}{'é' * rng.randint(0, 2)}" for _ in range(n))
+    long_ = line(900)
+    texts = [long_, line(300) + " " + "x" * 3000 + " " + line(400), "y" * 5000, "  \n" * 900, long_[700:2500], line(30), ""]
+    column = W.pa.array(texts)
+    for classes, fold in ((W.SPACED, W.SAME), (W.ALNUM, W.LOWER)):
+        whole = [(i, int(p), int(h)) for c in W.chunks(column, classes, fold, cut=False) for i, p, h in zip(c.doc + c.lo, c.pos, c.hashes())]
+        cut = [(i, int(p), int(h)) for c in W.chunks(column, classes, fold, 12) for i, p, h in list(zip(c.doc + c.lo, c.pos, c.hashes()))[: c.mine]]
+        assert [tuple(map(int, x)) for x in cut] == [tuple(map(int, x)) for x in whole]
+    for n in (2, 5, 13):
+        grams = lambda **k: [(int(c.doc[i]) + c.lo, int(c.pos[i]), int(W.grams(c.hashes(), n)[i])) for c in W.chunks(column, W.SPACED, W.LOWER, **k) for i in c.begins(n)]
+        assert grams(overlap=12) == grams(cut=False)
+
+
+def test_quality_on_held_out_rows(spark):
+    """Accuracy and area under the curve on rows that were not learnt from."""
+    sf = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    rows = quality.classify(spark.read.parquet(f"{sf}/documents.parquet"), labels).where("held_out").join(labels, "doc_id").select("score", "predicted", "quality").collect()
+    good, bad = [r["score"] for r in rows if r["quality"] == 1], [r["score"] for r in rows if r["quality"] == 0]
+    auc = sum((g > b) + (g == b) / 2 for g in good for b in bad) / (len(good) * len(bad))
+    assert auc > 0.95 and sum(r["predicted"] == r["quality"] for r in rows) / len(rows) > 0.93
+    print("held-out", len(rows), auc)

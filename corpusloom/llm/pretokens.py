@@ -75,10 +75,30 @@ class Cache:
         self.encode, self.kept, self.most, self.old = encode, dict(kept), most, {}
         self.young = dict(self.kept)
 
-    def table(self, tokens: set[str]) -> dict:
-        """Values of all the tokens, and of others; what is not kept any more is encoded together."""
+    def turn(self) -> None:
         if len(self.young) > self.most:
             self.old, self.young = self.young, dict(self.kept)
+
+    def values(self, tokens: list[str]) -> list:
+        """Values of the tokens, all different, in their order; what is not kept any more is encoded together."""
+        self.turn()
+        out = list(map(self.young.get, tokens))
+        missing = [i for i, x in enumerate(out) if x is None]
+        new = []
+        for i in missing:
+            out[i] = self.old.get(tokens[i])
+            if out[i] is None:
+                new.append(i)
+        if new:
+            found = self.encode([tokens[i] for i in new])
+            for i in new:
+                out[i] = found[tokens[i]]
+        self.young.update((tokens[i], out[i]) for i in missing)
+        return out
+
+    def table(self, tokens: set[str]) -> dict:
+        """Values of all the tokens, and of others; what is not kept any more is encoded together."""
+        self.turn()
         missing = tokens.difference(self.young)
         back = missing.intersection(self.old)
         self.young.update(zip(back, map(self.old.__getitem__, back)))

@@ -43,12 +43,12 @@ END = 2
 SHARD_TOKENS = 1 << 20
 RULES_A_ROUND = 2048
 LEAST_USES = 4
-CACHED = 150_000
+CACHED = 250_000
 _MAGIC = b"RPAIR001"
 _BUCKETS = 1 << 18
 
 
-def frequent(pair: np.ndarray, shift: int, closed: np.ndarray, room: int) -> np.ndarray:
+def frequent(seq: np.ndarray, pair: np.ndarray, shift: int, closed: np.ndarray, room: int) -> np.ndarray:
     """Up to room of the pairs that have LEAST_USES places or more that do not overlap, the most frequent first."""
     kind = pair.dtype.type
     order = np.sort(pair)
@@ -59,7 +59,7 @@ def frequent(pair: np.ndarray, shift: int, closed: np.ndarray, room: int) -> np.
     left, right = found >> kind(shift), found & ((kind(1) << kind(shift)) - kind(1))
     own = np.flatnonzero(left == right)  # a pair of one symbol overlaps itself
     if len(own):
-        apart, n = np.unique(pair[every_other(np.flatnonzero(pair >> kind(shift) == pair & ((kind(1) << kind(shift)) - kind(1))))], return_counts=True)
+        apart, n = np.unique(pair[every_other(np.flatnonzero(seq[:-1] == seq[1:]))], return_counts=True)
         count[own] = n[np.searchsorted(apart, found[own])]
     ok = (count >= LEAST_USES) & ~closed[left.astype(np.int64)]
     found, count = found[ok], count[ok]
@@ -86,14 +86,18 @@ def compress(ids: np.ndarray, vocab: int) -> tuple[np.ndarray, np.ndarray]:
     closed[END] = True
     while len(seq) > 1 and len(rules) < limit:
         pair = seq[:-1] << kind(shift) | seq[1:]
-        heavy = frequent(pair, shift, closed, min(RULES_A_ROUND, limit - len(rules)))
+        heavy = frequent(seq, pair, shift, closed, min(RULES_A_ROUND, limit - len(rules)))
         if not len(heavy):
             break
         bucket = (pair * spread >> down).astype(np.int64)
         for some in (heavy[::-1], heavy[:1]):  # where the places of many leave none enough, the first pair alone
             chosen_pair = np.full(_BUCKETS, ~kind(0), kind)
-            chosen_pair[(some * spread >> down).astype(np.int64)] = some  # one pair a bucket, the most frequent
-            at = every_other(np.flatnonzero(chosen_pair[bucket] == pair))
+            own = (some * spread >> down).astype(np.int64)
+            chosen_pair[own] = some  # one pair a bucket, the most frequent
+            taken = np.zeros(_BUCKETS, bool)
+            taken[own] = True
+            at = np.flatnonzero(taken[bucket])
+            at = every_other(at[chosen_pair[bucket[at]] == pair[at]])
             uses = np.bincount(bucket[at], minlength=_BUCKETS)
             chosen = np.flatnonzero(uses >= LEAST_USES)
             if len(chosen):
@@ -212,6 +216,7 @@ class Shard:
 
 _caches: dict = {}
 _ALNUM = np.array([chr(x).isalnum() for x in range(128)] + [False] * 128)
+_LATIN = np.array([chr(x).isalnum() for x in range(0x250)])
 _TAIL = "!\"#$%&()*+,-./:;=?@[]^_`{|}~"
 
 
@@ -244,6 +249,20 @@ def _ends(strings: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return n, np.where(n > 0, some[np.minimum(at[:-1], len(data))], 0), np.where(n > 0, some[at[1:] - 1], 0).astype(np.int64)
 
 
+def _last(strings: pa.Array, n: np.ndarray) -> pa.Array:
+    """The last n bytes of each string."""
+    at, data = np.frombuffer(strings.buffers()[1], np.int64, len(strings) + 1, 8 * strings.offset), np.frombuffer(strings.buffers()[2] or b"", np.uint8)
+    return pa.LargeStringArray.from_buffers(len(n), pa.py_buffer(np.append(0, np.cumsum(n))), pa.py_buffer(_gather(at[1:] - n, n, data)))
+
+
+def _latin(strings: pa.Array) -> np.ndarray:
+    """Whether each string, not empty, ends with a letter or digit below U+0250."""
+    at, data = np.frombuffer(strings.buffers()[1], np.int64, len(strings) + 1, 8 * strings.offset), np.frombuffer(strings.buffers()[2] or b"", np.uint8)
+    last, lead = data[at[1:] - 1].astype(np.int64), data[np.maximum(at[1:] - 2, 0)].astype(np.int64)
+    point = np.where(last < 128, last, (lead & 31) << 6 | last & 63)  # two bytes, if the first of them is a lead byte below 0xCA
+    return ((last < 128) | (lead >= 0xC2) & (lead < 0xCA)) & _LATIN[np.minimum(point, 0x24F)]
+
+
 def _joined(raw: list[bytes], wide) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Where each value's ids begin, how many they are, and all ids."""
     n = np.fromiter(map(len, raw), np.int64, len(raw)) // np.dtype(wide).itemsize
@@ -292,32 +311,35 @@ def encode_texts(texts: list[str], path: str):
         stems = pc.ascii_rtrim(distinct, characters=_TAIL)
         kept, _, last = _ends(stems)
         tail = np.where((last < 128) & ~_ALNUM[last], 0, size - kept)  # bytes of punctuation to encode apart
-        for i in np.flatnonzero((last >= 128) & (tail > 0)).tolist():
-            x = stems[i].as_py()[-1]
-            tail[i] = tail[i] if x <= "\u024f" and x.isalnum() else 0
+        wider = np.flatnonzero((last >= 128) & (tail > 0))
+        tail[wider[~_latin(stems.take(pa.array(wider)))]] = 0
         stems = pc.if_else(pa.array(tail > 0), stems, distinct).dictionary_encode()
         words = stems.dictionary.to_numpy(zero_copy_only=False).tolist()
-        ends = {chr(x): x for x in np.unique(final[tail == 1]).tolist()}  # one mark of punctuation by its byte
-        which = np.where(tail == 1, final, 0)
-        for i in np.flatnonzero(tail > 1).tolist():
-            which[i] = ends.setdefault(distinct[i].as_py()[-tail[i] :], 128 + len(ends))
-        number = np.zeros(256 + len(ends), np.int64)
-        number[list(ends.values())] = np.arange(1, len(ends) + 1)
-        which = len(words) + number[which]
-        begins, n, flat = _joined([*map(cache.table(set(words)).__getitem__, words), b"", *(alone(x).tobytes() for x in ends)], wide)
+        marks, many = np.unique(final[tail == 1]), np.flatnonzero(tail > 1)  # one mark of punctuation, by its byte, or more
+        tails = _last(distinct.take(pa.array(many)), tail[many]).dictionary_encode()
+        number = np.zeros(128, np.int64)
+        number[marks] = np.arange(1, len(marks) + 1)
+        which = number[np.where(tail == 1, final, 0)]
+        which[many] = 1 + len(marks) + tails.indices.to_numpy()
+        which += len(words)
+        ends = [*map(chr, marks.tolist()), *tails.dictionary.to_pylist()]
+        begins, n, flat = _joined([*cache.values(words), b"", *(alone(x).tobytes() for x in ends)], wide)
         pairs = np.stack([stems.indices.to_numpy().astype(np.int64), which], axis=1).ravel()
         flat = _gather(begins[pairs], n[pairs], flat)
         lengths, places = np.zeros(len(met), np.int64), np.zeros(len(met), np.int64)
         lengths[met] = n[pairs].reshape(-1, 2).sum(axis=1)
         places[met] = np.cumsum(lengths[met]) - lengths[met]
 
+        leads = {}
         for text, other, a, b in zip(texts[lo:hi], whole.tolist(), bounds[:-1].tolist(), bounds[1:].tolist()):
             lead = text.partition(" ")[0]
             if other or P.SPECIAL in lead:
                 yield alone(text)
             else:
                 part = code[a + 1 : b]
-                yield np.concatenate([alone(lead), _gather(places[part], lengths[part], flat)])
+                if lead not in leads:
+                    leads[lead] = alone(lead)
+                yield np.concatenate([leads[lead], _gather(places[part], lengths[part], flat)])
 
 
 def write_shards(docs: DataFrame, tokenizer_path: str, path: str, shard_tokens: int = SHARD_TOKENS) -> None:

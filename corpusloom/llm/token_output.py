@@ -43,7 +43,7 @@ END = 2
 SHARD_TOKENS = 1 << 20
 RULES_A_ROUND = 2048
 LEAST_USES = 4
-CACHED = 250_000
+CACHED = 150_000
 _MAGIC = b"RPAIR001"
 _BUCKETS = 1 << 18
 

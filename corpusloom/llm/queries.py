@@ -32,7 +32,7 @@ def op1_token_counts(spark, sf_dir):
 
 
 def op2_token_output(spark, sf_dir):
-    return token_output(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    return token_output(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), cached=250_000)
 
 
 def op3_decontamination(spark, sf_dir):

@@ -43,7 +43,7 @@ END = 2
 SHARD_TOKENS = 1 << 20
 RULES_A_ROUND = 2048
 LEAST_USES = 4
-CACHED = 150_000
+CACHED = 150_000  # stretches in each of two generations of a worker's cache: memory against time, the ids are the same
 _MAGIC = b"RPAIR001"
 _BUCKETS = 1 << 18
 
@@ -220,7 +220,7 @@ _LATIN = np.array([chr(x).isalnum() for x in range(0x250)])
 _TAIL = "!\"#$%&()*+,-./:;=?@[]^_`{|}~"
 
 
-def _cache(path: str) -> P.Cache:
+def _cache(path: str, most: int) -> P.Cache:
     """Ids of stretches that follow a space, that space included."""
     if path not in _caches:
         t = P.tokenizer(path)
@@ -234,7 +234,7 @@ def _cache(path: str) -> P.Cache:
             raw, cuts = ids.tobytes(), (cuts * ids.itemsize).tolist()
             return {x: raw[a:b] for x, a, b in zip(stretches, cuts, cuts[1:])}
 
-        _caches[path] = P.Cache(encode, most=CACHED)
+        _caches[path] = P.Cache(encode, most=most)
     return _caches[path]
 
 
@@ -276,7 +276,7 @@ def _gather(begins: np.ndarray, n: np.ndarray, flat: np.ndarray) -> np.ndarray:
     return flat[source]
 
 
-def encode_texts(texts: list[str], path: str):
+def encode_texts(texts: list[str], path: str, cached: int = CACHED):
     """The ids of each text, without the end id.
 
     A text is cut before its spaces: the tokenizer begins a pre-token at any
@@ -285,7 +285,7 @@ def encode_texts(texts: list[str], path: str):
     its punctuation apart. Texts with other spaces, or with the opening of a
     special token, go to the library whole.
     """
-    t, cache = P.tokenizer(path), _cache(path)
+    t, cache = P.tokenizer(path), _cache(path, cached)
     wide = _wide(t)
 
     def alone(text):
@@ -342,7 +342,7 @@ def encode_texts(texts: list[str], path: str):
                 yield np.concatenate([leads[lead], _gather(places[part], lengths[part], flat)])
 
 
-def write_shards(docs: DataFrame, tokenizer_path: str, path: str, shard_tokens: int = SHARD_TOKENS) -> None:
+def write_shards(docs: DataFrame, tokenizer_path: str, path: str, shard_tokens: int = SHARD_TOKENS, cached: int = CACHED) -> None:
     """Writes the shards of docs as a Parquet table."""
 
     def encode(batches):
@@ -354,7 +354,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, path: str, shard_tokens:
 
         for batch in batches:
             part = batch.column("part")[0].as_py() if batch.num_rows else part
-            for doc_id, found in zip(batch.column("doc_id").to_pylist(), encode_texts(batch.column("text").to_pylist(), tokenizer_path)):
+            for doc_id, found in zip(batch.column("doc_id").to_pylist(), encode_texts(batch.column("text").to_pylist(), tokenizer_path, cached)):
                 found = np.append(found, found.dtype.type(END))
                 if ids and size + len(found) > shard_tokens:
                     yield shard()
@@ -391,8 +391,8 @@ def read_shards(spark, path: str) -> DataFrame:
     return in_tasks(shards.select("part", "before", "shard"), decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def token_output(docs: DataFrame, tokenizer_path: str, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+def token_output(docs: DataFrame, tokenizer_path: str, shard_tokens: int = SHARD_TOKENS, cached: int = CACHED) -> DataFrame:
     """Writes the shards and reads them back: doc_id, start, n_tokens, ids_crc32, one row for each row of docs."""
     path = scratch(docs.sparkSession, "token-shards")
-    write_shards(docs, tokenizer_path, path, shard_tokens)
+    write_shards(docs, tokenizer_path, path, shard_tokens, cached)
     return read_shards(docs.sparkSession, path)

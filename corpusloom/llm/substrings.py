@@ -9,17 +9,22 @@ never built whole:
    that ends with the window's least 8-gram (by hash). Equal windows have
    equal prefixes. A run of neighbouring suffixes mostly shares its least
    8-gram, so one row stands for a run of them.
-2. A prefix group with one run holds only leaves and is pruned. For the rest
-   the suffixes' 35 words follow, as a 64-bit hash for each suffix; a group is
-   then a subtree cut at depth 35, kept as its suffixes in sorted order, and
-   its internal nodes of that depth are the stretches of equal neighbours.
-3. Neighbouring repeated windows make the maximal repeats, and words that one
+2. The runs of each prefix are counted. A prefix with one run holds only
+   leaves and is pruned. A prefix of more than ``GROUP_RUNS`` runs is
+   lengthened, for each of its suffixes, to all 35 words, and its suffixes are
+   dealt to as many parts as the count asks for.
+3. For what is left the words of the runs follow. Each group becomes a
+   subtree cut at depth 35: words are numbered, suffixes are ranked by
+   doubling the number of words compared, and a rank that two suffixes share
+   is an internal node of that depth. Of a lengthened prefix each part passes
+   on one suffix for each rank, and these meet once more.
+4. Neighbouring repeated windows make the maximal repeats, and words that one
    covers are removed.
 
-Before each shuffle, a block of documents settles what repeats within the
-block, and sends one suffix for each distinct window. So a passage that many
-documents share gives at most a row for each block, not one for each copy.
-Windows match if their least 8-gram's and their own 64-bit hash match.
+Before the first shuffle, a block of documents settles what repeats within the
+block (there by 64-bit hashes of whole windows), and sends one suffix for each
+distinct window. So a passage that many documents share gives at most a row
+for each block, not one for each copy. Across blocks, words are compared.
 
 Defined results: a null or empty text, or one without words, has no words and
 its kept text is the empty string. Texts of fewer than 35 words lose nothing.
@@ -33,7 +38,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from . import words as W
 from .common import documents, keyed
@@ -41,8 +46,10 @@ from .common import documents, keyed
 WINDOW = 35
 GRAM = 8
 BLOCK_WINDOWS = 1_500_000
+GROUP_RUNS = 1024
 _RUN = "m long, local boolean, did long, text_key long, p long, n int"
-_HASHED = _RUN + ", hashes binary"
+#: again: the key under which a lengthened prefix's parts meet, else null
+_WORDS = _RUN + ", again long, words binary"
 
 
 def least_grams(h: np.ndarray, window: int, gram: int) -> np.ndarray:
@@ -79,11 +86,11 @@ def _settle(whash: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, many
 
 
-def _run_rows(m, local: bool, did, key, p, n, hashes=None) -> pa.RecordBatch:
+def _run_rows(m, local: bool, did, key, p, n, again=None, words=None) -> pa.RecordBatch:
     if local:  # settled: no need to meet others, so dealt evenly
         m = W.mix(key.view(W.U) ^ p.view(W.U))
     out = {"m": pa.array(m.view(np.int64)), "local": pa.array(np.full(len(p), local)), "did": pa.array(did), "text_key": pa.array(key), "p": pa.array(p), "n": pa.array(n.astype(np.int32))}
-    return pa.RecordBatch.from_pydict(out if hashes is None else out | {"hashes": pa.array(hashes, pa.binary())})
+    return pa.RecordBatch.from_pydict(out if words is None else out | {"again": again, "words": words})
 
 
 def _prefixes(window: int, gram: int):
@@ -101,9 +108,9 @@ def _prefixes(window: int, gram: int):
         parts, size, rows = [], 0, 0
         for batch in batches:
             did, key = batch.column("did").to_numpy(), batch.column("text_key").to_numpy()
-            for c in W.chunks(W.text_column(batch), W.SPACED):
+            for c in W.chunks(W.text_column(batch), W.SPACED, overlap=window):
                 h = c.hashes()
-                at = np.flatnonzero(c.left >= window)
+                at = c.begins(window)
                 if len(at):
                     doc = c.doc[at] + c.lo
                     parts.append((W.grams(h, window)[at], least_grams(h, window, gram)[at], doc + rows, c.pos[at], did[doc], key[doc]))
@@ -118,68 +125,116 @@ def _prefixes(window: int, gram: int):
     return run
 
 
-def _suffixes(window: int, gram: int):
-    """From each text and the runs that remain of it, the runs with their windows' hashes."""
+def _suffixes(window: int, gram: int, group_runs: int):
+    """From each text and the runs that remain of it, the runs with their words; those of a crowded prefix suffix by suffix."""
 
     def run(batches):
         for batch in batches:
             did, key, found = batch.column("did").to_numpy(), batch.column("text_key").to_numpy(), batch.column("runs")
-            for c in W.chunks(W.text_column(batch), W.SPACED):
+            for c in W.chunks(W.text_column(batch), W.SPACED, overlap=window):
                 h = c.hashes()
                 whole, least = W.grams(h, window), least_grams(h, window, gram)
-                out = {True: [], False: []}
+                own, few, many = [], [], []
                 for d in range(c.hi - c.lo):
-                    base = int(c.first[d])
+                    shift = int(c.first[d]) - c.base
+                    until = int(c.first[d + 1]) - shift if c.whole else c.base + c.mine
                     for r in found[c.lo + d].as_py():
-                        out[r["local"]].append((c.lo + d, base + r["p"], r["p"], r["n"]))
-                for local, rows in out.items():
-                    if rows:
-                        d, at, p, n = (np.array(x, np.int64) for x in zip(*rows))
-                        hashes = [b"" if local else whole[a : a + k].tobytes() for a, k in zip(at.tolist(), n.tolist())]
-                        yield _run_rows(least[at], local, did[d], key[d], p, n, hashes)
+                        p, end = max(r["p"], c.base), min(r["p"] + r["n"], until)
+                        if p < end:
+                            parts = -(-(r["met"] or 0) // group_runs)
+                            if r["local"]:
+                                own.append((c.lo + d, p + shift, p, end - p, 0))
+                            elif parts < 2:
+                                few.append((c.lo + d, p + shift, p, end - p, 0))
+                            else:
+                                many.extend((c.lo + d, q + shift, q, 1, parts) for q in range(p, end))
+                raw = c.data.data
+                for local, rows, longer in ((True, own, False), (False, few, False), (False, many, True)):
+                    if not rows:
+                        continue
+                    d, at, p, n, parts = (np.array(x, np.int64) for x in zip(*rows))
+                    m, again, words = least[at], pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.binary())
+                    if not local:
+                        ends = c.ends[at + n + window - 2]
+                        words = pa.array([bytes(raw[x:y]) for x, y in zip(c.starts[at].tolist(), ends.tolist())], pa.binary())
+                    if longer:
+                        part = W.mix(key[d].view(W.U)) % parts.view(W.U)
+                        m, again = W.mix(whole[at] ^ W.mix(part + W.U(1))), pa.array(whole[at].view(np.int64))
+                    yield _run_rows(m, local, did[d], key[d], p, n, again, words)
 
     return run
 
 
-def _subtrees(batches):
-    """Sorted by prefix group: positions of suffixes that share their window with another, as runs."""
+def ranks(ids: np.ndarray, window: int) -> np.ndarray:
+    """The rank of each suffix by its first ``window`` ids; equal ranks for equal ones. The last window - 1 have no use."""
+    rank, span = ids.astype(np.int64), 1
+    while span < window:
+        step = min(span, window - span)
+        pair = rank[:-step] * (int(rank.max()) + 1) + rank[step:]
+        rank = np.append(np.unique(pair, return_inverse=True)[1], np.zeros(step, np.int64))
+        span += step
+    return rank
+
+
+def word_ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of all words of the strings, equal for equal words, and where each string's words begin."""
+    size = np.diff(np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1])
+    raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8)
+    edges = np.cumsum(size) - size
+    starts, ends = W._runs(raw, W.SPACED, edges)
+    letters = raw[W.SPACED[raw] == 1].tobytes()
+    offsets = np.append(0, np.cumsum(ends - starts)).astype(np.int64)
+    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(letters)])
+    return words.dictionary_encode().indices.to_numpy(), np.searchsorted(starts, edges)
+
+
+def _subtrees(window: int):
+    """Sorted by prefix group: suffixes that share their window with another, as settled runs; of a lengthened prefix also one suffix for each window, to meet again."""
+
+    def settled(did, key, p, n):
+        if len(p):
+            yield _run_rows(p, True, did, key, p, n, pa.nulls(len(p), pa.int64()), pa.nulls(len(p), pa.binary()))
 
     def emit(t: pa.Table):
-        m, did, key, p, n = (t.column(x).to_numpy() for x in ("m", "did", "text_key", "p", "n"))
+        did, key, p, n = (t.column(x).to_numpy() for x in ("did", "text_key", "p", "n"))
         local = t.column("local").to_numpy(zero_copy_only=False)
         own = np.flatnonzero(local)
-        yield from out(did[own], key[own], p[own], n[own].astype(np.int64))
+        yield from settled(did[own], key[own], p[own], n[own])
         own = np.flatnonzero(~local)
-        if len(own):
-            size = n[own].astype(np.int64)
-            row = np.repeat(own, size)
-            whash = np.frombuffer(b"".join(t.column("hashes").take(pa.array(own)).to_pylist()), W.U)
-            step = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-            order = np.lexsort((whash, m[row]))
-            same = (whash[order][1:] == whash[order][:-1]) & (m[row][order][1:] == m[row][order][:-1])
-            deep = np.zeros(len(order), bool)
-            deep[order[1:][same]] = deep[order[:-1][same]] = True
-            at = np.flatnonzero(deep)
-            if len(at):
-                a, k = runs(p[row[at]] + step[at], row[at])
-                a = at[a]
-                yield from out(did[row[a]], key[row[a]], p[row[a]] + step[a], k)
+        if not len(own):
+            return
+        words = t.column("words").combine_chunks().take(pa.array(own))
+        ids, first = word_ids(words)
+        size = n[own].astype(np.int64)
+        row = np.repeat(np.arange(len(own)), size)
+        step = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+        rank = ranks(ids, window)[first[row] + step]
+        _, begin, node, count = np.unique(rank, return_index=True, return_inverse=True, return_counts=True)
+        at = np.flatnonzero(count[node] > 1)
+        if len(at):
+            a, k = runs(p[own][row[at]] + step[at], row[at])
+            a = at[a]
+            yield from settled(did[own][row[a]], key[own][row[a]], p[own][row[a]] + step[a], k)
+        again = t.column("again").combine_chunks().take(pa.array(own))
+        open_ = row[begin][again.is_valid().to_numpy(zero_copy_only=False)[row[begin]]]  # rows of one suffix each
+        if len(open_):
+            pick = pa.array(open_)
+            yield _run_rows(again.take(pick).to_numpy(), False, did[own][open_], key[own][open_], p[own][open_], n[own][open_], pa.nulls(len(open_), pa.int64()), words.take(pick))
 
-    def out(did, key, p, n):
-        if len(p):
-            yield pa.RecordBatch.from_pydict({"did": pa.array(did), "text_key": pa.array(key), "p": pa.array(p), "n": pa.array(n)})
+    def run(batches):
+        held = None
+        for batch in batches:  # the last group of a batch may go on in the next
+            t = pa.Table.from_batches([batch])
+            held = t if held is None else pa.concat_tables([held, t])
+            m = held.column("m").to_numpy()
+            if len(m) and m[0] != m[-1]:
+                cut = int(np.searchsorted(m, m[-1]))
+                yield from emit(held.slice(0, cut))
+                held = held.slice(cut).combine_chunks()
+        if held is not None and held.num_rows:
+            yield from emit(held)
 
-    held = None
-    for batch in batches:  # the last group of a batch may go on in the next
-        t = pa.Table.from_batches([batch])
-        held = t if held is None else pa.concat_tables([held, t])
-        m = held.column("m").to_numpy()
-        if len(m) and m[0] != m[-1]:
-            cut = int(np.searchsorted(m, m[-1]))
-            yield from emit(held.slice(0, cut))
-            held = held.slice(cut).combine_chunks()
-    if held is not None and held.num_rows:
-        yield from emit(held)
+    return run
 
 
 def _remove(window: int):
@@ -204,18 +259,19 @@ def _remove(window: int):
     return run
 
 
-def repeats(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def repeats(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, group_runs: int = GROUP_RUNS) -> DataFrame:
     """did, text_key, found: the runs (first start, number of starts) of each row's repeated windows, where it has any."""
     prefixes = rows.select("did", "text_key", "text").mapInArrow(_prefixes(window, gram), _RUN)
-    group = Window.partitionBy("m")
-    alive = prefixes.withColumn("met", F.count_if(~F.col("local")).over(group)).where("local or met > 1")
-    of_row = alive.groupBy("did", "text_key").agg(F.collect_list(F.struct("local", "p", "n")).alias("runs"))
-    suffixes = rows.join(of_row, ["did", "text_key"]).mapInArrow(_suffixes(window, gram), _HASHED)
-    deep = suffixes.repartition("m").sortWithinPartitions("m").mapInArrow(_subtrees, "did long, text_key long, p long, n long")
-    return deep.groupBy("did", "text_key").agg(F.collect_list(F.struct("p", "n")).alias("found"))
+    met = prefixes.where("not local").groupBy("m").agg(F.count("*").alias("met")).where("met > 1")
+    alive = prefixes.join(met, "m", "left").where("local or met is not null")
+    of_row = alive.groupBy("did", "text_key").agg(F.collect_list(F.struct("local", "p", "n", "met")).alias("runs"))
+    deep = rows.join(of_row, ["did", "text_key"]).mapInArrow(_suffixes(window, gram, group_runs), _WORDS)
+    for _ in range(2):  # the second time for lengthened prefixes alone; settled runs pass
+        deep = deep.repartition("m").sortWithinPartitions("m").mapInArrow(_subtrees(window), _WORDS)
+    return deep.where("local").groupBy("did", "text_key").agg(F.collect_list(F.struct("p", "n")).alias("found"))
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group_runs: int = GROUP_RUNS) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256: one row for each row of docs."""
     rows = keyed(documents(docs)).select("did", "text_key", "text", "doc_id")  # the same columns both times: one exchange serves both joins
-    return rows.join(repeats(rows, window, gram), ["did", "text_key"], "left").select("doc_id", "text", "found").mapInArrow(_remove(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return rows.join(repeats(rows, window, gram, group_runs), ["did", "text_key"], "left").select("doc_id", "text", "found").mapInArrow(_remove(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")

@@ -275,6 +275,21 @@ def test_substrings(docs, empty, monkeypatch, block):
     assert substrings.remove_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("group_runs", [1, 2, 1000])
+def test_substrings_of_crowded_prefixes_and_long_texts(spark, group_runs):
+    """Prefixes lengthened or not; repeats that lie across the pieces of a text of over 512 KB."""
+    rng = random.Random(3)
+    line = lambda n: " ".join(f"w{rng.randint(0, 9**6)}" for _ in range(n))
+    common, passage = line(8), line(50)
+    texts = [line(rng.randint(30, 40)) + " " + common + " " + line(rng.randint(30, 40)) for _ in range(40)]
+    texts += [line(20) + " " + passage + "\t" + line(20) for _ in range(12)] + [passage, None]
+    long_ = [line(60) for _ in range(2500)]
+    texts += [" ".join(long_), " ".join(x + " " + line(2) for x in long_), "word " * 150_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
+    got = collected(substrings.remove_repeats(docs, group_runs=group_runs), "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert got == sorted(brute.repeats(pairs(docs), 35), key=repr)
+
+
 def source_facts(docs):
     """Size and target of each source, the plain way: share out by weight, cap, share again."""
     sizes = Counter()

@@ -112,19 +112,37 @@ def conformal_quantile(df: DataFrame, alpha: float, *by: str) -> DataFrame:
     return ranked.groupBy(*by).agg(F.coalesce(F.min(F.when(F.col("upto") >= k, F.col("score"))), F.lit(1.0)).alias("q"))
 
 
-def bootstrap(df: DataFrame, resamples: int = 200, seed: int = 0) -> DataFrame:
-    """Percentile interval of the accuracy by a Poisson bootstrap: each row's weights come from its id, so no index matrix is made."""
+def bootstrap(df: DataFrame, resamples: int = 2000, seed: int = 0) -> DataFrame:
+    """(metric, value, low, high): percentile intervals of accuracy and macro-F1.
+
+    Rows drawn with replacement fill the confusion table's cells as a multinomial draw does, so the cells
+    (labels by labels, however many rows) are all that is drawn from. No rows give no rows.
+    """
     import numpy as np
-    import pyarrow as pa
-
-    def draw(batches):
-        total = np.zeros((2, resamples))
-        for b in batches:
-            for i, hit in zip(b.column("id").to_pylist(), b.column("hit").to_pylist()):
-                w = np.random.default_rng((seed, int(i) & (2**63 - 1))).poisson(1.0, resamples)
-                total += (w, w * hit)
-        yield pa.RecordBatch.from_arrays([pa.array(range(resamples), pa.int32()), pa.array(total[0]), pa.array(total[1])], ["r", "n", "hits"])
-
-    rows = df.select("id", (F.col("y_true") == F.col("y_pred")).cast("int").alias("hit")).mapInArrow(draw, "r int, n double, hits double")
-    each = rows.groupBy("r").agg((F.sum("hits") / F.sum("n")).alias("accuracy"))
-    return each.agg(F.percentile("accuracy", F.array(F.lit(0.025), F.lit(0.975))).alias("ci")).select(F.col("ci")[0].alias("low"), F.col("ci")[1].alias("high"))
+    import pandas as pd
+
+    def metrics(n, t, p, k):
+        hit = np.where(t == p, n, 0)
+        each = np.stack([np.where((t == i).astype(int) + (p == i) > 0, n * ((t == i).astype(int) + (p == i)), 0).sum(axis=-1) for i in range(k)])
+        right = np.stack([np.where(t == i, hit, 0).sum(axis=-1) for i in range(k)])
+        f1 = np.where(each > 0, 2 * right / np.maximum(each, 1), 0.0)
+        present = np.maximum((each > 0).sum(axis=0), 1)
+        return hit.sum(axis=-1) / n.sum(axis=-1), f1.sum(axis=0) / present
+
+    def draw(cells: pd.DataFrame) -> pd.DataFrame:
+        cells = cells.sort_values(["y_true", "y_pred"], ignore_index=True)
+        codes, names = pd.factorize(pd.concat([cells["y_true"], cells["y_pred"]]), use_na_sentinel=False)
+        t, p, n = codes[: len(cells)], codes[len(cells) :], cells["n"].to_numpy()
+        drawn = np.random.default_rng(seed).multinomial(int(n.sum()), n / n.sum(), resamples)
+        whole, sample = metrics(n, t, p, len(names)), metrics(drawn, t, p, len(names))
+        return pd.DataFrame([(m, float(v), *np.quantile(x, [0.025, 0.975]).tolist()) for m, v, x in zip(("accuracy", "macro_f1"), whole, sample)], columns=["metric", "value", "low", "high"])
+
+    return confusion(df).groupBy().applyInPandas(draw, "metric string, value double, low double, high double")
+
+
+def mcnemar(df: DataFrame, *by: str) -> DataFrame:
+    """(by, a_only, b_only, n, p) from rows with flags a_right and b_right: the exact two-sided binomial p of the discordant rows, 1 where there are none."""
+    out = df.groupBy(*by).agg(F.count_if(F.col("a_right") & ~F.col("b_right")).alias("a_only"), F.count_if(F.col("b_right") & ~F.col("a_right")).alias("b_only"), F.count("*").alias("n"))
+    term = "named_struct('s', a.s + exp(a.l), 'l', a.l + coalesce(ln((d - i) / (i + 1)), 0D))"
+    p = f"aggregate(sequence(0L, least(a_only, b_only)), named_struct('s', 0D, 'l', -d * ln(2D)), (a, i) -> {term}, a -> least(1D, 2 * a.s))"
+    return out.withColumn("d", F.col("a_only") + F.col("b_only")).withColumn("p", F.expr(p)).drop("d")

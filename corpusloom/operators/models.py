@@ -46,27 +46,38 @@ def tfidf(counts: DataFrame, min_df: int = 2) -> DataFrame:
     return w.join(length, "id").select("id", "token", (F.col("w") / F.col("len")).alias("weight"))
 
 
-def naive_bayes(train: DataFrame, test: DataFrame, label: str, alpha: float = 0.1, confidence: bool = False) -> DataFrame:
-    """(id, y_pred, and the posterior of that if confidence): multinomial naive Bayes, unseen test tokens left out; ties go to the smallest label. All joins and sums.
+def naive_bayes(train: DataFrame, test: DataFrame, label: str, alpha: float = 0.1, confidence: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
+    """(id, by, y_pred, and the posterior of that if confidence): multinomial naive Bayes, unseen test tokens left out; ties go to the smallest label. All joins and sums.
 
     The prior is the share of training rows; a document without known tokens gets the most frequent label.
+    by: columns of train and test; each of their values has a model of its own, so that folds or corpora are fitted in one job.
     """
-    counts = train.select(label, F.explode(X.words(F.col("text"), True)).alias("token")).groupBy(label, "token").agg(F.count("*").alias("c"))
-    vocabulary = counts.select("token").distinct()
-    size = vocabulary.agg(F.count("*").alias("v"))
-    classes = train.groupBy(label).agg(F.count("*").alias("docs")).join(counts.groupBy(label).agg(F.sum("c").alias("total")), label).crossJoin(F.broadcast(size))
-    classes = classes.withColumns({"prior": F.ln(F.col("docs") / F.sum("docs").over(Window.partitionBy())), "none": F.ln(F.lit(alpha) / (F.col("total") + alpha * F.col("v")))}).select(label, "prior", "none", "total", "v")
-    seen = counts.join(classes, label).select(label, "token", (F.ln((F.col("c") + alpha) / (F.col("total") + alpha * F.col("v"))) - F.col("none")).alias("gain"))
-    tokens = token_counts(test).join(vocabulary, "token", "left_semi")
-    gains = tokens.join(seen, "token").groupBy("id", label).agg(F.sum(F.col("tf") * F.col("gain")).alias("gain"))
-    n = tokens.groupBy("id").agg(F.sum("tf").alias("n"))
-    scored = test.select("id").crossJoin(F.broadcast(classes)).join(n, "id", "left").join(gains, ["id", label], "left")
-    scored = scored.select("id", label, (F.col("prior") + F.coalesce("n", F.lit(0)) * F.col("none") + F.coalesce("gain", F.lit(0.0))).alias("score"))
+    counts = train.select(*by, label, F.explode(X.words(F.col("text"), True)).alias("token")).groupBy(*by, label, "token").agg(F.count("*").alias("c"))
+    vocabulary = counts.select(*by, "token").distinct()
+    size = vocabulary.groupBy(*by).agg(F.count("*").alias("v"))
+    joined = (lambda df, small: df.join(small, list(by))) if by else (lambda df, small: df.crossJoin(F.broadcast(small)))  # without by: one row for each label
+    classes = joined(train.groupBy(*by, label).agg(F.count("*").alias("docs")).join(counts.groupBy(*by, label).agg(F.sum("c").alias("total")), [*by, label]), size)
+    prior = F.ln(F.col("docs") / F.sum("docs").over(Window.partitionBy(*by)))
+    classes = classes.withColumns({"prior": prior, "none": F.ln(F.lit(alpha) / (F.col("total") + alpha * F.col("v")))}).select(*by, label, "prior", "none", "total", "v")
+    seen = counts.join(classes, [*by, label]).select(*by, label, "token", (F.ln((F.col("c") + alpha) / (F.col("total") + alpha * F.col("v"))) - F.col("none")).alias("gain"))
+    tokens = token_counts(test, *by).join(vocabulary, [*by, "token"], "left_semi")
+    gains = tokens.join(seen, [*by, "token"]).groupBy("id", *by, label).agg(F.sum(F.col("tf") * F.col("gain")).alias("gain"))
+    n = tokens.groupBy("id", *by).agg(F.sum("tf").alias("n"))
+    scored = joined(test.select("id", *by), classes).join(n, ["id", *by], "left").join(gains, ["id", *by, label], "left")
+    scored = scored.select("id", *by, label, (F.col("prior") + F.coalesce("n", F.lit(0)) * F.col("none") + F.coalesce("gain", F.lit(0.0))).alias("score"))
+    first = F.min(F.struct(-F.round("score", 6), F.col(label)))[label].alias("y_pred")
     if confidence:
-        best = scored.groupBy("id").agg(F.max("score").alias("top"))
-        share = scored.join(best, "id").groupBy("id").agg(F.min(F.struct(-F.round("score", 6), F.col(label)))[label].alias("y_pred"), (1 / F.sum(F.exp(F.col("score") - F.col("top")))).alias("confidence"))
-        return share
-    return scored.groupBy("id").agg(F.min(F.struct(-F.round("score", 6), F.col(label)))[label].alias("y_pred"))
+        best = scored.groupBy("id", *by).agg(F.max("score").alias("top"))
+        return scored.join(best, ["id", *by]).groupBy("id", *by).agg(first, (1 / F.sum(F.exp(F.col("score") - F.col("top")))).alias("confidence"))
+    return scored.groupBy("id", *by).agg(first)
+
+
+def cross_validated(df: DataFrame, label: str, folds: int, fold) -> DataFrame:
+    """(id, fold, y_true, y_pred): each row's prediction by a naive Bayes model of the other folds' rows. fold: a Column, 0 to folds - 1."""
+    rows = df.select("id", "text", label, fold.cast("int").alias("fold"))
+    others = rows.select("text", label, F.explode(F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda f: f != F.col("fold"))).alias("fold"))
+    found = naive_bayes(others, rows.select("id", "fold", "text"), label, by=("fold",))
+    return rows.select("id", F.col(label).alias("y_true")).join(found, "id").select("id", "fold", "y_true", "y_pred")
 
 
 def majority_prior(train: DataFrame, label: str) -> DataFrame:

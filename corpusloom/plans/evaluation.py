@@ -136,55 +136,9 @@ def least_confident(spark, sf):
     return predictions(spark, sf).select("id", "conf").orderBy("conf", "id").limit(20)
 
 
-@query(PRED + """, t AS (SELECT source, round(avg(conf), 4) / 20 AS p FROM pr GROUP BY source), r AS (SELECT source, p, (count(*) OVER () - row_number() OVER (ORDER BY p, source) + 1) * p AS s, row_number() OVER (ORDER BY p, source) AS k FROM t)
-SELECT source, round(p, 6) AS p, round(least(1.0::DOUBLE, max(s) OVER (ORDER BY k)), 6) AS adjusted FROM r""")
-def holm_correction(spark, sf):
-    t = predictions(spark, sf).groupBy("source").agg((F.round(F.avg("conf"), 4) / 20).alias("p"))
-    return E.holm(t, "p", "source").select("source", r6("p").alias("p"), r6("adjusted").alias("adjusted"))
-
-
-@query(PRED + ", m AS (SELECT y_true = y_pred AS a, (id % 3 <> 0) AS b FROM pr) SELECT count_if(a AND NOT b)::BIGINT AS a_only, count_if(b AND NOT a)::BIGINT AS b_only, count(*) AS n FROM m")
-def mcnemar_discordants(spark, sf):
-    a, b = F.col("y_true") == F.col("y_pred"), F.col("id") % 3 != 0
-    return predictions(spark, sf).agg(F.count_if(a & ~b).alias("a_only"), F.count_if(b & ~a).alias("b_only"), F.count("*").alias("n"))
-
-
-@query(PRED + """, f AS (SELECT id % 10 AS fold, avg((y_true = y_pred)::INT) AS accuracy FROM pr GROUP BY 1)
-SELECT round(avg(accuracy), 6) AS mean, round(stddev_samp(accuracy), 6) AS std, round(quantile_cont(accuracy, 0.025), 6) AS low, round(quantile_cont(accuracy, 0.975), 6) AS high FROM f""")
-def cv_summary_percentiles(spark, sf):
-    f = predictions(spark, sf).groupBy((F.col("id") % 10).alias("fold")).agg(F.avg((F.col("y_true") == F.col("y_pred")).cast("int")).alias("accuracy"))
-    return f.agg(r6(F.avg("accuracy")).alias("mean"), r6(F.stddev_samp("accuracy")).alias("std"), r6(F.percentile("accuracy", 0.025)).alias("low"), r6(F.percentile("accuracy", 0.975)).alias("high"))
-
-
-@query()
-def bootstrap_ci(spark, sf):
-    return E.bootstrap(predictions(spark, sf))
-
-
-@query(PRED + """, g AS (SELECT source, y_true, count(*) AS n FROM pr GROUP BY ALL), best AS (SELECT source, arg_max(y_true, (n, y_true)) AS guess FROM g GROUP BY source)
-SELECT b.source AS train, g.source AS test, round(sum(CASE WHEN g.y_true = b.guess THEN n ELSE 0 END) / sum(n)::DOUBLE, 6) AS accuracy FROM best b CROSS JOIN g GROUP BY ALL""")
-def transfer_matrix(spark, sf):
-    g = predictions(spark, sf).groupBy("source", "y_true").agg(F.count("*").alias("n"))
-    best = g.groupBy(F.col("source").alias("train")).agg(F.max(F.struct("n", "y_true"))["y_true"].alias("guess"))
-    grid = g.crossJoin(F.broadcast(best))  # sources by sources and labels, not rows
-    return grid.groupBy("train", F.col("source").alias("test")).agg(r6(F.sum(F.when(F.col("y_true") == F.col("guess"), F.col("n")).otherwise(0)) / F.sum("n")).alias("accuracy"))
-
-
-@query(PRED + """, l AS (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0])::DOUBLE AS level), c AS (SELECT level, avg((y_true = y_pred AND conf >= level / 2)::INT) AS accuracy FROM pr, l GROUP BY level)
-SELECT level, round(accuracy, 6) AS accuracy, round(accuracy - first_value(accuracy) OVER (ORDER BY level), 6) AS drop_ FROM c""")
-def robustness_curve(spark, sf):
-    from pyspark.sql import Window
-
-    levels = F.explode(F.array(*[F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0)]))
-    c = predictions(spark, sf).select("y_true", "y_pred", "conf", levels.alias("level")).groupBy("level").agg(F.avg(((F.col("y_true") == F.col("y_pred")) & (F.col("conf") >= F.col("level") / 2)).cast("int")).alias("accuracy"))
-    return c.select("level", r6("accuracy").alias("accuracy"), r6(F.col("accuracy") - F.first("accuracy").over(Window.orderBy("level"))).alias("drop_"))
-
-
 @query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def request_tallies(spark, sf):
     from corpusloom.plans.tables import table
     from corpusloom.streaming.jobs import tallies
 
     return tallies(table(spark, sf, "events")).withColumn("total", F.round("total", 4))
-
-

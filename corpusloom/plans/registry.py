@@ -21,7 +21,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from corpusloom.plans import evaluation, explain, features, models, prep  # noqa: F401
+    from corpusloom.plans import evaluation, explain, features, fitted, models, prep  # noqa: F401
 
 
 def queries():

@@ -88,9 +88,18 @@ BITMAP_BITS = 1 << 23
 
 def perhaps_in(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """The rows whose key (a hash) is one of keys, and some others: by a bitmap of one size for all inputs, 1 MB, so that most rows need not be sent anywhere to be found unwanted."""
+    return _with_bits(rows, keys, key, "inner").where("_met").select(*rows.columns)
+
+
+def met(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """All rows and a column met: false where the key is surely none of keys."""
+    return _with_bits(rows, keys, key, "left").select(*rows.columns, F.coalesce("_met", F.lit(False)).alias("met"))
+
+
+def _with_bits(rows: DataFrame, keys: DataFrame, key: str, how: str) -> DataFrame:
     bit = F.pmod(F.col(key), F.lit(BITMAP_BITS))
     bits = keys.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
     place = F.bitmap_bit_position(bit)
     byte = F.conv(F.hex(F.substring("bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    met = rows.join(F.broadcast(bits), F.bitmap_bucket_number(bit) == F.col("bucket"))
-    return met.where(F.call_function("shiftright", byte, (place % 8).cast("int")).bitwiseAND(F.lit(1)) == 1).select(*rows.columns)
+    joined = rows.join(F.broadcast(bits), F.bitmap_bucket_number(bit) == F.col("bucket"), how)
+    return joined.withColumn("_met", F.call_function("shiftright", byte, (place % 8).cast("int")).bitwiseAND(F.lit(1)) == 1)

@@ -9,12 +9,15 @@ from .exact_dedup import deduplicate
 from .licenses import scan
 from .mixing import mix
 from .oracles import ORACLE_SQL  # noqa: F401
+from .periodic_runs import periodic_runs
 from .pii import find_pii
 from .quality import classify
 from .simhash import near_duplicates
+from .site_style import main_text
 from .substrings import remove_repeats
 from .token_counts import count_tokens
 from .token_output import token_output
+from .whitening import whiten
 
 
 def vocabulary(name: str) -> str:
@@ -67,4 +70,17 @@ def op10_quality(spark, sf_dir):
     return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_token_output, op3_decontamination, op4_pii, op5_license_scan, op6_simhash, op7_substring_dedup, op8_mixing, op9_exact_dedup, op10_quality)}
+def op11_html_extraction(spark, sf_dir):
+    return main_text(_table(spark, sf_dir, "pages"))
+
+
+def op12_whitening(spark, sf_dir):
+    return whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_periodic_runs(spark, sf_dir):
+    return periodic_runs(_table(spark, sf_dir, "documents"))
+
+
+_ALL = (op1_token_counts, op2_token_output, op3_decontamination, op4_pii, op5_license_scan, op6_simhash, op7_substring_dedup, op8_mixing, op9_exact_dedup, op10_quality, op11_html_extraction, op12_whitening, op13_periodic_runs)
+QUERIES = {f.__name__: f for f in _ALL}

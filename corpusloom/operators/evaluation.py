@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from corpusloom.functions import text as X
+from corpusloom.operators.ranks import falling, order_statistics, quantiles, running
 
 
 def confusion(df: DataFrame) -> DataFrame:
@@ -35,9 +38,8 @@ def averaged(metrics: DataFrame, *by: str) -> DataFrame:
 
 def auc(df: DataFrame, score: str, positive, *by: str) -> DataFrame:
     """Area under the ROC curve from counts by distinct score: rows with one score are one row before anything is ranked."""
-    counts = df.groupBy(*by, score).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("n"))
-    w = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    below = counts.withColumn("less", F.coalesce(F.sum("n").over(w), F.lit(0)))
+    counts = df.where(F.col(score).isNotNull()).groupBy(*by, score).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("n"))
+    below = running(counts, [F.col(score)], {"n": F.col("n")}, by).withColumn("less", F.col("n_upto") - F.col("n"))
     return below.groupBy(*by).agg((F.sum(F.col("p") * (F.col("less") + F.col("n") / 2)) / F.when(F.sum("p") * F.sum("n") > 0, (F.sum("p") * F.sum("n")).cast("double"))).alias("auc"))
 
 
@@ -53,21 +55,18 @@ def calibration_errors(bins: DataFrame) -> DataFrame:
     return bins.agg((F.sum(gap * F.col("n")) / F.sum("n")).alias("ece"), F.max(gap).alias("mce"))
 
 
-def risk_coverage(df: DataFrame) -> DataFrame:
-    """By falling confidence, ties in order of id: coverage and risk after each row.
+def quantile_edges(df: DataFrame, n_bins: int, value: str = "conf") -> list[float]:
+    """Edges of bins of equal counts, from 0 to 1, equal ones once."""
+    inner = quantiles(df, value, [i / n_bins for i in range(1, n_bins)]).get(0, [])
+    return sorted({0.0, 1.0, *inner})
 
-    Rows are dealt to 256 ranges of confidence; sums over the ranges before a
-    row's own come from one small table, so no task ranks all rows.
-    """
+
+def risk_coverage(df: DataFrame) -> DataFrame:
+    """By falling confidence, ties in order of id: coverage and risk after each row, from running sums over ranges."""
     wrong = (F.col("y_true") != F.col("y_pred")).cast("long")
-    rows = df.select("id", "conf", wrong.alias("wrong"), F.least(F.floor(F.col("conf") * 256), F.lit(255)).cast("int").alias("range"))
-    sums = rows.groupBy("range").agg(F.count("*").alias("c"), F.sum("wrong").alias("w"))
-    up = Window.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)  # at most 256 rows
-    before = sums.select("range", F.coalesce(F.sum("c").over(up), F.lit(0)).alias("c0"), F.coalesce(F.sum("w").over(up), F.lit(0)).alias("w0"), F.sum("c").over(Window.partitionBy()).alias("n"))
-    own = Window.partitionBy("range").orderBy(F.desc("conf"), "id")
-    run = own.rowsBetween(Window.unboundedPreceding, 0)
-    out = rows.join(F.broadcast(before), "range").withColumns({"k": F.col("c0") + F.row_number().over(own), "bad": F.col("w0") + F.sum("wrong").over(run)})
-    return out.select("id", "k", (F.col("k") / F.col("n")).alias("coverage"), (F.col("bad") / F.col("k")).alias("risk"))
+    rows = running(df.select("id", "conf", "y_true", "y_pred"), [falling(F.col("conf")), F.col("id")], {"one": F.lit(1), "wrong": wrong})
+    n = df.agg(F.count("*").alias("n"))
+    return rows.crossJoin(F.broadcast(n)).select("id", F.col("one_upto").alias("k"), (F.col("one_upto") / F.col("n")).alias("coverage"), (F.col("wrong_upto") / F.col("one_upto")).alias("risk"))
 
 
 def hierarchical(df: DataFrame, parent) -> DataFrame:
@@ -103,13 +102,36 @@ def holm(df: DataFrame, p: str, order: str) -> DataFrame:
     return df.withColumn("_s", (n - F.row_number().over(w) + 1) * F.col(p)).withColumn("adjusted", F.least(F.lit(1.0), F.max("_s").over(w.rowsBetween(Window.unboundedPreceding, 0)))).drop("_s")
 
 
-def conformal_quantile(df: DataFrame, alpha: float, *by: str) -> DataFrame:
-    """The ceil((n + 1)(1 - alpha))-th smallest of 1 - p(true), 1 where there are too few: from counts by distinct score."""
-    counts = df.groupBy(*by, "score").agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*by)
-    ranked = counts.withColumns({"n": F.sum("c").over(w), "upto": F.sum("c").over(w.orderBy("score").rowsBetween(Window.unboundedPreceding, 0))})
-    k = F.ceil((F.col("n") + 1) * (1 - alpha))
-    return ranked.groupBy(*by).agg(F.coalesce(F.min(F.when(F.col("upto") >= k, F.col("score"))), F.lit(1.0)).alias("q"))
+def conformal_quantile(df: DataFrame, alpha: float, by: str | None = None, classes: list[str] | None = None) -> DataFrame:
+    """(by, q): the ceil((n + 1)(1 - alpha))-th smallest score, 1 where there are too few. Of the classes named, those without a score get that of all rows."""
+
+    def of(key: str | None) -> dict:
+        rank = lambda n: math.ceil((n + 1) * (1 - alpha) - 1e-9)
+        found = order_statistics(df, "score", lambda n: [rank(n)] if rank(n) <= n else [], key)
+        groups = [r[0] for r in df.where("score IS NOT NULL AND NOT isnan(score)").select(F.col(key) if key else F.lit(0)).distinct().collect()]
+        got = {g: q for (g, _), q in found.items()}
+        return {g: got.get(g, 1.0) for g in groups}
+
+    spark = df.sparkSession
+    if by is None:
+        return spark.createDataFrame([(of(None).get(0, 1.0),)], "q double")
+    each = of(by)
+    if missing := set(classes or ()) - set(each):
+        each |= dict.fromkeys(missing, of(None).get(0, 1.0))
+    return spark.createDataFrame(list(each.items()), f"{by} string, q double")
+
+
+def conformal_coverage(df: DataFrame, members: str, truth: str = "y_true") -> DataFrame:
+    """(n, coverage, mean_set_size) of sets of labels."""
+    return df.agg(F.count("*").alias("n"), F.avg(F.array_contains(members, F.col(truth)).cast("double")).alias("coverage"), F.avg(F.size(members)).alias("mean_set_size"))
+
+
+def openset_report(df: DataFrame, members: str, score: str, classes: list[str], truth: str = "y_true") -> DataFrame:
+    """Of rows whose label is among the classes: coverage and false novelty; of others: detection; area under the curve of the novelty score. An empty set says novel."""
+    novel, empty = ~F.coalesce(F.col(truth).isin(*classes), F.lit(False)), F.size(members) == 0
+    share = lambda hit, of: F.count_if(hit & of) / F.when(F.count_if(of) > 0, F.count_if(of))
+    known = df.agg(F.count_if(~novel).alias("n_known"), F.count_if(novel).alias("n_novel"), F.coalesce(share(F.array_contains(members, F.col(truth)), ~novel), F.lit(0.0)).alias("known_coverage"), F.coalesce(share(empty, ~novel), F.lit(0.0)).alias("false_novelty_rate"), share(empty, novel).alias("detection_rate"))
+    return known.crossJoin(F.broadcast(auc(df, score, novel).withColumnRenamed("auc", "novelty_auc")))  # one row each
 
 
 def bootstrap(df: DataFrame, resamples: int = 2000, seed: int = 0) -> DataFrame:

@@ -1,12 +1,12 @@
-"""Evaluation queries over the fixed predictions."""
+"""Evaluation queries over the out-of-fold predictions."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.operators import evaluation as E
+from corpusloom.operators import calibrators as K, evaluation as E
 from corpusloom.plans.registry import query
-from corpusloom.plans.tables import PRED, predictions, r6
+from corpusloom.plans.tables import LABELS, PRED, predictions, r6
 
 _EDGES = [i / 15 for i in range(16)]
 _CLASS = PRED + """, e AS (SELECT y_true AS label, 1 AS t, 0 AS p, (y_true = y_pred)::INT AS hit FROM pr UNION ALL SELECT y_pred, 0, 1, 0 FROM pr),
@@ -70,6 +70,50 @@ def calibration_errors(spark, sf):
     return E.calibration_errors(E.calibration(predictions(spark, sf), _EDGES)).select(r6("ece").alias("ece"), r6("mce").alias("mce"))
 
 
+#: Edges as the interpolated quantiles of confidence.
+_QUANTILES = PRED + """, sh AS (SELECT unnest(range(1, 10)) / 10.0::DOUBLE AS q), ra AS (SELECT conf, row_number() OVER (ORDER BY conf) - 1 AS k, count(*) OVER () AS n FROM pr),
+ps AS (SELECT q, (any_value(n) - 1) * q AS x FROM sh, ra GROUP BY q), ed AS (SELECT list(DISTINCT a.conf + (coalesce(b.conf, a.conf) - a.conf) * (x - floor(x))) AS e FROM ps JOIN ra a ON a.k = floor(x)::BIGINT LEFT JOIN ra b ON b.k = floor(x)::BIGINT + 1)
+SELECT len(list_filter(e, lambda v: v < 1 AND conf > v))::INT AS bin, count(*) AS n, round(avg(conf), 6) AS confidence, round(avg((y_true = y_pred)::INT), 6) AS accuracy FROM pr, ed GROUP BY 1"""
+
+
+@query(_QUANTILES)
+def calibration_quantile(spark, sf):
+    """Ten bins of equal counts; ties make fewer."""
+    p = predictions(spark, sf)
+    return E.calibration(p, E.quantile_edges(p, 10)).select("bin", "n", r6("confidence").alias("confidence"), r6("accuracy").alias("accuracy"))
+
+
+_TRUTH = "list_position(['de','en','es','fr'], y_true)"
+_LOSS = PRED + f""", lg AS (SELECT list_transform(p, lambda x: ln(least(greatest(x, 1e-12), 1))) AS l, {_TRUTH} AS t FROM pp WHERE {_TRUTH} IS NOT NULL), gr AS (SELECT exp(ln(0.01) + (ln(100) - ln(0.01)) * unnest(range(0, 4001)) / 4000.0::DOUBLE) AS temp UNION ALL SELECT 1.0::DOUBLE),
+ls AS (SELECT temp, avg(least(ln(list_sum(list_transform(l, lambda x: exp((x - list_max(l)) / temp)))) - (l[t] - list_max(l)) / temp, -ln(1e-12))) AS loss FROM lg, gr GROUP BY temp)
+SELECT round(any_value(loss) FILTER (temp = 1.0), 4) AS loss_before, round(min(loss), 4) AS loss_after FROM ls"""
+
+
+@query(_LOSS)
+def calibration_temperature(spark, sf):
+    """Mean log loss as it is and at the best temperature; the SQL tries 4,001 temperatures."""
+    p = predictions(spark, sf).withColumn("t", F.array_position(F.array(*map(F.lit, LABELS)), F.col("y_true")))
+    best = K.fit_temperature(p, "p", F.col("t"))
+    return p.where("t > 0").agg(*[F.round(F.avg(K.log_loss(F.col("p"), F.col("t"), t)), 4).alias(n) for n, t in (("loss_before", 1.0), ("loss_after", best))])
+
+
+#: The max-min form of the isotonic fit, over all pairs of distinct probabilities of a label.
+_ISOTONIC = PRED + """, ex AS (SELECT id, i, p[i] AS x, (y_true = (['de','en','es','fr'])[i])::INT AS y FROM pp, unnest(range(1, 5)) u(i)), pt AS (SELECT i, x, count(*) AS n, sum(y) AS s FROM ex GROUP BY i, x),
+cu AS (SELECT i, x, row_number() OVER w AS k, sum(n) OVER w AS cn, sum(s) OVER w AS cs, n, s FROM pt WINDOW w AS (PARTITION BY i ORDER BY x)),
+me AS (SELECT a.i, a.k AS j, b.k, (b.cs - a.cs + a.s) / (b.cn - a.cn + a.n)::DOUBLE AS m FROM cu a JOIN cu b ON a.i = b.i AND b.k >= a.k),
+lo AS (SELECT i, j, k, min(m) OVER (PARTITION BY i, j ORDER BY k DESC) AS m FROM me), fi AS (SELECT i, k, max(m) AS v FROM lo GROUP BY i, k), va AS (SELECT i, x, v FROM cu JOIN fi USING (i, k)),
+rw AS (SELECT id, list(v ORDER BY i) AS v FROM ex JOIN va USING (i, x) GROUP BY id)
+SELECT id, list_transform(v, lambda x: round(CASE WHEN list_sum(v) > 0 THEN x / list_sum(v) ELSE 0.25 END, 6)) AS p FROM rw"""
+
+
+@query(_ISOTONIC)
+def calibration_isotonic(spark, sf):
+    """Probabilities after isotonic regression on the same rows."""
+    p = predictions(spark, sf)
+    out = K.apply_isotonic(p, "id", "p", K.fit_isotonic(p, "p", F.col("y_true"), list(LABELS)), list(LABELS))
+    return out.select("id", F.transform("p", r6).alias("p"))
+
+
 @query(PRED + " SELECT round(avg(list_sum(list_transform(list_zip(p, ['de','en','es','fr']), lambda z: pow(z[1] - (z[2] = y_true)::INT, 2)))), 6) AS brier FROM pp")
 def brier(spark, sf):
     from corpusloom.functions import arrays as A

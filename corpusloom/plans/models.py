@@ -14,7 +14,7 @@ CLASSES = list(LABELS)
 _ENT = "-list_sum(list_transform({0}, lambda x: CASE WHEN x > 0 THEN x * ln(x) ELSE 0 END))"
 
 
-@query(PRED + f" SELECT id, round({_ENT.format('p')}, 6) AS entropy FROM pp")
+@query(PRED + f" SELECT id, round({_ENT.format('p')}, 6) + 0 AS entropy FROM pp")
 def entropy(spark, sf):
     return predictions(spark, sf).select("id", r6(A.entropy(F.col("p"))).alias("entropy"))
 
@@ -56,7 +56,7 @@ def conformal_quantile(spark, sf):
 
 @query(_SCORE + ", k AS (SELECT y_true, score, row_number() OVER (PARTITION BY y_true ORDER BY score) AS r, count(*) OVER (PARTITION BY y_true) AS n FROM s) SELECT y_true, round(coalesce(min(score) FILTER (r = ceil((n + 1) * 0.9::DOUBLE)), 1), 6) AS q FROM k GROUP BY y_true")
 def conformal_mondrian(spark, sf):
-    return E.conformal_quantile(_scores(spark, sf), 0.1, "y_true").select("y_true", r6("q").alias("q"))
+    return E.conformal_quantile(_scores(spark, sf), 0.1, "y_true", CLASSES).select("y_true", r6("q").alias("q"))
 
 
 _SETS = PRED + f", z AS (SELECT id, y_true, list_filter(range(1, 5), lambda i: 1 - p[i] <= 0.7::DOUBLE) AS k, p FROM pp)"
@@ -73,6 +73,41 @@ def openset_flags(spark, sf):
     return predictions(spark, sf).select("id", (F.size(A.conformal_set(F.col("p"), F.lit(0.7), CLASSES, False)) == 0).alias("novel"))
 
 
+_HALF = PRED + f", s AS (SELECT id, y_true, p, 1 - p[list_position({_L}, y_true)] AS score FROM pp), q AS (SELECT coalesce(min(score) FILTER (r = ceil((n + 1) * 0.9::DOUBLE - 1e-9)), 1) AS q FROM (SELECT score, row_number() OVER (ORDER BY score) AS r, count(*) OVER () AS n FROM s WHERE id % 2 = 0))"
+
+
+def _halves(spark, sf):
+    """Scores of the calibrating half, and the other half."""
+    s = _scores(spark, sf)
+    return s.where("id % 2 = 0"), s.where("id % 2 = 1")
+
+
+@query(_HALF + f", t AS (SELECT y_true, p, list_filter(range(1, 5), lambda i: 1 - p[i] <= q) AS k FROM s, q WHERE id % 2 = 1), u AS (SELECT CASE WHEN len(k) = 0 THEN 1 ELSE len(k) END AS size, CASE WHEN len(k) = 0 THEN {_L}[list_position(p, list_max(p))] = y_true ELSE list_contains(list_transform(k, lambda i: {_L}[i]), y_true) END AS hit FROM t) SELECT count(*) AS n, round(avg(hit::INT), 6) AS coverage, round(avg(size), 6) AS mean_set_size FROM u")
+def conformal_coverage(spark, sf):
+    """Coverage of the sets on rows that did not set the threshold."""
+    fit, rest = _halves(spark, sf)
+    q = E.conformal_quantile(fit, 0.1).first()["q"]
+    report = E.conformal_coverage(rest.withColumn("members", A.conformal_set(F.col("p"), F.lit(q), CLASSES)), "members")
+    return report.select("n", r6("coverage").alias("coverage"), r6("mean_set_size").alias("mean_set_size"))
+
+
+_KNOWN = ["de", "en", "es"]
+
+
+@query(_HALF.replace("WHERE id % 2 = 0", "WHERE id % 2 = 0 AND y_true <> 'fr'") + """, t AS (SELECT y_true <> 'fr' AS known, list_transform(list_filter(range(1, 4), lambda i: 1 - p[i] <= q), lambda i: ['de','en','es'][i]) AS k, y_true, round(1 - list_max(p[1:3]), 6) AS novelty FROM s, q WHERE id % 2 = 1),
+a AS (SELECT (sum(r) FILTER (NOT known) - count_if(NOT known) * (count_if(NOT known) + 1) / 2.0::DOUBLE) / (count_if(NOT known) * count_if(known)) AS auc FROM (SELECT known, rank() OVER (ORDER BY novelty) + (count(*) OVER (PARTITION BY novelty) - 1) / 2.0::DOUBLE AS r FROM t))
+SELECT count_if(known)::BIGINT AS n_known, count_if(NOT known)::BIGINT AS n_novel, round(count_if(known AND list_contains(k, y_true)) / count_if(known)::DOUBLE, 6) AS known_coverage, round(count_if(known AND len(k) = 0) / count_if(known)::DOUBLE, 6) AS false_novelty_rate,
+round(count_if(NOT known AND len(k) = 0) / count_if(NOT known)::DOUBLE, 6) AS detection_rate, round(any_value(auc), 6) AS novelty_auc FROM t, a""")
+def openset_report(spark, sf):
+    """One label is held to be unknown: thresholds from the known rows of one half, report on the other."""
+    fit, rest = _halves(spark, sf)
+    q = E.conformal_quantile(fit.where("y_true != 'fr'"), 0.1).first()["q"]
+    p = F.slice("p", 1, 3)
+    scored = rest.withColumns({"members": A.conformal_set(p, F.lit(q), _KNOWN, False), "novelty": r6(1 - F.array_max(p))})
+    report = E.openset_report(scored, "members", "novelty", _KNOWN)
+    return report.select("n_known", "n_novel", *[r6(c).alias(c) for c in ("known_coverage", "false_novelty_rate", "detection_rate", "novelty_auc")])
+
+
 def _members(p):
     return F.array(p, F.reverse(p), F.transform(p, lambda v: F.lit(0.25) + 0 * v))
 
@@ -85,11 +120,11 @@ def uncertainty_decomposition(spark, sf):
 
 
 def _fused(kind, expr):
-    sql = PRED + f", m AS (SELECT id, p AS a, CASE WHEN id % 4 = 0 THEN NULL ELSE list_reverse(p) END AS b FROM pp), f AS (SELECT id, a, b, list_transform(range(1, 5), lambda i: {expr}) AS x FROM m) SELECT id, list_transform(CASE WHEN b IS NULL THEN a ELSE list_transform(x, lambda v: v / list_sum(x)) END, lambda v: round(v, 6)) AS p FROM f"
+    sql = PRED + f", m AS (SELECT id, p AS a, CASE WHEN id % 4 = 0 THEN NULL ELSE list_reverse(p) END AS b FROM pp), f AS (SELECT id, a, b, list_transform(range(1, 5), lambda i: {expr}) AS x FROM m) SELECT id, list_transform(CASE WHEN b IS NULL THEN a ELSE list_transform(x, lambda v: v / list_sum(x)) END, lambda v: round(v, 9)) AS p FROM f"
 
     def run(spark, sf):
         b = F.when(F.col("id") % 4 != 0, F.reverse("p"))
-        return predictions(spark, sf).select("id", F.col("p").alias("a"), b.alias("b")).select("id", F.transform(A.fuse([F.col("a"), F.col("b")], kind, [0.6, 0.4] if kind in ("weighted", "logpool") else None), r6).alias("p"))
+        return predictions(spark, sf).select("id", F.col("p").alias("a"), b.alias("b")).select("id", F.transform(A.fuse([F.col("a"), F.col("b")], kind, [0.6, 0.4] if kind in ("weighted", "logpool") else None), lambda v: F.round(v, 9)).alias("p"))
 
     run.__name__ = f"fusion_{kind}"
     query(sql)(run)

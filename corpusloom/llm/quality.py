@@ -7,15 +7,18 @@ model is fitted to them by dual coordinate descent, and a logistic curve over
 its margins gives the score.
 
 Labels are learnt from rows whose crc32(doc_id) mod 3 is not 1. Of those at
-most about ``MOST_ROWS`` are taken, by a hash of the doc_id, leaving out texts
-of more than ``MOST_FEATURES`` features, and their features go to the driver
-for the fit; the bounds keep that data's size the same for any corpus. All documents are scored, where they lie, with a model of a fixed size.
+most about ``MOST_ROWS`` are taken, by a hash of the doc_id; where one doc_id is
+on many rows, by a hash of doc_id and text as well, like rows once. Their
+features are stored, and go to the driver for the fit; if they exceed
+``MOST_BYTES``, fewer rows do, by the same hash, long texts like short ones.
+All documents are scored, where they lie, with a model of a fixed size.
 doc_id decides which rows are learnt from; it, source, lang and labels are
 never inputs of a score.
 
 Defined results: a null or empty text has no features and scores as the
 model's bias does. Without rows of both classes to learn from, all scores are
-the share of label 1, or 0.5. A null doc_id is not held out. Each input row
+the share of label 1, or 0.5. Of several labels of a doc_id the largest counts.
+A null doc_id is not held out. Each input row
 gives one row.
 """
 
@@ -28,11 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import words as W
-from .common import documents, in_tasks
+from .common import documents, in_tasks, stored
 
 BUCKETS = 1 << 18
 MOST_ROWS = 6000
-MOST_FEATURES = 1 << 15
+MOST_BYTES = 64 << 20
 EPOCHS = 15
 C = 1.0
 FOLDS, HELD_OUT = 3, 1
@@ -64,8 +67,7 @@ def _example_rows(batches):
             cuts = np.searchsorted(doc, np.arange(hi - lo + 1))
             for d in range(hi - lo):
                 rows[lo + d] = feature[cuts[d] : cuts[d + 1]].astype(np.uint32).tobytes()
-        out = pa.RecordBatch.from_arrays([batch.column("label"), pa.array(rows, pa.binary())], ["label", "features"])
-        yield out.filter(pa.array([len(x) <= 4 * MOST_FEATURES for x in rows], pa.bool_()))
+        yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("k"), pa.array(rows, pa.binary())], ["label", "k", "features"])
 
 
 def fit(x: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, c: float = C, seed: int = 0) -> tuple[np.ndarray, float, float, float]:
@@ -108,16 +110,27 @@ def _logistic(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(a, 0.1), 0.0
 
 
+def _sampled(key, most: int, n: int):
+    """All of n, or about most of them, by a hash that does not depend on what else there is."""
+    return F.pmod(key, F.lit(1 << 30)) < int(min(1.0, most / max(n, 1)) * (1 << 30))
+
+
 def learn(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS):
     """The fitted model, or the share of label 1 if there is only one class."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").alias("label")).where("doc_id IS NOT NULL AND label IS NOT NULL").where(fold() != HELD_OUT)
+    known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
     n = known.count()
     if not n:
         return 0.5
-    share = min(1.0, most_rows / n)
-    some = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    rows = documents(docs).join(F.broadcast(some), "doc_id").select("label", "text")  # some: about most_rows rows
-    rows = in_tasks(rows, _example_rows, "label int, features binary").collect()
+    some = known.where(_sampled(F.xxhash64("doc_id"), most_rows, n))
+    texts = documents(docs)
+    found = texts.select("doc_id").join(F.broadcast(some), "doc_id").count()  # some: about most_rows rows
+    rows = texts.join(F.broadcast(some), "doc_id").select("label", "text", F.xxhash64("doc_id", "text").alias("k"))
+    if found > 2 * most_rows:  # one doc_id may be on any number of rows
+        rows = rows.dropDuplicates(["k"]).where(_sampled(F.col("k"), most_rows, found))
+    rows = stored(in_tasks(rows, _example_rows, "label int, k long, features binary"), "examples")
+    total = rows.agg(F.sum(F.length("features"))).first()[0] or 0
+    rows = rows.where(_sampled(F.xxhash64("k"), MOST_BYTES, total)).select("label", "features").collect()
     rows = sorted((int(r["label"]), bytes(r["features"])) for r in rows)
     y = np.array([1 if label else -1 for label, _ in rows])
     if len(set(y.tolist())) < 2:

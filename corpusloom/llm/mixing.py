@@ -40,7 +40,6 @@ WEIGHTS = (5, 2, 1)
 LIMIT = 3
 BLOCK_WORDS = 256
 LEAST_BLOCKS = 4096
-SHARDS = 64
 SHARD_WORDS = 20_000_000
 SHARD_ROWS = 500_000
 SEED = "mix-1"
@@ -140,10 +139,10 @@ def plan(rows: DataFrame, block_words: int = BLOCK_WORDS, shard_words: int = SHA
     goal = targets(sizes, [WEIGHTS[i % len(WEIGHTS)] for i in range(len(sizes))]) if sizes else []
     block = min(block_words, max(1, sum(sizes) // LEAST_BLOCKS))
     quota = sainte_lague(goal, round(sum(goal) / block))
-    shards = max(SHARDS, -(-sum(sizes) // shard_words), -(-sum(r["rows"] for r in per_source) // SHARD_ROWS))
+    shards = max(1, -(-sum(sizes) // shard_words), -(-sum(r["rows"] for r in per_source) // SHARD_ROWS))
     facts = spark.createDataFrame([(i, r["source"], n, g, q) for i, (r, n, g, q) in enumerate(zip(per_source, sizes, goal, quota))], "source_id int, source string, source_size long, target double, quota long")
     kinds = rows.groupBy("did", "text_key").agg(F.first("doc_id").alias("doc_id"), F.first("source").alias("source"), F.first("size").alias("size"), F.count("*").alias("copies"))
-    kinds = kinds.withColumn("place", F.xxhash64(F.lit(SEED), "doc_id")).withColumn("shard", F.pmod(F.xxhash64(F.lit(SEED), F.lit("shard"), "doc_id"), F.lit(shards)).cast("int"))
+    kinds = kinds.withColumn("place", F.xxhash64(F.lit(SEED), "doc_id", "text_key")).withColumn("shard", F.pmod(F.xxhash64(F.lit(SEED), F.lit("shard"), "doc_id", "text_key"), F.lit(shards)).cast("int"))
     kinds = kinds.alias("k").join(facts.alias("f"), F.col("k.source").eqNullSafe(F.col("f.source"))).select("k.*", "f.source_id", "f.source_size", "f.target", "f.quota")
 
     def apportion(group: pd.DataFrame) -> pd.DataFrame:

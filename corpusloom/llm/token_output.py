@@ -366,7 +366,8 @@ def write_shards(docs: DataFrame, tokenizer_path: str, path: str, shard_tokens:
             yield shard()
         _caches.clear()  # idle workers would keep them from stage to stage
 
-    ordered = documents(docs).repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    place = [F.col("doc_id").asc_nulls_first(), F.col("k")]  # the rows of one doc_id may be many
+    ordered = documents(docs).withColumn("k", F.xxhash64("text")).repartitionByRange(*place).sortWithinPartitions(*place, "text").drop("k")
     in_tasks(ordered.withColumn("part", F.spark_partition_id()), encode, "part int, before long, n_tokens long, shard binary").write.parquet(path)
 
 

@@ -136,27 +136,29 @@ def _rewrite(token: Column, pairs, final: bool, stop) -> Column:
     return F.when(token.isin(*stop), token).otherwise(out) if stop else out
 
 
-def apply_rules(text: Column) -> Column:
-    """Standard spelling to dialect spelling: each rule in turn on each token."""
+def apply_rules_to(token: Column) -> Column:
+    """Each rule in turn on one token."""
+    for _, _, final, pairs, stop in L.RULES.values():
+        token = _rewrite(token, pairs, final, stop)
+    return token
 
-    def one(token: Column) -> Column:
-        for _, _, final, pairs, stop in L.RULES.values():
-            token = _rewrite(token, pairs, final, stop)
-        return token
 
-    return F.array_join(F.transform(words(text, True), one), " ")
+def standard_of(token: Column) -> Column:
+    """The detectable rules in reverse on one token; mergers can't be undone."""
+    for _, detectable, final, pairs, stop in L.RULES.values():
+        if detectable:
+            token = _rewrite(token, [(b, a) for a, b in pairs], final, stop)
+    return token
 
 
-def to_standard(text: Column) -> Column:
-    """The reverse of the detectable rules; mergers can't be undone."""
+def apply_rules(text: Column) -> Column:
+    """Standard spelling to dialect spelling."""
+    return F.array_join(F.transform(words(text, True), apply_rules_to), " ")
 
-    def one(token: Column) -> Column:
-        for _, detectable, final, pairs, stop in L.RULES.values():
-            if detectable:
-                token = _rewrite(token, [(b, a) for a, b in pairs], final, stop)
-        return token
 
-    return F.array_join(F.transform(words(text, True), one), " ")
+def to_standard(text: Column) -> Column:
+    """Dialect spelling to standard spelling."""
+    return F.array_join(F.transform(words(text, True), standard_of), " ")
 
 
 def intensity(text: Column, marker_weight: float = 8.0, fired_weight: float = 8.0) -> Column:

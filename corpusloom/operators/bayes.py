@@ -59,6 +59,51 @@ def out_of_fold(rows: DataFrame, tokens: DataFrame, labels: list[str], alpha: fl
     return joined.select("id", "fold", "label", n.alias("n"), F.array(*[F.coalesce(c, F.lit(float("-inf"))) for c in score]).alias("scores"))
 
 
+def model_tokens(tokens: DataFrame, labels: list[str], by: str, alpha: float = 0.1) -> tuple[DataFrame, DataFrame]:
+    """The models of the rows of each value of ``by``: (by, token, g: gains of each label over an unseen token) and (by, prior, none: log probability of an unseen token; nulls for labels without rows). tokens: by, id, label, token, tf."""
+    is_label = [F.col("label") == x for x in labels]
+    k = range(len(labels))
+    counts = tokens.groupBy(by, "token").agg(*[F.sum(F.when(c, F.col("tf")).otherwise(0)).alias(f"c{i}") for i, c in enumerate(is_label)])
+    gains = counts.select(by, "token", F.array(*[F.ln((F.col(f"c{i}") + alpha) / alpha) for i in k]).alias("g"))
+    totals = counts.groupBy(by).agg(F.count("*").alias("v"), *[F.sum(f"c{i}").alias(f"t{i}") for i in k])
+    facts = totals.select(by, F.array(*[F.ln(F.lit(alpha) / (F.col(f"t{i}") + alpha * F.col("v"))) for i in k]).alias("none"))
+    return gains, facts
+
+
+def across(docs: DataFrame, tokens: DataFrame, labels: list[str], by: str) -> DataFrame:
+    """(by, id, y_pred): every row of docs (id, by, label) by the model of each value of ``by``, from token counts made once: texts are not copied, only ids meet all models."""
+    gains, facts = model_tokens(tokens, labels, by)
+    n = docs.groupBy(by).agg(F.count("*").alias("n"), *[F.count_if(F.col("label") == x).alias(f"d{i}") for i, x in enumerate(labels)])
+    prior = F.array(*[F.when(F.col(f"d{i}") > 0, F.ln(F.col(f"d{i}") / F.col("n"))) for i in range(len(labels))])
+    models = n.select(by, prior.alias("prior")).join(facts, by)
+    sums = tokens.select("id", "token", "tf").join(gains, "token").groupBy(by, "id").agg(F.sum("tf").alias("m"), F.array(*[F.sum(F.col("tf") * F.col("g")[i]) for i in range(len(labels))]).alias("s"))
+    pairs = docs.select("id").crossJoin(models).join(sums, [by, "id"], "left")  # rows by models is the result's own size
+    zero = F.array(*[F.lit(0.0) for _ in labels])
+    score = F.zip_with(F.col("prior"), F.zip_with(F.col("none"), F.coalesce("s", zero), lambda a, b: F.coalesce(F.col("m"), F.lit(0)) * a + b), lambda a, b: F.coalesce(a + b, F.lit(float("-inf"))))
+    return pairs.select(by, "id", best_label(score, labels).alias("y_pred"))
+
+
+def top_contributions(tokens: DataFrame, labels: list[str], chosen: DataFrame, k: int = 10) -> DataFrame:
+    """(id, token, weight, rank): what each token adds to the chosen label's score beyond the mean of all labels, tf times coefficient; per row the k largest and the k least.
+
+    Ranks are cut to k in every task before rows meet. chosen: id, label. tokens: id, label, token, tf, of the rows learnt from and explained.
+    """
+    from pyspark.sql import Window
+
+    gains, facts = model_tokens(tokens.withColumn("_all", F.lit(0)), labels, "_all")
+    none = facts.first()["none"]
+    mean = sum(none) / len(none)
+    c = F.transform(F.col("g"), lambda g: g - F.aggregate("g", F.lit(0.0), lambda a, x: a + x) / len(labels))
+    coefficients = gains.select("token", F.zip_with(c, F.array(*[F.lit(x - mean) for x in none]), lambda a, b: a + b).alias("c"))
+    at = F.array_position(F.array(*map(F.lit, labels)), F.col("label")).cast("int")
+    rows = tokens.select("id", "token", "tf").join(chosen.select("id", at.alias("at")), "id").join(coefficients, "token")
+    rows = rows.select("id", "token", F.round(F.col("tf") * F.element_at("c", F.col("at")), 6).alias("weight"))
+    best, least = Window.partitionBy("id").orderBy(F.desc("weight"), "token"), Window.partitionBy("id").orderBy("weight", "token")
+    up = rows.where("weight > 0").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    down = rows.where("weight < 0").withColumn("rank", -F.row_number().over(least)).where(F.col("rank") >= -k)
+    return up.unionByName(down)
+
+
 def posterior(scores: Column, n: Column) -> Column:
     """Shares of the labels by the mean log probability of a token: a long text does not make every answer certain."""
     each = F.transform(scores, lambda s: s / F.greatest(n, F.lit(1)))

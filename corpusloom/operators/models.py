@@ -8,6 +8,7 @@ from pyspark.ml.feature import HashingTF, StringIndexer
 from pyspark.sql import DataFrame, Window, functions as F
 
 from corpusloom.functions import text as X
+from corpusloom.operators import bayes
 from corpusloom.operators.corpus import written
 
 
@@ -74,10 +75,11 @@ def naive_bayes(train: DataFrame, test: DataFrame, label: str, alpha: float = 0.
 
 def cross_validated(df: DataFrame, label: str, folds: int, fold) -> DataFrame:
     """(id, fold, y_true, y_pred): each row's prediction by a naive Bayes model of the other folds' rows. fold: a Column, 0 to folds - 1."""
-    rows = df.select("id", "text", label, fold.cast("int").alias("fold"))
-    others = rows.select("text", label, F.explode(F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda f: f != F.col("fold"))).alias("fold"))
-    found = naive_bayes(others, rows.select("id", "fold", "text"), label, by=("fold",))
-    return rows.select("id", F.col(label).alias("y_true")).join(found, "id").select("id", "fold", "y_true", "y_pred")
+    labels = sorted(r[0] for r in df.where(F.col(label).isNotNull()).select(label).distinct().collect())
+    rows = df.select("id", "text", F.col(label).alias("label"), fold.cast("int").alias("fold"))
+    tokens = written(df.sparkSession, bayes.word_tokens(rows, "fold", "label"))
+    found = bayes.out_of_fold(rows.select("id", "fold", "label"), tokens, labels)
+    return found.select("id", "fold", F.col("label").alias("y_true"), bayes.best_label(F.col("scores"), labels).alias("y_pred"))
 
 
 def majority_prior(train: DataFrame, label: str) -> DataFrame:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.functions import arrays as A
-from corpusloom.operators import evaluation as E, models as M
+from corpusloom.operators import evaluation as E, hierarchy as H, models as M
 from corpusloom.plans.registry import query
-from corpusloom.plans.tables import LABELS, PRED, predictions, r6, samples, table
+from corpusloom.plans.tables import FAMILIES, LABELS, PRED, PRED_FAMILY, family_posteriors, predictions, r6, samples, table
 
 _L = "['de','en','es','fr']"
 CLASSES = list(LABELS)
@@ -136,16 +136,30 @@ _fused("confidence", "list_max(a) * a[i] + list_max(b) * b[i]")
 _fused("logpool", "exp(0.6::DOUBLE * ln(greatest(a[i], 1e-12)) + 0.4::DOUBLE * ln(greatest(b[i], 1e-12)))")
 
 
-@query(PRED + " SELECT id, round(p[1] + p[2], 6) AS germanic, round(p[3] + p[4], 6) AS romance FROM pp")
+_TREE = PRED_FAMILY + """, h AS (SELECT id, p, c, list_max(c) AS cp, CASE WHEN c[1] >= c[2] THEN 'germanic' ELSE 'romance' END AS fam FROM pp JOIN pf USING (id)),
+k AS (SELECT *, list_transform(range(1, 5), lambda i: CASE WHEN (i <= 2) = (fam = 'germanic') THEN p[i] ELSE 0 END) AS q FROM h), j AS (SELECT *, CASE WHEN list_sum(q) > 0 THEN list_transform(q, lambda v: cp * v / list_sum(q)) END AS joint FROM k)"""
+_PARENTS = {"de": "germanic", "en": "germanic", "es": "romance", "fr": "romance"}
+
+
+def _two_levels(spark, sf):
+    """Posteriors of languages and of families, each from a model of its own."""
+    return predictions(spark, sf).select("id", F.col("p").alias("fine_p")).join(family_posteriors(spark, sf).select("id", F.col("p").alias("coarse_p")), "id")
+
+
+@query(_TREE + " SELECT id, fam AS family, list_transform(joint, lambda v: round(v, 8)) AS p FROM j")
 def hierarchy_projection(spark, sf):
-    return predictions(spark, sf).select("id", r6(F.col("p")[0] + F.col("p")[1]).alias("germanic"), r6(F.col("p")[2] + F.col("p")[3]).alias("romance"))
+    """Languages within the likelier family, scaled to its probability."""
+    d = _two_levels(spark, sf).withColumns({"family": A.argmax_label(F.col("coarse_p"), list(FAMILIES)), "top": F.array_max("coarse_p")})
+    p = H.projected(F.col("fine_p"), CLASSES, F.col("family"), F.col("top"), _PARENTS)
+    return d.select("id", "family", F.transform(p, lambda v: F.round(v, 8)).alias("p"))
 
 
-@query(PRED + f" SELECT id, CASE WHEN list_max(p) >= 0.6 AND list_reverse_sort(p)[1] - list_reverse_sort(p)[2] >= 0.2 THEN {_L}[list_position(p, list_max(p))] WHEN p[1] + p[2] >= p[3] + p[4] THEN 'germanic' ELSE 'romance' END AS label FROM pp")
+@query(_TREE + f""", s AS (SELECT *, list_reverse_sort(joint) AS t FROM j)
+SELECT id, CASE WHEN joint IS NOT NULL AND t[1] >= 0.6 AND (t[1] - t[2] >= 0.9 OR t[1] >= 0.97) THEN {_L}[list_position(joint, list_max(joint))] ELSE fam END AS label, CASE WHEN joint IS NOT NULL AND t[1] >= 0.6 AND (t[1] - t[2] >= 0.9 OR t[1] >= 0.97) THEN 'fine' ELSE 'coarse' END AS level FROM s""")
 def hierarchy_backoff(spark, sf):
-    p = F.col("p")
-    sure = (F.array_max(p) >= 0.6) & (A.margin(p) >= 0.2)
-    return predictions(spark, sf).select("id", F.when(sure, A.argmax_label(p, CLASSES)).when(p[0] + p[1] >= p[2] + p[3], "germanic").otherwise("romance").alias("label"))
+    """A policy of three predicates, read from its text form."""
+    policy = H.Policy.from_json('{"kind": "all_of", "children": [{"kind": "confidence_threshold", "value": 0.6}, {"kind": "any_of", "children": [{"kind": "margin_threshold", "value": 0.9}, {"kind": "confidence_threshold", "value": 0.97}]}]}')
+    return H.decide(_two_levels(spark, sf), CLASSES, list(FAMILIES), _PARENTS, policy).select("id", "label", "level")
 
 
 @query(PRED + f" SELECT id, {_L}[list_position(x, list_max(x))] AS label FROM (SELECT id, list_transform(range(1, 5), lambda i: round((2 * p[i] + p[5 - i]) / 3, 9)) AS x FROM pp)")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.functions import lexicons as L, text as X
-from corpusloom.operators import corpus as C
+from corpusloom.operators import corpus as C, minhash as MH
 from corpusloom.plans.registry import query
 from corpusloom.plans.tables import r6, samples, table
 
@@ -85,6 +85,17 @@ def shingle_jaccard_pairs(spark, sf):
     return C.similar_pairs(samples(spark, sf)).select("a", "b", r6("jaccard").alias("jaccard"))
 
 
+@query()
+def minhash_lsh_candidates(spark, sf):
+    """Near copies found by 128 permutations in 32 bands; rows with equal shingle sets meet once, by their first."""
+    return MH.lsh_pairs(samples(spark, sf))[0].withColumn("jaccard", r6("jaccard"))
+
+
+@query()
+def minhash_dedup(spark, sf):
+    return MH.deduplicate(samples(spark, sf)).select("id")
+
+
 @query()
 def near_dedup_greedy(spark, sf):
     d = C.keep_first(samples(spark, sf), X.hash_text(F.col("text")))  # equal texts go first, so they are never paired

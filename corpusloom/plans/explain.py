@@ -68,8 +68,19 @@ def _streamed(spark, sf, name: str, change, mode: str):
 
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def streaming_dedup(spark, sf):
-    """First arrivals of each user's kinds of event; the state is one row for each key."""
-    return _streamed(spark, sf, "events", lambda s: s.select("user_id", "event_type").dropDuplicates(), "append")
+    """First arrivals of each user's kinds of event; a key is kept for ten years of event time."""
+    key = F.struct("user_id", "event_type")
+    return _streamed(spark, sf, "events", lambda s: jobs.dedup_stream(s.select("user_id", "event_type", "ts"), key, late="3650 days"), "append").select("user_id", "event_type")
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, ts, epoch_us(ts) / 1e6::DOUBLE AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS k FROM events),
+r AS (SELECT user_id, ts, t, k, 2.0::DOUBLE AS tokens, true AS allowed FROM e WHERE k = 1 UNION ALL
+SELECT user_id, ts, t, k, x - (x >= 1)::INT, x >= 1 FROM (SELECT e.*, least(3.0::DOUBLE, r.tokens + (e.t - r.t) / 604800.0::DOUBLE) AS x FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1))
+SELECT user_id, count(*) AS n, count_if(allowed)::BIGINT AS allowed FROM r GROUP BY user_id""")
+def token_bucket(spark, sf):
+    """Events of each user that a bucket of three tokens, one more a week, lets through."""
+    out = _streamed(spark, sf, "events", lambda s: jobs.token_bucket(s.select("user_id", "ts"), 1 / 604800, 3.0), "append")
+    return out.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if("allowed").alias("allowed"))
 
 
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.functions import lexicons as L, text as X
-from corpusloom.operators import corpus as C, minhash as MH
+from corpusloom.operators import active as AL, corpus as C, digests as D, minhash as MH
 from corpusloom.plans.registry import query
 from corpusloom.plans.tables import r6, samples, table
 
@@ -235,3 +235,33 @@ def level_rollup(spark, sf):
 def datasheet_levels(spark, sf):
     table(spark, sf, "documents").createOrReplaceTempView("_datasheet")
     return spark.sql("SELECT lang, source, grouping_id(lang, source) AS level, count(*) AS n FROM _datasheet GROUP BY GROUPING SETS ((lang), (source), (lang, source), ())")
+
+
+_LANES = ", ".join(f"sum(('0x' || substr(h, {8 * i + 1}, 8))::BIGINT) AS l{i}" for i in range(8))
+_CARRIES = "l7 AS t7"
+for _i in reversed(range(7)):
+    _CARRIES += f", l{_i} + t{_i + 1} // 4294967296 AS t{_i}"
+_HEX = " || ".join(f"lpad(lower(to_hex((t{i} % 4294967296)::BIGINT)), 8, '0')" for i in range(8))
+
+
+@query(f"""WITH s AS (SELECT (doc_id % 3)::VARCHAR AS split, sha256(to_json({{'id': doc_id, 'lang': lang, 'n_chars': n_chars, 'source': source, 'text': text}})::VARCHAR) AS h FROM documents),
+a AS (SELECT split, count(*) AS n, {_LANES} FROM s GROUP BY split), c AS (SELECT split, n, {_CARRIES} FROM a), e AS (SELECT split, n, sha256({_HEX} || ':' || n) AS digest FROM c)
+SELECT * FROM e UNION ALL SELECT NULL, sum(n)::BIGINT, sha256(string_agg(split || ':' || digest, chr(10) ORDER BY split || ':' || digest)) FROM e""")
+def corpus_digest(spark, sf):
+    """Digests of three splits and of all."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "lang", "n_chars", "source", "text", (F.col("doc_id") % 3).cast("string").alias("split"))
+    return D.corpus_digest(d, ["id", "lang", "n_chars", "source", "text"], "split")
+
+
+@query(f"""WITH r AS (SELECT doc_id AS id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id::VARCHAR), doc_id) AS turn FROM documents WHERE lang IS NOT NULL) SELECT id FROM r ORDER BY turn, lang LIMIT 20""")
+def round_robin_seed(spark, sf):
+    """Twenty rows, one of each class in turn."""
+    pool = samples(spark, sf).select("id", "dialect")
+    return AL.round_robin_seed(pool, "dialect", 20, order=[F.md5(F.col("id").cast("string").cast("binary")), F.col("id")])
+
+
+@query()
+def active_learning(spark, sf):
+    """Five rounds of labelling by entropy, scored on held-out rows."""
+    d = samples(spark, sf).select("id", "text", F.col("dialect").alias("label"))
+    return AL.active_loop(d.where("id % 5 != 0"), d.where("id % 5 = 0"), ["de", "en", "es", "fr"], batch_size=20)

@@ -9,7 +9,7 @@ into spans, so that a notice with words put in or left out is still one
 span, and a span's label holds if it covers ``COVER`` of the template's pairs.
 Words are compared as well as hashes. A template's covered places are bits of
 as many integers (segments of ``SEGMENT`` places) as it needs, so templates
-may have any length. Pairs of two function words do not vote for notices.
+may have any length. All pairs vote, those of frequent words too.
 
 The templates are fixed and few (some 500 pairs), so they are broadcast. The
 join keeps one row for each text besides the matches, and everything after it
@@ -31,7 +31,6 @@ WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 DRIFT = 2
 COVER = 0.7
 SEGMENT = 60
-FUNCTION_WORDS = frozenset("a an and any as at be by for from in is it not of on or out that the this to under use with you".split())
 
 #: The phrases and labels that are asked for.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -83,11 +82,10 @@ NOTICES = (
 
 
 def template_pairs():
-    """(tid, label, base, t, size, first word, second word): one for each voting pair of each template; size is their number."""
+    """(tid, label, base, t, size, first word, second word): one for each pair of neighbouring words of each template; size is their number."""
     for tid, (words, label, base) in enumerate([(p, x, True) for p, x in PHRASES] + [(p, x, False) for p, x in NOTICES]):
         w = words.split()
-        voting = [t for t in range(len(w) - 1) if base or not FUNCTION_WORDS.issuperset(w[t : t + 2])]
-        yield from ((tid, label, base, t, len(voting), w[t], w[t + 1]) for t in voting)
+        yield from ((tid, label, base, t, len(w) - 1, w[t], w[t + 1]) for t in range(len(w) - 1))
 
 
 def pairs(spark: SparkSession) -> DataFrame:

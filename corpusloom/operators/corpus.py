@@ -124,23 +124,28 @@ def validation_issues(df: DataFrame) -> DataFrame:
     return rows.where("n > 0")
 
 
-def group_split(df: DataFrame, group: str, label: str, fractions=(("train", 0.7), ("validation", 0.15), ("test", 0.15)), seed: int = 42) -> DataFrame:
-    """df with a split column: whole groups go to splits, largest first, each to where its majority label, then rows in all, lack most.
+LARGE_GROUPS = 2000
 
-    A row without a group is a group of its own; rows without a label count as
-    unlabelled ones. Group sizes are aggregated in Spark; what the driver sees
-    is one row for each group.
+
+def group_split(df: DataFrame, group: str, label: str, fractions=(("train", 0.7), ("validation", 0.15), ("test", 0.15)), seed: int = 42, large: int = LARGE_GROUPS) -> DataFrame:
+    """df with a split column: whole groups go to splits.
+
+    The ``large`` largest groups go one by one, largest first, each to where its majority label, then rows in all, lack most; they
+    are all that the driver sees. Any others are dealt by a seeded hash, in the shares that their label still lacks in each
+    split, where they lie: being the small ones, they meet the shares closely. A row without a group is a group of its own; rows
+    without a label count as unlabelled ones.
     """
     import hashlib
 
     own = F.coalesce(F.concat(F.lit("g"), F.nullif(F.trim(F.col(group).cast("string")), F.lit(""))), F.concat(F.lit("i"), F.col("id").cast("string")))
     keyed = df.withColumn("_group", own)
-    groups = majority_label(keyed.select("_group", F.coalesce(F.col(label), F.lit(L.UNLABELLED)).alias("_label")), "_group", "_label").collect()
-    order = sorted(groups, key=lambda r: (-r["size"], hashlib.md5(f"{seed}|{r['_group']}".encode()).hexdigest()))
-    n_all = sum(r["size"] for r in groups)
-    n_label: dict = {}
-    for r in groups:
-        n_label[r["majority"]] = n_label.get(r["majority"], 0) + r["size"]
+    sizes = written(df.sparkSession, majority_label(keyed.select("_group", F.coalesce(F.col(label), F.lit(L.UNLABELLED)).alias("_label")), "_group", "_label"))
+    n_label = {r["majority"]: r["n"] for r in sizes.groupBy("majority").agg(F.sum("size").alias("n")).collect()}  # a row for each label
+    n_all = sum(n_label.values())
+    rank = F.md5(F.concat(F.lit(f"{seed}|"), "_group").cast("binary"))
+    first = sizes.withColumn("_rank", rank).orderBy(F.desc("size"), "_rank", "_group").limit(large).collect()
+    order = sorted(first, key=lambda r: (-r["size"], hashlib.md5(f"{seed}|{r['_group']}".encode()).hexdigest()))
+    more = sizes.count() > len(order)
     have, have_label, out = {s: 0 for s, _ in fractions}, {}, []
     for k, r in enumerate(order):
         empty = [s for s, f in fractions if f > 0 and not have[s]]
@@ -152,6 +157,19 @@ def group_split(df: DataFrame, group: str, label: str, fractions=(("train", 0.7)
     if missing := [s for s, f in fractions if f > 0 and not have[s]]:
         raise ValueError(f"too few groups: {', '.join(missing)} would be empty")
     assigned = df.sparkSession.createDataFrame(out, "_group string, split string")
+    if more:
+        draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|deal|"), "_group").cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
+        split = F.lit(fractions[0][0])
+        for name, n in n_label.items():
+            lack = [max(0.0, f * n - have_label.get((s, name), 0)) for s, f in fractions]
+            share, upto = sum(lack) or 1.0, 0.0
+            dealt = F.lit([s for s, f in fractions if f > 0][-1])
+            for (s, _), x in reversed(list(zip(fractions, lack))):
+                upto += x / share
+                dealt = F.when(draw >= 1 - upto, F.lit(s)).otherwise(dealt) if upto == x / share else F.when((draw >= 1 - upto) & (draw < 1 - upto + x / share), F.lit(s)).otherwise(dealt)
+            split = F.when(F.col("majority") == name, dealt).otherwise(split)
+        rest = sizes.join(F.broadcast(assigned), "_group", "left_anti")
+        assigned = assigned.unionByName(rest.select("_group", split.alias("split")))
     return keyed.join(assigned, "_group").drop("_group")
 
 

@@ -158,6 +158,20 @@ def test_splits_keep_every_row(spark):
     assert sorted(r["id"] for r in C.grouped_kfold(df, "speaker_id", "dialect", 3).collect()) == list(range(60))
 
 
+def test_splits_of_many_groups(spark):
+    """All but the largest groups are dealt by a hash; shares are met by label, groups stay whole, the result is the same again."""
+    rows = [(i, f"s{i % 1500}" if i % 3 else None, "x" if i % 1500 % 4 else "y") for i in range(9000)]
+    df = spark.createDataFrame(rows, "id long, speaker_id string, dialect string").repartition(3)
+    split = C.group_split(df, "speaker_id", "dialect", large=40).collect()
+    assert {r["id"]: r["split"] for r in split} == {r["id"]: r["split"] for r in C.group_split(df, "speaker_id", "dialect", large=40).collect()} and len(split) == 9000
+    assert all(len(v) == 1 for v in ({r["split"] for r in split if r["speaker_id"] == f"s{g}"} for g in range(1500)) if v)
+    for label in "xy":
+        n = [r["split"] for r in split if r["dialect"] == label]
+        assert all(abs(n.count(s) / len(n) - f) < 0.03 for s, f in (("train", 0.7), ("validation", 0.15), ("test", 0.15)))
+    folds = C.grouped_kfold(df, "speaker_id", "dialect", 4).groupBy("fold").count().collect()
+    assert len(folds) == 4 and all(abs(r["count"] / 9000 - 0.25) < 0.03 for r in folds)
+
+
 def test_self_training_by_confidence(spark):
     train = spark.createDataFrame([(1, "kot pies kot", "a"), (2, "auto rower auto", "b")], "id long, text string, dialect string")
     pool = spark.createDataFrame([(10, "kot kot pies kot mysz", None), (11, "rower auto rower auto", None), (12, "kot auto", None), (13, "mysz mysz mysz mysz", None)], train.schema)

@@ -114,7 +114,8 @@ def pattern_hits(tokens: Column, pattern: str, stop=()) -> Column:
     return F.regexp_count(F.array_join(tokens, " "), F.lit(pattern))
 
 
-def _pattern(parts, final: bool) -> str:
+def token_pattern(parts, final: bool) -> str:
+    """The longest of the parts at a place, at the token's end if final."""
     body = "|".join(sorted(parts, key=lambda x: (-len(x), x)))
     return f"(?:{body})(?= |$)" if final else body
 
@@ -123,9 +124,9 @@ def rule_rates(tokens: Column) -> dict[str, Column]:
     """applicable and fired rate of each sound rule, by token."""
     out = {}
     for name, (_, detectable, final, pairs, stop) in L.RULES.items():
-        out[f"{name}_applicable"] = rate(pattern_hits(tokens, _pattern([a for a, _ in pairs], final), stop), F.size(tokens))
+        out[f"{name}_applicable"] = rate(pattern_hits(tokens, token_pattern([a for a, _ in pairs], final), stop), F.size(tokens))
         if detectable:
-            out[f"{name}_fired"] = rate(pattern_hits(tokens, _pattern([b for _, b in pairs], final), stop), F.size(tokens))
+            out[f"{name}_fired"] = rate(pattern_hits(tokens, token_pattern([b for _, b in pairs], final), stop), F.size(tokens))
     return out
 
 

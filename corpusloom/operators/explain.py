@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from corpusloom.functions import lexicons as L, text as X
 from corpusloom.operators.evaluation import holm
@@ -68,3 +68,43 @@ def evidence(df: DataFrame, label: str, min_support: int = 3) -> DataFrame:
     top = F.min(F.struct((-(F.col("c") * F.col("n")) / F.col("size")).alias("less"), (-F.col("c")).alias("c"), F.col(label).alias("top_class")))
     out = each.groupBy("category", "feature").agg(F.sum("c").alias("carriers"), F.sum("occurrences").alias("occurrences"), top.alias("t"))
     return out.select("category", "feature", "carriers", "occurrences", "t.top_class", (-F.col("t.less") / F.col("carriers")).alias("lift"), (-F.col("t.c") / F.col("carriers")).alias("share"), (F.col("carriers") < min_support).alias("low_support"))
+
+
+#: What a fired rule, a marker and a merger's standard environment weigh.
+FIRED_WEIGHT, MARKER_WEIGHT, ENVIRONMENT_WEIGHT = 2.0, 1.5, -0.5
+
+
+def _named(hits, name: str, fired: bool):
+    return F.transform(hits, lambda s: F.struct(F.lit(1 if fired else 2).alias("kind"), F.lit(name).alias("label"), F.when(F.lit(fired), s).otherwise("").alias("surface")))
+
+
+def dialect_evidence(df: DataFrame, k: int = 15) -> DataFrame:
+    """(id, rank, kind, label, surface, count, weight): the markers a text holds, the sound rules that fired in it and the environments
+    that mergers left as they are, the k heaviest by absolute weight; ties by kind (marker, fired, environment), count, label, surface.
+
+    Words are cut once; the lexicon is a few rows. Ranks are cut to k in every task before rows meet.
+    """
+    spark = df.sparkSession
+    words = df.select("id", F.explode(X.words(F.col("text"), True)).alias("t")).groupBy("id", "t").agg(F.count("*").alias("n"))
+    lexicon = spark.createDataFrame([(m, key) for key, markers in L.MARKERS.items() for m in markers], "t string, label string")
+    markers = words.join(F.broadcast(lexicon), "t").select("id", F.lit(0).alias("kind"), "label", F.col("t").alias("surface"), "n")
+    found = []
+    for name, (_, detectable, final, pairs, stop) in L.RULES.items():
+        pattern = X.token_pattern([b if detectable else a for a, b in pairs], final)
+        hits = F.when(~F.col("t").isin(*stop) if stop else F.lit(True), F.regexp_extract_all("t", F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
+        found.append(_named(hits, name, detectable))
+    rules = words.select("id", "n", F.explode(F.flatten(F.array(*found))).alias("e")).select("id", "e.*", "n")
+    counted = markers.unionByName(rules).groupBy("id", "kind", "label", "surface").agg(F.sum("n").alias("count"))
+    weight = F.col("count") * F.when(F.col("kind") == 0, MARKER_WEIGHT).when(F.col("kind") == 1, FIRED_WEIGHT).otherwise(ENVIRONMENT_WEIGHT)
+    order = Window.partitionBy("id").orderBy(F.desc(F.abs("weight")), "kind", F.desc("count"), "label", "surface")
+    ranked = counted.withColumn("weight", weight).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    names = F.element_at(F.array(*map(F.lit, ("marker", "isogloss_fired", "isogloss_environment"))), F.col("kind") + 1)
+    return ranked.select("id", "rank", names.alias("kind"), "label", "surface", "count", "weight")
+
+
+def family_evidence(df: DataFrame) -> DataFrame:
+    """(id, family, count): markers and fired rules of each text by the families they speak for, of all of them, not only the heaviest."""
+    spark = df.sparkSession
+    families = [(key, f) for key in L.MARKERS if (f := L.FAMILY_OF.get(key, f"{key}n" if f"{key}n" in L.FAMILIES else None))] + [(n, f) for n, rule in L.RULES.items() for f in rule[0]]
+    each = dialect_evidence(df, k=1 << 30).where("kind != 'isogloss_environment'")
+    return each.join(F.broadcast(spark.createDataFrame(families, "label string, family string")), "label").groupBy("id", "family").agg(F.sum("count").alias("count"))

@@ -54,6 +54,26 @@ def char_tfidf_top(spark, sf):
     return weights.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("weight"), "token"))).where("rank <= 5")
 
 
+def _evidence_sql() -> str:
+    lexicon = ", ".join(f"('{m}', '{key}')" for key, markers in L.MARKERS.items() for m in markers)
+    rules = []
+    for name, (_, detectable, final, pairs, stop) in L.RULES.items():
+        body = "|".join(sorted([b if detectable else a for a, b in pairs], key=lambda x: (-len(x), x)))
+        left = f" WHERE NOT list_contains({_isin(list(stop))}, t)" if stop else ""
+        rules.append(f"SELECT id, {1 if detectable else 2}, '{name}', unnest(regexp_extract_all(t, '{f'(?:{body})$' if final else body}')) AS s, n FROM w{left}")
+    fired = " UNION ALL ".join(f"SELECT id, k, l, {'s' if d else chr(39) * 2} AS s, n FROM ({r}) x(id, k, l, s, n)" for r, d in zip(rules, (rule[1] for rule in L.RULES.values())))
+    return rf"""WITH w AS (SELECT id, t, count(*) AS n FROM (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{Nl}}\p{{No}}]+')) AS t FROM documents WHERE text IS NOT NULL) GROUP BY ALL),
+e AS (SELECT id, 0 AS k, l, w.t AS s, n FROM w JOIN (VALUES {lexicon}) v(t, l) ON v.t = w.t UNION ALL {fired}), c AS (SELECT id, k, l, s, sum(n)::BIGINT AS n FROM e GROUP BY ALL), x AS (SELECT *, n * [1.5, 2.0, -0.5][k + 1]::DOUBLE AS weight FROM c),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY abs(weight) DESC, k, n DESC, l, s) AS rank FROM x)
+SELECT id, rank, ['marker', 'isogloss_fired', 'isogloss_environment'][k + 1] AS kind, l AS label, s AS surface, n AS count, weight FROM r WHERE rank <= 15"""
+
+
+@query(_evidence_sql())
+def dialect_evidence(spark, sf):
+    """The heaviest markers, fired rules and standing environments of each document."""
+    return P.dialect_evidence(samples(spark, sf))
+
+
 def _streamed(spark, sf, name: str, change, mode: str):
     """A table as a stream of files, changed and written until all is read; then what was written."""
     path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"

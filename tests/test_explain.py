@@ -45,3 +45,19 @@ def test_streams_read_a_folder_of_files(spark, tmp_path):
     events.repartition(3).write.parquet(f"{tmp_path}/events.parquet")
     for name in ("streaming_dedup", "streaming_tallies"):
         assert registry.queries()[name](spark, str(tmp_path)).count() == registry.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_dialect_evidence(spark):
+    """Markers, fired rules and standing environments with their weights; words left alone fire nothing."""
+    texts = ["Baca godo psiwo, baca! dach", "szyba czas żaba", "psi wziąć", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {}
+    for r in P.dialect_evidence(df).collect():
+        got.setdefault(r["id"], []).append((r["rank"], r["kind"], r["label"], r["surface"], r["count"], r["weight"]))
+    first = sorted(got[0])
+    assert first[0][1:] == ("marker", "podhale", "baca", 2, 3.0) and first[1][1:] == ("isogloss_fired", "soft_labials", "psi", 1, 2.0)
+    assert {x[1:] for x in first[2:]} >= {("marker", "silesia", "godo", 1, 1.5), ("marker", "kurpie", "psiwo", 1, 1.5)}
+    assert {x[1:] for x in got[1]} == {("isogloss_environment", "mazurzenie", "", 3, -1.5)}
+    assert not [x for x in got.get(2, []) if x[2] == "soft_labials"] and 3 not in got and 4 not in got
+    assert [r["surface"] for r in P.dialect_evidence(df, k=1).where("id = 0").collect()] == ["baca"]
+    assert {(r["family"], r["count"]) for r in P.family_evidence(df).where("id = 0").collect()} == {("lesser_polish", 2), ("silesian", 1), ("masovian", 2)}

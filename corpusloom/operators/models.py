@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
-from pyspark.ml.feature import HashingTF, StringIndexer
+from pyspark.ml.feature import IDF, HashingTF, Normalizer, StringIndexer
 from pyspark.sql import DataFrame, Window, functions as F
 
 from corpusloom.functions import text as X
@@ -93,20 +93,22 @@ def class_weights(train: DataFrame, label: str) -> DataFrame:
     return n.withColumn("weight", F.sum("count").over(Window.partitionBy()) / (F.count("*").over(Window.partitionBy()) * F.col("count")))
 
 
-def classifier(kind: str, label: str, features: int = 1 << 14) -> Pipeline:
-    """Hashed words and an MLlib classifier: logistic_regression, linear_svm or random_forest."""
+def classifier(kind: str, label: str, features: int = 1 << 14, trees: int = 100) -> Pipeline:
+    """TF-IDF of hashed words and an MLlib classifier: logistic_regression, linear_svm or random_forest. Rows are weighted by the column weight."""
     made = {
-        "logistic_regression": lambda: LogisticRegression(labelCol="y", featuresCol="x", family="multinomial", regParam=1e-4, maxIter=50),
-        "linear_svm": lambda: OneVsRest(classifier=LinearSVC(featuresCol="x", labelCol="y", maxIter=12, regParam=1e-3), labelCol="y", featuresCol="x"),
-        "random_forest": lambda: RandomForestClassifier(labelCol="y", featuresCol="x", numTrees=30, maxDepth=8, seed=42),
+        "logistic_regression": lambda: LogisticRegression(labelCol="y", featuresCol="x", weightCol="weight", family="multinomial", regParam=1e-4, maxIter=100),
+        "linear_svm": lambda: OneVsRest(classifier=LinearSVC(featuresCol="x", labelCol="y", maxIter=50, regParam=1e-3), labelCol="y", featuresCol="x", weightCol="weight"),
+        "random_forest": lambda: RandomForestClassifier(labelCol="y", featuresCol="x", weightCol="weight", numTrees=trees, maxDepth=8, seed=42),
     }[kind]()
-    return Pipeline(stages=[StringIndexer(inputCol=label, outputCol="y", stringOrderType="alphabetAsc", handleInvalid="skip"), HashingTF(inputCol="tokens", outputCol="x", numFeatures=features), made])
+    index = StringIndexer(inputCol=label, outputCol="y", stringOrderType="alphabetAsc", handleInvalid="skip")
+    return Pipeline(stages=[index, HashingTF(inputCol="tokens", outputCol="tf", numFeatures=features), IDF(inputCol="tf", outputCol="idf"), Normalizer(inputCol="idf", outputCol="x"), made])
 
 
 def fit_predict(kind: str, train: DataFrame, test: DataFrame, label: str) -> DataFrame:
-    """(id, y_true, y_pred) of a fitted classifier on other rows."""
+    """(id, y_true, y_pred) of a fitted classifier on other rows; classes weigh the same."""
     tokens = X.words(F.col("text"), True)
-    model = classifier(kind, label).fit(train.withColumn("tokens", tokens))
+    weights = F.broadcast(class_weights(train.where(F.col(label).isNotNull()), label).select(label, "weight"))  # a row for each label
+    model = classifier(kind, label).fit(train.join(weights, label).withColumn("tokens", tokens))
     names = F.array(*map(F.lit, model.stages[0].labels))
     return model.transform(test.withColumn("tokens", tokens)).select("id", F.col(label).alias("y_true"), F.element_at(names, F.col("prediction").cast("int") + 1).alias("y_pred"))
 

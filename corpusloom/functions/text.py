@@ -137,6 +137,34 @@ def _rewrite(token: Column, pairs, final: bool, stop) -> Column:
     return F.when(token.isin(*stop), token).otherwise(out) if stop else out
 
 
+def keyword_hits() -> dict:
+    """Functions of a token Column that count markers, by dialect and in all."""
+    each = {d: (lambda t, m=tuple(m): t.isin(*m).cast("int")) for d, m in L.MARKERS.items()}
+    return each | {"total": lambda t: reduce(lambda a, b: a + b, (f(t) for f in each.values()))}
+
+
+def rule_hits() -> dict:
+    """Functions of a token Column that count a rule's standard parts, and its dialect parts if they can be told."""
+
+    def counter(parts, final, stop):
+        pattern = F.lit(token_pattern(parts, final))
+        return lambda t: F.when(t.isin(*stop), 0).otherwise(F.regexp_count(t, pattern)) if stop else F.regexp_count(t, pattern)
+
+    out = {}
+    for name, (_, detectable, final, pairs, stop) in L.RULES.items():
+        out[f"{name}_applicable"] = counter([a for a, _ in pairs], final, stop)
+        if detectable:
+            out[f"{name}_fired"] = counter([b for _, b in pairs], final, stop)
+    return out
+
+
+def token_rates(df: DataFrame, key: str, hits: dict, per: float = 1.0) -> DataFrame:
+    """(key, one rate for each function of hits): words are cut once, and summed where they are cut; one row of each text is shuffled."""
+    tokens = df.select(key, F.explode_outer(words(F.col("text"), True)).alias("t"))
+    sums = tokens.groupBy(key).agg(F.count("t").alias("_n"), *[F.coalesce(F.sum(f(F.col("t"))), F.lit(0)).alias(n) for n, f in hits.items()])
+    return sums.select(key, *[rate(F.col(n), F.col("_n"), per).alias(n) for n in hits])
+
+
 def apply_rules_to(token: Column) -> Column:
     """Each rule in turn on one token."""
     for _, _, final, pairs, stop in L.RULES.values():

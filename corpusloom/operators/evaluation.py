@@ -85,10 +85,25 @@ def slices(df: DataFrame, low_support: int = 5) -> DataFrame:
 
 
 def fairness(sliced: DataFrame) -> DataFrame:
-    """Best and worst value of each dimension with two or more (ties to the smallest name), gap and ratio."""
-    best, worst = F.min(F.struct(-F.col("accuracy"), "value"))["value"], F.min(F.struct("accuracy", "value"))["value"]
-    out = sliced.groupBy("dimension").agg(F.count("*").alias("groups"), best.alias("best"), worst.alias("worst"), (F.max("accuracy") - F.min("accuracy")).alias("gap"), F.when(F.max("accuracy") > 0, F.min("accuracy") / F.max("accuracy")).alias("ratio"))
-    return out.where("groups >= 2")
+    """Best and worst value of each dimension with two or more (ties to the smallest name), gap and ratio; p of a two-sided two-proportion z-test of the two (1 where all or none are right), and Holm's over the dimensions."""
+    best, worst = F.min(F.struct(-F.col("accuracy"), "value", "n")), F.min(F.struct("accuracy", "value", "n"))
+    out = sliced.groupBy("dimension").agg(F.count("*").alias("groups"), best.alias("b"), worst.alias("w"), (F.max("accuracy") - F.min("accuracy")).alias("gap"), F.when(F.max("accuracy") > 0, F.min("accuracy") / F.max("accuracy")).alias("ratio")).where("groups >= 2")
+    n_b, n_w = F.col("b.n"), F.col("w.n")
+    pooled = (F.col("w.accuracy") * n_w + (F.col("w.accuracy") + F.col("gap")) * n_b) / (n_w + n_b)
+    z = F.col("gap") / F.sqrt(pooled * (1 - pooled) * (1 / n_b + 1 / n_w))
+    tested = out.withColumn("p", F.when((pooled > 0) & (pooled < 1), two_sided(z)).otherwise(1.0))
+    return holm(tested, "p", "dimension").select("dimension", "groups", F.col("b.value").alias("best"), F.col("w.value").alias("worst"), "gap", "ratio", "p", "adjusted")
+
+
+def two_sided(z):
+    """Two-sided p of a standard normal z, of relative error under 1.2e-7, as one expression: a fitted form of the complementary error function."""
+    x = F.abs(z) / math.sqrt(2)
+    t = 1 / (1 + x / 2)
+    terms = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
+    inner = F.lit(terms[-1])
+    for c in reversed(terms[:-1]):
+        inner = F.lit(c) + t * inner
+    return t * F.exp(-x * x + inner)
 
 
 def confused(df: DataFrame, k: int = 10) -> DataFrame:

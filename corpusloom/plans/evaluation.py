@@ -160,9 +160,19 @@ def slice_metrics(spark, sf):
     return s.withColumns({"accuracy": r6("accuracy"), "macro_f1": r6("macro_f1")})
 
 
-@query(_SLICE + """ SELECT dimension, count(*) AS groups, arg_min(value, (-accuracy, value)) AS best, arg_min(value, (accuracy, value)) AS worst, round(max(accuracy) - min(accuracy), 6) AS gap, round(CASE WHEN max(accuracy) > 0 THEN min(accuracy) / max(accuracy) END, 6) AS ratio FROM m GROUP BY dimension HAVING count(*) >= 2""")
+_ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
+
+
+def _nested(terms) -> str:
+    return f"({terms[0]}::DOUBLE + t * {_nested(terms[1:])})" if len(terms) > 1 else f"{terms[0]}::DOUBLE"
+
+
+@query(_SLICE + f""", g AS (SELECT dimension, count(*) AS groups, arg_min(struct_pack(v := value, n := n), (-accuracy, value)) AS b, arg_min(struct_pack(v := value, n := n), (accuracy, value)) AS w, max(accuracy) AS hi, min(accuracy) AS lo FROM m GROUP BY dimension HAVING count(*) >= 2),
+o AS (SELECT *, (lo * w.n + hi * b.n) / (w.n + b.n) AS pool FROM g), x AS (SELECT *, (hi - lo) / sqrt(pool * (1 - pool) * (1.0::DOUBLE / b.n + 1.0::DOUBLE / w.n)) / sqrt(2) AS x FROM o), y AS (SELECT *, 1 / (1 + x / 2) AS t FROM x),
+p AS (SELECT *, CASE WHEN pool > 0 AND pool < 1 THEN t * exp(-x * x + {_nested(_ERFC)}) ELSE 1 END AS p FROM y), r AS (SELECT *, row_number() OVER (ORDER BY p, dimension) AS k, count(*) OVER () AS c FROM p)
+SELECT dimension, groups, b.v AS best, w.v AS worst, round(hi - lo, 6) AS gap, round(CASE WHEN hi > 0 THEN lo / hi END, 6) AS ratio, round(p, 6) AS p, round(least(1.0::DOUBLE, max((c - k + 1) * p) OVER (ORDER BY k)), 6) AS adjusted FROM r""")
 def fairness_gaps(spark, sf):
-    return E.fairness(E.slices(predictions(spark, sf))).withColumns({"gap": r6("gap"), "ratio": r6("ratio")})
+    return E.fairness(E.slices(predictions(spark, sf))).withColumns({c: r6(c) for c in ("gap", "ratio", "p", "adjusted")})
 
 
 @query(PRED + " SELECT y_true, y_pred, count(*) AS n FROM pr WHERE y_true <> y_pred GROUP BY ALL ORDER BY n DESC, y_true, y_pred LIMIT 10")

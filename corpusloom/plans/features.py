@@ -93,7 +93,12 @@ _HITS = {d: f"len(list_filter(w, lambda x: list_contains({_isin(m)}, x)))" for d
 
 @query(f"WITH t AS ({_T}) SELECT doc_id, " + ", ".join(f"round(CASE WHEN len(w) > 0 THEN 1000.0::DOUBLE * {h} / len(w) ELSE 0 END, 6) AS {d}" for d, h in (_HITS | {"total": "(" + " + ".join(_HITS.values()) + ")"}).items()) + " FROM t")
 def keyword_rates(spark, sf):
-    return _each(spark, sf, X.keyword_rates(X.words(F.col("text"), True)))
+    return _rates(spark, sf, X.keyword_hits(), 1000.0)
+
+
+def _rates(spark, sf, hits, per=1.0):
+    rates = X.token_rates(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", hits, per)
+    return rates.select("doc_id", *[r6(n).alias(n) for n in hits])
 
 
 def _count(pattern: str, stop=()) -> str:
@@ -124,7 +129,7 @@ _RULE_RATE = {k: f"(CASE WHEN len(w) > 0 THEN {v}::DOUBLE / len(w) ELSE 0 END)"
 
 @query(f"WITH t AS ({_T}) SELECT doc_id, " + ", ".join(f"round({v}, 6) AS {k}" for k, v in _RULE_RATE.items()) + " FROM t")
 def rule_fired_rates(spark, sf):
-    return _each(spark, sf, X.rule_rates(X.words(F.col("text"), True)))
+    return _rates(spark, sf, X.rule_hits())
 
 
 @query(f"WITH t AS ({_T}) SELECT doc_id, round(1 - exp(-(8.0::DOUBLE * (CASE WHEN len(w) > 0 THEN len(list_filter(w, lambda x: list_contains({_isin(sorted({m for ms in L.MARKERS.values() for m in ms}))}, x)))::DOUBLE / len(w) ELSE 0 END) + 8.0::DOUBLE * {_RULE_RATE['soft_labials_fired']})), 6) AS intensity FROM t")

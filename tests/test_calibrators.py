@@ -107,3 +107,22 @@ def test_running_sums(spark):
             total += k
             assert got[i] == (total, n)
     assert len(got) == 2000
+
+
+def test_two_sided_p(spark):
+    from corpusloom.operators.evaluation import two_sided
+
+    zs = [0.0, 0.5, -1.0, 1.96, 3.0, 6.0]
+    got = spark.createDataFrame([(z,) for z in zs], "z double").select(two_sided(F.col("z")).alias("p")).collect()
+    assert all(abs(r["p"] - math.erfc(abs(z) / math.sqrt(2))) < 2e-7 * math.erfc(abs(z) / math.sqrt(2)) + 1e-15 for z, r in zip(zs, got))
+
+
+def test_fairness(spark):
+    from corpusloom.operators.evaluation import fairness
+
+    s = spark.createDataFrame([("d", "x", 0.9, 100), ("d", "y", 0.7, 50), ("d", "z", 0.8, 10), ("e", "q", 1.0, 5), ("e", "r", 1.0, 5), ("one", "q", 0.5, 5)], "dimension string, value string, accuracy double, n long")
+    got = {r["dimension"]: r for r in fairness(s).collect()}
+    pool = 125 / 150
+    p = math.erfc(0.2 / math.sqrt(pool * (1 - pool) * (1 / 100 + 1 / 50)) / math.sqrt(2))
+    assert set(got) == {"d", "e"} and (got["d"]["best"], got["d"]["worst"]) == ("x", "y") and got["d"]["p"] == pytest.approx(p, rel=1e-6) and got["d"]["adjusted"] == pytest.approx(2 * p, rel=1e-6)
+    assert got["e"]["p"] == 1.0 and got["e"]["gap"] == 0.0

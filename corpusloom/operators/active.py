@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusloom.functions import arrays as A, text as X
@@ -105,3 +107,35 @@ def active_loop(pool: DataFrame, test: DataFrame, labels: list[str], strategy: s
         m = averaged(class_metrics(found.join(test.select("id", F.col("label").alias("y_true")), "id").where("y_true IS NOT NULL"))).first()
         out.append((r, taken.count(), m["accuracy"], m["macro_f1"]))
     return spark.createDataFrame(out, "round int, n_labeled long, accuracy double, f1_macro double")
+
+
+def learning_curve(train: DataFrame, test: DataFrame, labels: list[str], fractions: list[float], seed: int = 0) -> DataFrame:
+    """(fraction, n_train, accuracy, f1_macro): of each class the first max(1, ceil(fraction * n)) rows in a seeded order, so that a larger part holds a smaller one and its counts take in only what is new.
+
+    Where a class's part ends is an order statistic of its rows' draws: no task ranks a class.
+    """
+    from corpusloom.operators.evaluation import averaged, class_metrics
+    from corpusloom.operators.ranks import order_statistics
+
+    parts = sorted(set(fractions))
+    if not parts or not 0 < parts[0] <= parts[-1] <= 1:
+        raise ValueError("fractions must lie in (0, 1]")
+    spark = train.sparkSession
+    draw = F.floor(F.xxhash64(F.lit(seed), "id") / 2048).cast("double")
+    rows = written(spark, train.where(F.col("label").isNotNull()).select("id", "text", "label", draw.alias("draw")))
+    tokens, held_out = written(spark, B.word_tokens(rows)), written(spark, B.word_tokens(test.select("id", "text")))
+    size = lambda f, n: max(1, math.ceil(f * n - 1e-9))
+    n = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}  # a row for each label
+    ends = order_statistics(rows, "draw", lambda k: [size(f, k) for f in parts], "label")
+    counts, out, before = Counts(labels), [], None
+    for f in parts:
+        end = F.element_at(F.create_map(*[x for label, k in n.items() for x in (F.lit(label), F.lit(ends[label, size(f, k)]))]), F.col("label"))
+        new = rows.where(F.col("draw") <= end)
+        new = new if before is None else new.where(F.col("draw") > before)
+        if not new.isEmpty():
+            counts.add(new.select("id", "label"), tokens)
+        found = counts.posteriors(test.select("id"), held_out).select("id", B.best_label(F.col("scores"), labels).alias("y_pred"))
+        m = averaged(class_metrics(found.join(test.select("id", F.col("label").alias("y_true")), "id").where("y_true IS NOT NULL"))).first()
+        out.append((f, counts.docs.agg(F.sum("n")).first()[0], m["accuracy"], m["macro_f1"]))
+        before = end
+    return spark.createDataFrame(out, "fraction double, n_train long, accuracy double, f1_macro double")

@@ -69,6 +69,18 @@ def risk_coverage(df: DataFrame) -> DataFrame:
     return rows.crossJoin(F.broadcast(n)).select("id", F.col("one_upto").alias("k"), (F.col("one_upto") / F.col("n")).alias("coverage"), (F.col("wrong_upto") / F.col("one_upto")).alias("risk"))
 
 
+def selective_report(curve: DataFrame, coverages: tuple = (0.5, 0.8, 0.9, 1.0), errors: tuple = (0.01, 0.05, 0.1, 0.2)) -> DataFrame:
+    """(kind, target, coverage, risk) from ``risk_coverage``: aurc, the mean risk; at each coverage the first row that reaches it; at each error the largest coverage whose risk is not above it (none: 0, null)."""
+    first = [F.min_by(F.struct("coverage", "risk"), F.when(F.col("coverage") >= c - 1e-12, F.col("coverage"))).alias(f"c{i}") for i, c in enumerate(coverages)]
+    most = [F.max_by(F.struct("coverage", "risk"), F.when(F.col("risk") <= e + 1e-12, F.col("coverage"))).alias(f"e{i}") for i, e in enumerate(errors)]
+    one = curve.agg(F.avg("risk").alias("aurc"), *first, *most)
+    row = lambda kind, target, coverage, risk: F.struct(F.lit(kind).alias("kind"), F.lit(target).cast("double").alias("target"), coverage.alias("coverage"), risk.alias("risk"))
+    rows = [row("aurc", None, F.lit(None).cast("double"), F.col("aurc"))]
+    rows += [row("coverage", c, F.col(f"c{i}.coverage"), F.col(f"c{i}.risk")) for i, c in enumerate(coverages)]
+    rows += [row("error", e, F.coalesce(F.col(f"e{i}.coverage"), F.lit(0.0)), F.col(f"e{i}.risk")) for i, e in enumerate(errors)]
+    return one.select(F.inline(F.array(*rows)))
+
+
 def hierarchical(df: DataFrame, parent) -> DataFrame:
     """Exact, family, half-credit and ancestor-set F1. parent: Column function from label to family."""
     exact, family = F.col("y_true") == F.col("y_pred"), parent(F.col("y_true")) == parent(F.col("y_pred"))

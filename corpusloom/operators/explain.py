@@ -108,3 +108,17 @@ def family_evidence(df: DataFrame) -> DataFrame:
     families = [(key, f) for key in L.MARKERS if (f := L.FAMILY_OF.get(key, f"{key}n" if f"{key}n" in L.FAMILIES else None))] + [(n, f) for n, rule in L.RULES.items() for f in rule[0]]
     each = dialect_evidence(df, k=1 << 30).where("kind != 'isogloss_environment'")
     return each.join(F.broadcast(spark.createDataFrame(families, "label string, family string")), "label").groupBy("id", "family").agg(F.sum("count").alias("count"))
+
+
+def isogloss_diagnostics(predictions: DataFrame, texts: DataFrame, scope: dict[str, list[str]] | None = None, low: int = 5) -> DataFrame:
+    """(rule, n_present, accuracy_present, n_absent, accuracy_absent, delta, low_support): accuracy on rows in whose text a detectable rule fired, and on those where it did not, of the labels that the rule stands for (scope; its families if not given; all labels if empty).
+
+    predictions: id, y_true, y_pred; texts: id, text. Rules are counted where the words are cut, and one row of each text meets its prediction.
+    """
+    rules = {n: list(rule[0]) for n, rule in L.RULES.items() if rule[1]} if scope is None else scope
+    fired = X.token_rates(texts.where(F.col("text").isNotNull()), "id", {n: f for n, f in X.rule_hits().items() if n.removesuffix("_fired") in rules and n.endswith("_fired")})
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), (F.col(f"{n}_fired") > 0).alias("present"), (F.lower("y_true").isin(*labels) if labels else F.lit(True)).alias("inside")) for n, labels in rules.items()]))
+    rows = predictions.join(fired, "id").select((F.col("y_true") == F.col("y_pred")).cast("double").alias("right"), each.alias("e")).select("right", "e.*").where("inside")
+    of = lambda x: F.avg(F.when(x, F.col("right")))
+    out = rows.groupBy("rule").agg(F.count_if("present").alias("n_present"), of(F.col("present")).alias("accuracy_present"), F.count_if(~F.col("present")).alias("n_absent"), of(~F.col("present")).alias("accuracy_absent"))
+    return out.withColumns({"delta": F.col("accuracy_present") - F.col("accuracy_absent"), "low_support": (F.col("n_present") < low) | (F.col("n_absent") < low)})

@@ -134,6 +134,14 @@ def selective_targets(spark, sf):
     return E.risk_coverage(predictions(spark, sf)).agg(r6(F.avg("risk")).alias("aurc"), r6(F.max(F.when(F.col("risk") <= 0.2 + 1e-12, F.col("coverage")))).alias("coverage_at_20"))
 
 
+@query(_RISK + """, c AS (SELECT k / n::DOUBLE AS coverage, bad / k::DOUBLE AS risk FROM k), t AS (SELECT unnest([0.5, 0.8, 0.9, 1.0]::DOUBLE[]) AS t), e AS (SELECT unnest([0.01, 0.05, 0.1, 0.2]::DOUBLE[]) AS e)
+SELECT 'aurc' AS kind, NULL::DOUBLE AS target, NULL::DOUBLE AS coverage, round(avg(risk), 6) AS risk FROM c UNION ALL SELECT 'coverage', t, round(min(coverage), 6), round(arg_min(risk, coverage), 6) FROM t JOIN c ON coverage >= t - 1e-12 GROUP BY t
+UNION ALL SELECT 'error', e, round(coalesce(max(coverage), 0), 6), round(arg_max(risk, coverage), 6) FROM e LEFT JOIN c ON risk <= e + 1e-12 GROUP BY e""")
+def selective_report(spark, sf):
+    r = E.selective_report(E.risk_coverage(predictions(spark, sf)))
+    return r.withColumns({"coverage": r6("coverage"), "risk": r6("risk")})
+
+
 _PARENT = "CASE WHEN {} IN ('de','en') THEN 'germanic' ELSE 'romance' END"
 
 

@@ -11,7 +11,7 @@ from corpusloom.operators import explain as P, models as M
 from corpusloom.operators.corpus import shared_folder
 from corpusloom.plans.features import _RULE_SQL, _isin
 from corpusloom.plans.registry import query
-from corpusloom.plans.tables import r6, samples, table
+from corpusloom.plans.tables import PRED, predictions, r6, samples, table
 from corpusloom.streaming import jobs
 
 _MARKERS = _isin(sorted({m for ms in L.MARKERS.values() for m in ms}))
@@ -74,6 +74,16 @@ def dialect_evidence(spark, sf):
     return P.dialect_evidence(samples(spark, sf))
 
 
+@query(PRED + f""", w AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{Nl}}\\p{{No}}]+') AS w FROM documents WHERE text IS NOT NULL),
+f AS (SELECT id, {_RULE_SQL["soft_labials_fired"]} > 0 AS present FROM w), e AS (SELECT 'soft_labials' AS rule, present, y_true = y_pred AS r FROM f JOIN pr USING (id) WHERE y_true IN ('en', 'fr')),
+a AS (SELECT rule, count_if(present)::BIGINT AS n_present, avg(r::INT) FILTER (present) AS p, count_if(NOT present)::BIGINT AS n_absent, avg(r::INT) FILTER (NOT present) AS q FROM e GROUP BY rule)
+SELECT rule, n_present, round(p, 6) AS accuracy_present, n_absent, round(q, 6) AS accuracy_absent, round(p - q, 6) AS delta, n_present < 5 OR n_absent < 5 AS low_support FROM a""")
+def isogloss_diagnostics(spark, sf):
+    """Accuracy with and without the rule that can be told in texts of two labels."""
+    d = P.isogloss_diagnostics(predictions(spark, sf).select("id", "y_true", "y_pred"), samples(spark, sf).select("id", "text"), {"soft_labials": ["en", "fr"]})
+    return d.withColumns({c: r6(c) for c in ("accuracy_present", "accuracy_absent", "delta")})
+
+
 def _streamed(spark, sf, name: str, change, mode: str):
     """A table as a stream of files, changed and written until all is read; then what was written."""
     path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"

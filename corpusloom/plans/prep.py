@@ -265,3 +265,10 @@ def active_learning(spark, sf):
     """Five rounds of labelling by entropy, scored on held-out rows."""
     d = samples(spark, sf).select("id", "text", F.col("dialect").alias("label"))
     return AL.active_loop(d.where("id % 5 != 0"), d.where("id % 5 = 0"), ["de", "en", "es", "fr"], batch_size=20)
+
+
+@query()
+def learning_curve(spark, sf):
+    """Accuracy on held-out rows by models of nested parts of the others."""
+    d = samples(spark, sf).select("id", "text", F.col("dialect").alias("label"))
+    return AL.learning_curve(d.where("id % 5 != 0"), d.where("id % 5 = 0"), ["de", "en", "es", "fr"], [0.01, 0.1, 0.5, 1.0])

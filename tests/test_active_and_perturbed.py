@@ -172,3 +172,17 @@ def test_token_bucket_over_batches(spark, tmp_path):
         want[u, tokens >= 1] += 1
         held[u] = (tokens - (tokens >= 1), t)
     assert Counter((r["user_id"], r["allowed"]) for r in spark.table("buckets").collect()) == want
+
+
+def test_learning_curve(spark):
+    """Parts are nested and of the size asked for; the whole is the model of all rows."""
+    docs, rest = documents(90, 7), documents(40, 8)
+    train = spark.createDataFrame([*docs, (500, "none", None)], "id long, text string, label string")
+    test = spark.createDataFrame([(1000 + i, t, y) for i, t, y in rest], train.schema)
+    points = [tuple(r) for r in AL.learning_curve(train, test, LABELS, [1.0, 0.01, 0.3, 0.3]).collect()]
+    n = Counter(y for _, _, y in docs)
+    assert [(p[0], p[1]) for p in points] == [(f, sum(max(1, math.ceil(f * k)) for k in n.values())) for f in (0.01, 0.3, 1.0)]
+    right = sum(LABELS[int(np.argmax(np.round(plain_scores([(t, y) for _, t, y in docs], t), 6)))] == y for _, t, y in rest)
+    assert points[-1][2] == pytest.approx(right / 40)
+    with pytest.raises(ValueError):
+        AL.learning_curve(train, test, LABELS, [0.0])

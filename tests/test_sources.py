@@ -100,3 +100,21 @@ def test_default_labels(spark, tmp_path):
     assert got == {"a": ("podhale", "lesser_polish"), "b": (None, "standard"), "c": (None, "silesian")}
     got = {r["text"]: (r["labels"]["dialect"], r["labels"]["family"]) for r in manifest.read_manifest(spark, path, source="korpus_spiski").collect()}
     assert got == {"a": ("podhale", "lesser_polish"), "b": ("spisz", "lesser_polish"), "c": ("spisz", "silesian")}
+
+
+def test_common_voice(spark, tmp_path):
+    from corpusloom.sources import loaders
+
+    write(tmp_path, "validated.tsv", "client_id\tpath\tsentence\tage\taccents\nu1\ta.mp3\tDzień dobry\ttwenties\tPodhale gwara\nu2\tb.c.mp3\t\t\t\n\tc.mp3\tno speaker\t\t\nu3\t\tno clip\t\t\nu4\t\t\t\t\n")
+    rows = {r["id"]: r for r in loaders.load(spark, "common_voice_pl", str(tmp_path), accents={" podhale GWARA": "podhale"}).collect()}
+    assert set(rows) == {"common_voice_pl-a", "common_voice_pl-b.c", "common_voice_pl-5"}
+    a, b = rows["common_voice_pl-a"], rows["common_voice_pl-b.c"]
+    assert (a["labels"]["dialect"], a["labels"]["family"], a["metadata"], a["audio_path"]) == ("podhale", "lesser_polish", {"age": "twenties", "accents": "Podhale gwara"}, f"{tmp_path}/clips/a.mp3")
+    assert (b["labels"]["family"], b["text"], b["speaker_id"]) == ("standard", None, "u2")
+    with pytest.raises(manifest.ManifestError):
+        loaders.common_voice(spark, str(tmp_path), tsv="other.tsv")
+    write(tmp_path, "bad.tsv", "path\tsentence\na\tb\n")
+    with pytest.raises(manifest.ManifestError, match="client_id"):
+        loaders.common_voice(spark, str(tmp_path), tsv="bad.tsv")
+    with pytest.raises(ValueError):
+        loaders.load(spark, "nobody", str(tmp_path))

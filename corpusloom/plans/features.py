@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.functions import arrays as A, lexicons as L, text as X
-from corpusloom.operators import models as M
+from corpusloom.operators import counted as K, models as M
 from corpusloom.plans.registry import query
 from corpusloom.plans.tables import r6, samples, table
 
@@ -59,8 +59,8 @@ def word_tfidf(spark, sf):
 g AS (SELECT doc_id, CASE WHEN length(w) <= n THEN [w] ELSE list_transform(range(1, length(w) - n + 2), lambda i: substr(w, i, n)) END AS g FROM w, (VALUES (2), (3), (4), (5)) v(n) WHERE n = 2 OR length(w) > n - 1)
 SELECT doc_id, count(*) AS n, count(DISTINCT x) AS kinds FROM (SELECT doc_id, unnest(g) AS x FROM g) GROUP BY doc_id""")
 def char_wb_ngrams(spark, sf):
-    g = M.char_wb_counts(samples(spark, sf))
-    return g.groupBy(F.col("id").alias("doc_id")).agg(F.sum("tf").alias("n"), F.count("*").alias("kinds"))
+    w = table(spark, sf, "documents").select("doc_id", X.spaced_words(F.col("text")).alias("w"))
+    return K.totals(K.one_row(w, "doc_id"), ["doc_id"], K.char_wb_pieces)
 
 
 _AFFIX = f"""WITH t AS ({_T}), k AS (SELECT doc_id, unnest(w) AS x, len(w) AS n FROM t),

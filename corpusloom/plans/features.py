@@ -67,21 +67,21 @@ _AFFIX = f"""WITH t AS ({_T}), k AS (SELECT doc_id, unnest(w) AS x, len(w) AS n
 a AS (SELECT doc_id, n, 'pre:' || left(x, l) AS affix FROM k, (VALUES (2), (3), (4)) v(l) WHERE length(x) > l UNION ALL SELECT doc_id, n, 'suf:' || right(x, l) FROM k, (VALUES (2), (3), (4)) v(l) WHERE length(x) > l)"""
 
 
-def _affixes(spark, sf):
-    """doc_id, words of the document, affix, how often: from the distinct words of each document."""
-    w = table(spark, sf, "documents").select("doc_id", X.words(F.col("text"), True).alias("w"))
-    words = w.select("doc_id", F.size("w").alias("n"), F.explode("w").alias("x")).groupBy("doc_id", "n", "x").agg(F.count("*").alias("k"))
-    return words.select("doc_id", "n", "k", F.explode(X.affixes(F.col("x"))).alias("affix")).groupBy("doc_id", "n", "affix").agg(F.sum("k").alias("c"))
+def _affix_words(spark, sf, *keys):
+    w = table(spark, sf, "documents").select("doc_id", X.words(F.col("text"), True).alias("w")).select("doc_id", F.size("w").alias("n"), "w")
+    return K.one_row(w, *keys)
 
 
 @query(_AFFIX + " SELECT doc_id, affix, round(count(*) / n::DOUBLE, 6) AS frequency FROM a GROUP BY doc_id, affix, n")
 def affix_frequency(spark, sf):
-    return _affixes(spark, sf).select("doc_id", "affix", r6(F.col("c") / F.col("n")).alias("frequency"))
+    rows = K.token_rows(_affix_words(spark, sf, "doc_id", "n"), ["doc_id", "n"], K.affix_pieces)
+    return rows.select("doc_id", F.col("token").alias("affix"), r6(F.col("tf") / F.col("n")).alias("frequency"))
 
 
 @query(_AFFIX + " SELECT affix, count(DISTINCT doc_id) AS df FROM a GROUP BY affix ORDER BY df DESC, affix LIMIT 300")
 def affix_vocabulary_topn(spark, sf):
-    return _affixes(spark, sf).groupBy("affix").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "affix").limit(300)
+    rows = _affix_words(spark, sf, "doc_id").where("doc_id IS NOT NULL")
+    return K.document_frequency(rows, K.affix_pieces).select(F.col("token").alias("affix"), "df").orderBy(F.desc("df"), "affix").limit(300)
 
 
 def _isin(words):

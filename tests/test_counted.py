@@ -55,3 +55,9 @@ def test_slices(slice_, monkeypatch):
             assert (r, names[x].as_py()) not in got
             got[r, names[x].as_py()] = c
     assert got == {(i, t): n for i, ws in enumerate(lists) for t, n in Counter(x for w in ws for x in K.affix_pieces(w)).items()}
+
+
+def test_affixes_shuffle_no_words(spark):
+    assert shuffles_of_words(registry.queries()["affix_frequency"](spark, SF)) == 0
+    plan = registry.queries()["affix_vocabulary_topn"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(token") == 1 and "doc_id" not in plan[: plan.index("Exchange hashpartitioning(token")].split("Exchange")[0]

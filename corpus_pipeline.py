@@ -20,7 +20,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies: five-word Jaccard similarity of 0.8 or more, all pairs of it found."""
+    """One document of each component of near copies: fingerprints that link (6) with an exact check, then all other pairs of a five-word Jaccard similarity of 0.8 or more."""
     ship(spark)
     return representatives(docs)
 
@@ -39,7 +39,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, written and read back (2)."""
     ship(spark)
-    return token_output(docs, vocabulary("byte_bpe_50k.json"), shard_tokens=1 << 19, cached=60_000)  # the stages before leave less memory than the query has
+    return token_output(docs, vocabulary("byte_bpe_50k.json"), shard_tokens=1 << 18, cached=30_000)  # the stages before leave less memory than the query has
 
 
 STAGES = [("quality", quality_stage), ("near_dedup", near_dedup_stage), ("decontamination", decontamination_stage), ("mixing", mixing_stage), ("token_output", token_stage)]

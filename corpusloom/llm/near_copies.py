@@ -1,6 +1,8 @@
-"""Near copies by the Jaccard similarity of five-word shingle sets, found without loss.
+"""Near copies by fingerprints (op6) and the Jaccard similarity of five-word shingle sets, found without loss.
 
-Two texts link if the similarity of their sets is 4/5 or more. Shingles are
+Two texts link if the similarity of their sets is 4/5 or more. First those
+meet whose fingerprints (op6) link, and an exact check follows; at this
+similarity fingerprints lose links, which the sets' shingles then find. Shingles are
 put in one order, those met often in a sample of the texts last; of n of them
 a set sends its first n - ceil(4 n / 5) + 1. Two sets that link share one of
 these, so that no link is lost whatever the order is; it only keeps common
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import drop_old_shuffles, in_tasks, nested, perhaps_in, row_keys, stored
-from .simhash import components
+from .simhash import components, fingerprints, links as fingerprint_links
 from .words import LOWER, SPACED, U, chunks, grams, mix, text_column
 
 SHINGLE = 5
@@ -198,10 +200,20 @@ def close(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(of("a"), "a").join(of("b"), "b").where(9 * _differ("pa", "pb") <= F.col("na") + F.col("nb")).select("a", "b")
 
 
+def fingerprint_pairs(rows: DataFrame, all_: DataFrame) -> DataFrame:
+    """Pairs a > b of nodes whose fingerprints link by op6, enough of them for its components: of one fingerprint each node with the smallest, of two that link the smallest ones. rows: did, text_key, text. all_: did, text_key, node."""
+    fps = stored(fingerprints(rows.select("did", "text_key", "text")), "fingerprints")
+    each = stored(all_.select("did", "text_key", "node").distinct().join(fps.distinct(), ["did", "text_key"]).select("fp", "node").distinct(), "nodes")
+    least = each.groupBy("fp").agg(F.min("node").alias("rep"))
+    of = lambda c: least.select(F.col("fp").alias(c), F.col("rep").alias(f"rep_{c}"))
+    across = fingerprint_links(least.select("fp")).distinct().join(of("a"), "a").join(of("b"), "b").select(*pair("rep_a", "rep_b"))
+    return each.join(least, "fp").select(*pair("node", "rep")).union(across).where("a != b").distinct()
+
+
 def links(rows: DataFrame, all_: DataFrame, sets: DataFrame, size: int = SHINGLE) -> DataFrame:
     """Pairs a > b of nodes that link, enough of them for the components of all links.
 
-    First each key's sets are compared with its smallest one. Only sets of
+    First those are compared whose fingerprints link (op6), and each key's sets with its smallest one. Only sets of
     different components that share a key are compared further: with one of
     the key's most common component as long as many of these link, then all.
     rows: did, text_key, text. all_: node, n, prefix. sets: node, n, parities,
@@ -222,7 +234,7 @@ def links(rows: DataFrame, all_: DataFrame, sets: DataFrame, size: int = SHINGLE
         both = likely.join(whole.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(whole.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
         return stored(both.where(similar(F.size("x"), F.size("y"), F.size(F.array_intersect("x", "y")))).select("a", "b").distinct(), "links")
 
-    checked = stored(met.where("ok AND node != rep").select(*pair("node", "rep")).distinct(), "pairs")
+    checked = stored(fingerprint_pairs(rows, all_).union(met.where("ok AND node != rep").select(*pair("node", "rep"))).distinct(), "pairs")
     found, last, turn, open_ = linked(checked), False, 0, met.where("many")
     gain, tried = found.count(), checked.count()
     while not last:

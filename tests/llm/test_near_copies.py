@@ -12,7 +12,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 import brute
 
 import corpus_pipeline
-from corpusloom.llm import near_copies
+from corpusloom.llm import near_copies, simhash
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, last string"
@@ -106,3 +106,19 @@ def test_decontamination_stage(spark):
     found = brute.contamination(rows, [(r["item_id"], r["text"]) for r in items.collect()])
     got = corpus_pipeline.decontamination_stage(spark, docs, SF)
     assert sorted(r["doc_id"] for r in got.collect()) == sorted(x[0] for x in found if not x[5])
+
+
+def test_near_dedup_stage_checks_what_fingerprints_link(spark, planted, monkeypatch):
+    """The pairs that the stage checks first join what op6 joins."""
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(planted)], "doc_id long, text string").repartition(3)
+    seen = []
+    monkeypatch.setattr(near_copies, "fingerprint_pairs", lambda rows, all_, f=near_copies.fingerprint_pairs: seen.append((f(rows, all_), all_)) or seen[-1][0])
+    assert corpus_pipeline.near_dedup_stage(spark, docs, SF).count()
+    pairs, all_ = seen[0]
+    root = {r["node"]: r["root"] for r in simhash.components(pairs).collect()}
+    of = {r["did"]: root.get(r["node"], r["node"]) for r in all_.select("did", "node").collect()}
+    want = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id")).collect()}
+    groups = lambda x: sorted(sorted(k for k in x if x[k] == v) for v in set(x.values()))
+    assert len(set(want.values())) < len(want) and groups(of) == groups(want)

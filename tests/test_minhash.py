@@ -79,3 +79,21 @@ def test_wrong_parameters(spark):
     with pytest.raises(ValueError):
         M.signatures(spark.createDataFrame([(1, "a")], "id long, text string"), number=10, bands=4)
     assert np.all(M.signature(np.zeros(0, np.uint32), *M.permutations(4, 0)) == M.PRIME)
+
+
+def test_parities_never_exceed_the_difference():
+    rng = np.random.default_rng(5)
+    for n in (1, 30, 3000):
+        x = np.unique(rng.integers(0, 1 << 32, n, np.uint64).astype(np.uint32))
+        y = np.unique(np.append(x[: n - n // 10], rng.integers(0, 1 << 32, n // 5, np.uint64).astype(np.uint32)))
+        assert np.bitwise_count(M.parities(x) ^ M.parities(y)).sum() <= len(np.setxor1d(x, y))
+
+
+def test_only_likely_sets_travel(spark):
+    """Pairs that the parities rule out meet no set: a broken one would raise an error."""
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 1 << 32, 400, np.uint64).astype(np.uint32)) for _ in range(3)]
+    rows = [(i, len(s), M.parities(s).tolist(), None if i == 2 else bytearray(s.tobytes())) for i, s in enumerate([sets[0], sets[0], sets[1]])]
+    df = spark.createDataFrame(rows, "id long, n int, odd array<long>, grams binary")
+    pairs = spark.createDataFrame([(0, 1), (0, 2), (1, 2)], "a long, b long")
+    assert [tuple(r) for r in M.verified(pairs, df, 0.85).collect()] == [(0, 1, 1.0)]

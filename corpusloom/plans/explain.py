@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from corpusloom.functions import lexicons as L, text as X
 from corpusloom.operators import explain as P, models as M
@@ -50,8 +50,7 @@ y AS (SELECT id, token, round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 6) AS
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY weight DESC, token) AS rank FROM y) WHERE rank <= 5""")
 def char_tfidf_top(spark, sf):
     """The five heaviest character n-grams of each document."""
-    weights = M.tfidf(M.char_wb_counts(samples(spark, sf))).withColumn("weight", r6("weight"))
-    return weights.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("weight"), "token"))).where("rank <= 5")
+    return M.char_wb_tfidf(samples(spark, sf), 5)
 
 
 def _evidence_sql() -> str:

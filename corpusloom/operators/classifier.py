@@ -36,7 +36,7 @@ class Classifier:
             self.model = Counts(self.labels).add(rows.select("id", "label"), B.word_tokens(rows))
         else:
             weights = F.broadcast(M.class_weights(rows, "label").select("label", "weight"))  # a row for each label
-            self.model = M.classifier(self.kind, "label").fit(rows.join(weights, "label").withColumn("tokens", X.words(F.col("text"), True)))
+            self.model = M.fitted(self.kind, rows.join(weights, "label"), "label")
         return self
 
     def probabilities(self, df: DataFrame) -> DataFrame:

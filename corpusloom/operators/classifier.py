@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from corpusloom.functions import arrays as A, text as X
 from corpusloom.operators import bayes as B, calibrators as K, evaluation as E, models as M
 from corpusloom.operators.active import Counts
+from corpusloom.operators.corpus import written
 
 KINDS = ("naive_bayes", "logistic_regression", "random_forest")
 
@@ -33,7 +34,7 @@ class Classifier:
             raise ValueError(f"rows of two labels or more are needed, found {self.labels}")
         self.temperature = self.isotonic = self.thresholds = None
         if self.kind == "naive_bayes":
-            self.model = Counts(self.labels).add(rows.select("id", "label"), B.word_tokens(rows))
+            self.model = Counts(self.labels).learn(rows)
         else:
             weights = F.broadcast(M.class_weights(rows, "label").select("label", "weight"))  # a row for each label
             self.model = M.fitted(self.kind, rows.join(weights, "label"), "label")
@@ -52,7 +53,7 @@ class Classifier:
         self._fitted()
         rows = df.select("id", "text")
         if self.kind == "naive_bayes":
-            found = self.model.posteriors(rows.select("id"), B.word_tokens(rows))
+            found = self.model.scored(rows)
             return found.select("id", B.posterior(F.col("scores"), F.lit(1)).alias("p"))
         scored = self.model.transform(rows.withColumns({"tokens": X.words(F.col("text"), True), "label": F.lit(self.labels[0])}))
         return scored.select("id", vector_to_array("probability").alias("p"))
@@ -66,7 +67,7 @@ class Classifier:
 
     def _held_out(self, df: DataFrame) -> DataFrame:
         """(id, p, label) of rows whose label the model knows."""
-        rows = self.probabilities(df).join(df.select("id", "label"), "id").where(self._place() > 0)
+        rows = written(df.sparkSession, self.probabilities(df).join(df.select("id", "label"), "id").where(self._place() > 0))  # read many times
         if rows.isEmpty():
             raise ValueError("no row has a label that the model knows")
         return rows

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+import re
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from corpusloom.functions import lexicons as L, text as X
+from corpusloom.operators import counted as K
 from corpusloom.operators.evaluation import holm
 
 
@@ -74,27 +76,34 @@ def evidence(df: DataFrame, label: str, min_support: int = 3) -> DataFrame:
 FIRED_WEIGHT, MARKER_WEIGHT, ENVIRONMENT_WEIGHT = 2.0, 1.5, -0.5
 
 
-def _named(hits, name: str, fired: bool):
-    return F.transform(hits, lambda s: F.struct(F.lit(1 if fired else 2).alias("kind"), F.lit(name).alias("label"), F.when(F.lit(fired), s).otherwise("").alias("surface")))
+def _evidence_of(markers: dict, rules: dict):
+    """A function of a word: kind, label and surface, joined by a separator, of each piece of evidence in it."""
+    labels: dict = {}
+    for key, words in markers.items():
+        for m in words:
+            labels.setdefault(m, []).append(f"0\x1f{key}\x1f{m}")
+    patterns = [(n, d, re.compile(X.token_pattern([b if d else a for a, b in pairs], final)), frozenset(stop)) for n, (_, d, final, pairs, stop) in rules.items()]
+
+    def of(word: str) -> list[str]:
+        out = list(labels.get(word, ()))
+        for name, fired, pattern, stop in patterns:
+            if word not in stop:
+                out += [f"{1 if fired else 2}\x1f{name}\x1f{s if fired else ''}" for s in pattern.findall(word)]
+        return out
+
+    return of
 
 
 def dialect_evidence(df: DataFrame, k: int = 15) -> DataFrame:
     """(id, rank, kind, label, surface, count, weight): the markers a text holds, the sound rules that fired in it and the environments
     that mergers left as they are, the k heaviest by absolute weight; ties by kind (marker, fired, environment), count, label, surface.
 
-    Words are cut once; the lexicon is a few rows. Ranks are cut to k in every task before rows meet.
+    Words are cut and looked through where a document lies; only its evidence is shuffled, cut to k in every task before.
     """
-    spark = df.sparkSession
-    words = df.select("id", F.explode(X.words(F.col("text"), True)).alias("t")).groupBy("id", "t").agg(F.count("*").alias("n"))
-    lexicon = spark.createDataFrame([(m, key) for key, markers in L.MARKERS.items() for m in markers], "t string, label string")
-    markers = words.join(F.broadcast(lexicon), "t").select("id", F.lit(0).alias("kind"), "label", F.col("t").alias("surface"), "n")
-    found = []
-    for name, (_, detectable, final, pairs, stop) in L.RULES.items():
-        pattern = X.token_pattern([b if detectable else a for a, b in pairs], final)
-        hits = F.when(~F.col("t").isin(*stop) if stop else F.lit(True), F.regexp_extract_all("t", F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
-        found.append(_named(hits, name, detectable))
-    rules = words.select("id", "n", F.explode(F.flatten(F.array(*found))).alias("e")).select("id", "e.*", "n")
-    counted = markers.unionByName(rules).groupBy("id", "kind", "label", "surface").agg(F.sum("n").alias("count"))
+    one = K.one_row(df.select("id", X.words(F.col("text"), True).alias("w")), "id")
+    found = K.token_rows(one, ["id"], _evidence_of(L.MARKERS, L.RULES))
+    part = F.split("token", "\x1f")
+    counted = found.select("id", part[0].cast("int").alias("kind"), part[1].alias("label"), part[2].alias("surface"), F.col("tf").alias("count"))
     weight = F.col("count") * F.when(F.col("kind") == 0, MARKER_WEIGHT).when(F.col("kind") == 1, FIRED_WEIGHT).otherwise(ENVIRONMENT_WEIGHT)
     order = Window.partitionBy("id").orderBy(F.desc(F.abs("weight")), "kind", F.desc("count"), "label", "surface")
     ranked = counted.withColumn("weight", weight).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

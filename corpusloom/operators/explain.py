@@ -15,15 +15,14 @@ from corpusloom.operators.evaluation import holm
 
 def document_features(df: DataFrame, *keep: str, ending: int = 3) -> DataFrame:
     """(id, kept columns, category, feature, count): markers, detectable rules that fired, and word endings of each document."""
-    markers = F.array(*map(F.lit, sorted({m for ms in L.MARKERS.values() for m in ms})))
     w = df.select("id", *keep, X.words(F.col("text"), True).alias("w")).where(F.size("w") > 0)
     rates = X.rule_rates(F.col("w"))
     fired = [F.struct(F.lit("phonological").alias("category"), F.lit(n).alias("feature"), F.round(rates[f"{n}_fired"] * F.size("w")).cast("long").alias("count")) for n, rule in L.RULES.items() if rule[1]]
-    by_word = w.select("id", *keep, F.explode("w").alias("t")).withColumn("one", F.array_compact(F.array(
-        F.when(F.array_contains(markers, F.col("t")), F.struct(F.lit("lexical").alias("category"), F.col("t").alias("feature"))),
-        F.when(F.length("t") > ending, F.struct(F.lit("morphological").alias("category"), F.concat(F.lit("-"), F.right("t", F.lit(ending))).alias("feature"))),
-    )))
-    counted = by_word.select("id", *keep, F.explode("one").alias("f")).groupBy("id", *keep, "f.category", "f.feature").agg(F.count("*").alias("count"))
+    known = {m for ms in L.MARKERS.values() for m in ms}
+    cut = lambda t: [f"lexical\x1f{t}"] * (t in known) + [f"morphological\x1f-{t[-ending:]}"] * (len(t) > ending)
+    found = K.token_rows(K.one_row(w, "id", *keep), ["id", *keep], cut)
+    part = F.split("token", "\x1f")
+    counted = found.select("id", *keep, part[0].alias("category"), part[1].alias("feature"), F.col("tf").alias("count"))
     return counted.unionByName(w.select("id", *keep, F.inline(F.array(*fired))).where("count > 0"))
 
 

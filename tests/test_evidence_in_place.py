@@ -9,3 +9,17 @@ def test_no_word_is_shuffled(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1  # of the evidence, to rank it
     assert {(r["surface"], r["count"]) for r in found.collect() if r["kind"] != "isogloss_environment"} == {("baca", 2), ("hej", 1), ("psi", 1)}
+
+
+def shuffled_by(df, keys):
+    return f"hashpartitioning({keys}" in " ".join(df._jdf.queryExecution().executedPlan().toString().replace("#", " #").split())
+
+
+def test_features_and_vocabulary_are_counted_in_place(spark):
+    from corpusloom.functions import text as X
+
+    df = spark.createDataFrame([(1, "Hej baca nic", "a"), (2, "baca", "b")], "id long, text string, dialect string")
+    assert not shuffled_by(P.evidence(df, "dialect"), "id #")
+    s = X.stylometry(df.withColumnRenamed("id", "doc_id"))
+    assert ", x #" not in " ".join(s._jdf.queryExecution().executedPlan().toString().replace("#", " #").split())
+    assert {r["type_token_ratio"] for r in s.collect()} == {1.0}

@@ -84,16 +84,15 @@ class Cache:
         self.turn()
         out = list(map(self.young.get, tokens))
         missing = [i for i, x in enumerate(out) if x is None]
-        new = []
-        for i in missing:
-            out[i] = self.old.get(tokens[i])
-            if out[i] is None:
-                new.append(i)
-        if new:
-            found = self.encode([tokens[i] for i in new])
-            for i in new:
-                out[i] = found[tokens[i]]
-        self.young.update((tokens[i], out[i]) for i in missing)
+        names = [tokens[i] for i in missing]
+        back = list(map(self.old.get, names))
+        found = self.encode(new) if (new := [x for x, value in zip(names, back) if value is None]) else {}
+        self.young.update(found)
+        for i, x, value in zip(missing, names, back):
+            if value is None:
+                out[i] = found[x]
+            else:
+                out[i] = self.young[x] = value
         return out
 
     def table(self, tokens: set[str]) -> dict:

@@ -48,32 +48,34 @@ _MAGIC = b"RPAIR001"
 _BUCKETS = 1 << 18
 
 
-def frequent(seq: np.ndarray, pair: np.ndarray, shift: int, closed: np.ndarray, room: int) -> np.ndarray:
-    """Up to room of the pairs that have LEAST_USES places or more that do not overlap, the most frequent first."""
-    kind = pair.dtype.type
+def frequent(pair: np.ndarray, places: np.ndarray, after: np.ndarray, shift: int, closed: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
+    """Up to room of the pairs (at places of the sequence) that have LEAST_USES places or more that do not overlap, the most frequent first; and all pairs that have so many places and may be replaced now or later."""
+    kind, more = pair.dtype.type, LEAST_USES - 1
     order = np.sort(pair)
-    begins = np.flatnonzero(np.append(True, order[1:] != order[:-1]))
-    count = np.diff(np.append(begins, len(order)))
-    often = np.flatnonzero(count >= LEAST_USES)
-    found, count = order[begins[often]], count[often]
+    if len(order) <= more:
+        return order[:0], order[:0]
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], order[more:] == order[:-more], [False]]).view(np.int8)))
+    found, count = order[edges[::2]], edges[1::2] - edges[::2] + more
     left, right = found >> kind(shift), found & ((kind(1) << kind(shift)) - kind(1))
-    own = np.flatnonzero(left == right)  # a pair of one symbol overlaps itself
+    hot = ~closed[left.astype(np.int64)]
+    found, count, own = found[hot], count[hot], np.flatnonzero((left == right)[hot])  # a pair of one symbol overlaps itself
+    open_pairs = found
     if len(own):
-        apart, n = np.unique(pair[every_other(np.flatnonzero(seq[:-1] == seq[1:]))], return_counts=True)
+        same = np.flatnonzero(pair >> kind(shift) == (pair & ((kind(1) << kind(shift)) - kind(1))))
+        apart, n = np.unique(pair[same[every_other(places[same], after)]], return_counts=True)
         count[own] = n[np.searchsorted(apart, found[own])]
-    ok = (count >= LEAST_USES) & ~closed[left.astype(np.int64)]
-    found, count = found[ok], count[ok]
+    found, count = found[count >= LEAST_USES], count[count >= LEAST_USES]
     if len(found) > room:
         at = np.argpartition(count, -room)[-room:]
         found, count = found[at], count[at]
-    return found[np.argsort(-count, kind="stable")]
+    return found[np.argsort(-count, kind="stable")], open_pairs
 
 
-def every_other(at: np.ndarray) -> np.ndarray:
-    """Of overlapping places every other one, from the left."""
-    new = np.append(True, np.diff(at) > 1)
+def every_other(at: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Which of some ascending places are taken, where of overlapping ones every other is, from the left. after: the place that follows each."""
+    new = np.append(True, after[at[:-1]] != at[1:])
     first = np.flatnonzero(new)
-    return at[(np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))) % 2 == 0]
+    return np.flatnonzero((np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))) % 2 == 0)
 
 
 def compress(ids: np.ndarray, vocab: int) -> tuple[np.ndarray, np.ndarray]:
@@ -84,9 +86,13 @@ def compress(ids: np.ndarray, vocab: int) -> tuple[np.ndarray, np.ndarray]:
     seq, rules = ids.astype(kind), np.zeros((0, 2), np.uint32)
     closed = np.zeros(vocab + limit, bool)  # symbols whose last id is END
     closed[END] = True
-    while len(seq) > 1 and len(rules) < limit:
-        pair = seq[:-1] << kind(shift) | seq[1:]
-        heavy = frequent(seq, pair, shift, closed, min(RULES_A_ROUND, limit - len(rules)))
+    n = len(seq)
+    after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n, dtype=np.int32)  # of each place the next and the last one that still hold a symbol
+    held, live = np.ones(n, bool), np.ones(n + 1, bool)  # live: places whose pair may still have enough uses; a pair of old symbols only loses places
+    places = np.arange(max(n - 1, 0))
+    while len(places) and len(rules) < limit:
+        pair = seq[places] << kind(shift) | seq[after[places]]
+        heavy, hot = frequent(pair, places, after, shift, closed, min(RULES_A_ROUND, limit - len(rules)))
         if not len(heavy):
             break
         bucket = (pair * spread >> down).astype(np.int64)
@@ -97,9 +103,11 @@ def compress(ids: np.ndarray, vocab: int) -> tuple[np.ndarray, np.ndarray]:
             taken = np.zeros(_BUCKETS, bool)
             taken[own] = True
             at = np.flatnonzero(taken[bucket])
-            at = every_other(at[chosen_pair[bucket[at]] == pair[at]])
+            at = at[chosen_pair[bucket[at]] == pair[at]]
+            at = at[every_other(places[at], after)]
             uses = np.bincount(bucket[at], minlength=_BUCKETS)
-            chosen = np.flatnonzero(uses >= LEAST_USES)
+            chosen = np.unique(own)
+            chosen = chosen[uses[chosen] >= LEAST_USES]
             if len(chosen):
                 break
         number = np.zeros(_BUCKETS, kind)
@@ -108,11 +116,19 @@ def compress(ids: np.ndarray, vocab: int) -> tuple[np.ndarray, np.ndarray]:
         right = (chosen_pair[chosen] & ((kind(1) << kind(shift)) - kind(1))).astype(np.int64)
         closed[vocab + len(rules) + np.arange(len(chosen))] = closed[right]
         rules = np.concatenate([rules, np.stack([(chosen_pair[chosen] >> kind(shift)).astype(np.int64), right], axis=1).astype(np.uint32)])
-        keep = np.ones(len(seq), bool)
-        keep[at + 1] = False
-        seq[at] = number[bucket[at]]
-        seq = seq[keep]
-    return seq, rules
+        often = np.zeros(_BUCKETS, bool)
+        often[(hot * spread >> down).astype(np.int64)] = True
+        live[places] = often[bucket]
+        new = places[at]
+        gone = after[new]
+        seq[new] = number[bucket[at]]
+        after[new] = after[gone]
+        before[after[gone]] = new
+        held[gone] = False
+        live[before[new]] = live[new] = True  # pairs of a new symbol
+        live[gone] = live[before[n]] = live[-1] = False  # the last place has no pair
+        places = np.flatnonzero(live)
+    return seq[held], rules
 
 
 def expansion_lengths(rules: np.ndarray, vocab: int) -> np.ndarray:
@@ -215,6 +231,7 @@ class Shard:
 
 
 _caches: dict = {}
+_plain: dict = {}
 _ALNUM = np.array([chr(x).isalnum() for x in range(128)] + [False] * 128)
 _LATIN = np.array([chr(x).isalnum() for x in range(0x250)])
 _TAIL = "!\"#$%&()*+,-./:;=?@[]^_`{|}~"
@@ -222,20 +239,39 @@ _TAIL = "!\"#$%&()*+,-./:;=?@[]^_`{|}~"
 
 def _cache(path: str, most: int) -> P.Cache:
     """Ids of stretches that follow a space, that space included."""
-    if path not in _caches:
-        t = P.tokenizer(path)
+    if (path, most) not in _caches:
+        t, plain = P.tokenizer(path), _of_letters(path)
         begins, wide = P.marked(t, lambda x: x.startswith("\u0120")), _wide(t)
 
         def encode(stretches):
-            ids = np.array(t.encode_batch_fast([" " + " ".join(stretches)], add_special_tokens=False)[0].ids, wide)
+            letters = [x for x in stretches if x.isascii() and x.isalpha()]
+            others = [x for x in stretches if not (x.isascii() and x.isalpha())]
+            return told(letters, plain, "\u0120") | told(others, t, " ")
+
+        def told(stretches, t_, space):
+            if not stretches:
+                return {}
+            ids = np.array(t_.encode_batch_fast([space + space.join(stretches)], add_special_tokens=False)[0].ids, wide)
             cuts = np.append(np.flatnonzero(begins[ids]), len(ids))  # a stretch holds no other space, so only its first id begins with one
             if len(cuts) != len(stretches) + 1:
                 return {x: np.array(t.encode(" " + x, add_special_tokens=False).ids, wide).tobytes() for x in stretches}
             raw, cuts = ids.tobytes(), (cuts * ids.itemsize).tolist()
             return {x: raw[a:b] for x, a, b in zip(stretches, cuts, cuts[1:])}
 
-        _caches[path] = P.Cache(encode, most=most)
-    return _caches[path]
+        _caches[path, most] = P.Cache(encode, most=most)
+    return _caches[path, most]
+
+
+def _of_letters(path: str):
+    """The library's tokenizer for words of ASCII letters after a space that is written as its vocabulary writes it: such a word is one pre-token, and its bytes are written as they are, so it is only cut before spaces."""
+    if path not in _plain:
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        t = _plain[path] = Tokenizer.from_file(path)
+        t.no_padding()
+        t.no_truncation()
+        t.pre_tokenizer = pre_tokenizers.Split("\u0120", "merged_with_next")
+    return _plain[path]
 
 
 def _wide(t):
@@ -329,17 +365,19 @@ def encode_texts(texts: list[str], path: str, cached: int = CACHED):
         lengths, places = np.zeros(len(met), np.int64), np.zeros(len(met), np.int64)
         lengths[met] = n[pairs].reshape(-1, 2).sum(axis=1)
         places[met] = np.cumsum(lengths[met]) - lengths[met]
+        sizes = np.where(first | np.repeat(whole, np.diff(bounds)), 0, lengths[code])
+        flat = _gather(places[code], sizes, flat)
+        ends = np.append(0, np.cumsum(sizes))[bounds].tolist()
 
         leads = {}
-        for text, other, a, b in zip(texts[lo:hi], whole.tolist(), bounds[:-1].tolist(), bounds[1:].tolist()):
+        for text, other, a, b in zip(texts[lo:hi], whole.tolist(), ends, ends[1:]):
             lead = text.partition(" ")[0]
             if other or P.SPECIAL in lead:
                 yield alone(text)
             else:
-                part = code[a + 1 : b]
                 if lead not in leads:
                     leads[lead] = alone(lead)
-                yield np.concatenate([leads[lead], _gather(places[part], lengths[part], flat)])
+                yield np.concatenate([leads[lead], flat[a:b]])
 
 
 def write_shards(docs: DataFrame, tokenizer_path: str, path: str, shard_tokens: int = SHARD_TOKENS, cached: int = CACHED) -> None:
@@ -364,7 +402,6 @@ def write_shards(docs: DataFrame, tokenizer_path: str, path: str, shard_tokens:
                 size += len(found)
         if ids:
             yield shard()
-        _caches.clear()  # idle workers would keep them from stage to stage
 
     place = [F.col("doc_id").asc_nulls_first(), F.col("k")]  # the rows of one doc_id may be many
     ordered = documents(docs).withColumn("k", F.xxhash64("text")).repartitionByRange(*place).sortWithinPartitions(*place, "text").drop("k")
@@ -381,6 +418,7 @@ def read_shards(spark, path: str) -> DataFrame:
     sent = spark.sparkContext.broadcast(first)
 
     def decode(batches):
+        _caches.clear()  # tasks that encode hand them on; idle workers would keep them after that
         for batch in batches:
             for part, before, raw in zip(batch.column("part").to_pylist(), batch.column("before").to_pylist(), batch.column("shard").to_pylist()):
                 shard = Shard(raw)

@@ -97,3 +97,41 @@ def test_only_likely_sets_travel(spark):
     df = spark.createDataFrame(rows, "id long, n int, odd array<long>, grams binary")
     pairs = spark.createDataFrame([(0, 1), (0, 2), (1, 2)], "a long, b long")
     assert [tuple(r) for r in M.verified(pairs, df, 0.85).collect()] == [(0, 1, 1.0)]
+
+
+def banded(texts, threshold=0.85):
+    """By brute force the pairs that share a band and have the similarity."""
+    a, b = M.permutations(M.PERMUTATIONS, 0)
+    sets = [M.gram_hashes(M.cleaned(t), 5) for t in texts]
+    bands = np.array([M.signature(s, a, b).reshape(M.BANDS, -1) for s in sets])
+    alike = lambda i, j: (n := len(np.intersect1d(sets[i], sets[j]))) / (len(sets[i]) + len(sets[j]) - n)
+    return {(i, j) for j in range(len(sets)) for i in range(j) if (bands[i] == bands[j]).all(axis=1).any() and alike(i, j) >= threshold}
+
+
+@pytest.mark.parametrize("crowded", [None, 10])
+def test_every_pair_of_a_large_crowd(spark, crowded):
+    """Crowds of over 64 rows share their bands; in buckets crowded through three bands all pairs are listed, and none of them is left out."""
+    rng = random.Random(8)
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(1200)) for _ in range(2)]
+    texts = list(dict.fromkeys(near(rng, base[i % 2], rng.choice([1, 2, 20])) for i in range(240)))  # equal ones meet by their first
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    found = [(r["a"], r["b"]) for r in M.lsh_pairs(df, crowded=crowded)[0].collect()]
+    assert len(set(found)) == len(found) > 2000 and set(found) == banded(texts)
+
+
+def test_signature_is_exact():
+    rng = np.random.default_rng(7)
+    a, b = M.permutations(128, 0)
+    a[:3], b[:3] = (1, M.PRIME - 1, M.PRIME - 1), (0, 0, 1)
+    for n in (1, 255, 257, 3000):
+        grams = np.unique(np.append(rng.integers(0, 1 << 32, n, np.uint64), np.arange(3)).astype(np.uint32))
+        assert (M.signature(grams, a, b) == M.permuted(grams.astype(np.uint64)[:, None], a, b).min(axis=0)).all()
+    assert M.signature(np.array([0], np.uint32), a[:1], b[:1]).tolist() == [0]
+
+
+def test_ids_that_repeat_keep_their_texts(spark):
+    rng = random.Random(9)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(400))
+    rows = [(1, base), (1, "something else altogether, and long enough"), (2, near(rng, base, 1)), (None, near(rng, base, 1))]
+    pairs, _ = M.lsh_pairs(spark.createDataFrame(rows, "id long, text string"))
+    assert [(r["a"], r["b"]) for r in pairs.collect()] == [(1, 2)]

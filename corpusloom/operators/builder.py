@@ -29,12 +29,17 @@ class Plan:
 STEPS = ("loaded", "labelled", "long_enough", "exact_kept", "near_kept")
 
 
+def cleaned(rows: DataFrame, lowercase: bool = False) -> DataFrame:
+    """rows with clean NFC texts, each cleaned once: a filter is not moved past a generator, as it is past a column that it would then work out again."""
+    return rows.withColumn("text", F.explode(F.array(X.clean(X.nfc(F.col("text")), lowercase=lowercase))))
+
+
 def build(corpora: list[DataFrame], plan: Plan = Plan()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows with split, manifest, digests) of corpora with the columns id, text, speaker_id, source and the label.
 
     Earlier corpora win over later ones, and smaller ids over larger ones, where copies meet. Texts are NFC and cleaned before they are
-    measured and compared; rows without text (audio) pass filters and dedup. Rows without a label are left out. Steps that
-    drop rows are stored, so that each is done once.
+    measured and compared; rows without text (audio) pass filters and dedup. Rows without a label are left out. Texts are
+    stored once cleaned; of later steps only what goes is.
     manifest: (step, split, label, n) of rows after each step, and of each split by label.
     """
     if not corpora:
@@ -50,15 +55,15 @@ def build(corpora: list[DataFrame], plan: Plan = Plan()) -> tuple[DataFrame, Dat
     rows = rows.where(label.isNotNull())
     counts.append(("labelled", rows.count()))
     if plan.clean:
-        rows = rows.withColumn("text", X.clean(X.nfc(F.col("text")), lowercase=plan.lowercase))
+        rows = cleaned(rows, plan.lowercase)
     rows = written(spark, C.min_length(rows, plan.min_chars).withColumn("_ord", F.struct("_corpus", "id")))
     counts.append(("long_enough", rows.count()))
     if plan.exact:
-        rows = written(spark, C.keep_first(rows, X.fingerprint(F.col("text"))))
+        rows = C.without(rows, written(spark, C.later_copies(rows, X.fingerprint(F.col("text")))), "_ord")
     counts.append(("exact_kept", rows.count()))
     if plan.near is not None:
         keyed = rows.withColumn("_name", F.col("id")).withColumn("id", F.col("_ord"))
-        rows = written(spark, MH.deduplicate(keyed, plan.near).withColumn("id", F.col("_name")).drop("_name"))
+        rows = MH.deduplicate(keyed, plan.near).withColumn("id", F.col("_name")).drop("_name")
     counts.append(("near_kept", rows.count()))
     out = written(spark, C.group_split(rows, plan.group, plan.label, plan.fractions, plan.seed).select(*fields, "split"))
     steps = spark.createDataFrame([(s, None, None, n) for s, n in counts], "step string, split string, label string, n long")

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import builder, classifier
+from corpusloom.operators import builder, classifier, corpus as C
 
 OWN = {"a": "ala makota", "b": "bela bakota", "c": "ca cota"}
 
@@ -82,3 +82,18 @@ def test_build(spark):
     assert {tuple(r) for r in digests.collect()} == {tuple(r) for r in again.collect()}
     with pytest.raises(ValueError):
         builder.build([])
+
+
+def test_texts_are_cleaned_once(spark):
+    df = spark.createDataFrame([(1, "a [note] text of some length"), (2, None), (3, "short")], "id long, text string")
+    long_enough = C.min_length(builder.cleaned(df), 20)
+    assert long_enough._jdf.queryExecution().optimizedPlan().toString().count("translate(") == 1
+    assert {(r["id"], r["text"]) for r in long_enough.collect()} == {(1, "a text of some length"), (2, None)}
+
+
+def test_copies_go_without_sending_texts(spark):
+    rows = [(i, t) for i, t in enumerate(["a", "A", "b", None, None, " ", " ", "b", "\t", "\n"])] + [(None, "x")]
+    df = spark.createDataFrame(rows, "_ord long, text string").repartition(3)
+    gone = C.written(spark, C.later_copies(df, F.lower(F.trim("text"))))
+    assert sorted(r["_ord"] for r in gone.collect()) == [1, 7]
+    assert sorted(C.without(df, gone, "_ord").collect(), key=str) == sorted(df.join(gone, "_ord", "left_anti").collect(), key=str)

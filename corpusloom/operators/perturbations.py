@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
-from pyspark.sql import Column, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusloom.functions import text as X
 
@@ -13,6 +15,8 @@ TRANSCRIBED = {
     "ą": ["a", "om"], "ć": ["c"], "ę": ["e", "em"], "ł": ["l", "w"], "ń": ["n"], "ó": ["u", "o"], "ś": ["s"], "ź": ["z"], "ż": ["z", "rz"],
 }
 KEY_ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm")
+#: Characters of the texts whose changed forms make one batch.
+_BATCH_CHARS = 1 << 19
 
 
 def neighbours() -> dict[str, list[str]]:
@@ -39,20 +43,52 @@ def _tokens(rewrite: Callable[[Column], Column], name: str):
     return run
 
 
-def _characters(table: dict[str, list[str]], name: str):
-    def run(text: Column, key: Column, level: Column) -> Column:
-        variants = F.create_map(*[x for c, v in table.items() for x in (F.lit(c), F.array(*map(F.lit, v)))])
+def drawn(key: str, name: str, place: int) -> float:
+    """``draw`` in Python."""
+    return int(hashlib.md5(f"{name}|{key}|{place}".encode()).hexdigest()[:8], 16) / float(1 << 32)
+
+
+def rewritten(text: str, key: str, table: dict[str, list[str]], name: str, levels: list[float]) -> list[str]:
+    """A text at each level: of its characters that the table has, those whose draw is below the level are replaced. Places are drawn once for all levels."""
+    top, places = max(levels), []
+    for i, c in enumerate(text):
+        if (choices := table.get(low := c.lower())) and (x := drawn(key, name, i)) < top:
+            chosen = choices[int(drawn(key, f"{name}-choice", i) * len(choices))]
+            places.append((i, x, chosen if c == low else chosen[:1].upper() + chosen[1:]))
+    out = []
+    for level in levels:
+        parts = list(text)
+        for i, x, chosen in places:
+            if x < level:
+                parts[i] = chosen
+        out.append("".join(parts))
+    return out
 
-        def one(c: Column, i: Column) -> Column:
-            low = F.lower(c)
-            choices = F.try_element_at(variants, low)
-            chosen = F.element_at(choices, (F.floor(draw(key, f"{name}-choice", i) * F.size(choices)) + 1).cast("int"))
-            upper = F.concat(F.upper(F.substring(chosen, 1, 1)), F.substring(chosen, 2, 9))
-            return F.when(choices.isNotNull() & (draw(key, name, i) < level), F.when(c != low, upper).otherwise(chosen)).otherwise(c)
 
-        return F.when((level <= 0) | text.isNull(), text).otherwise(F.array_join(F.transform(F.split(text, ""), one), ""))
+def _characters(df: DataFrame, names: list[str], levels: list[float]) -> DataFrame:
+    """``swept`` by names of ``BY_CHARACTER``."""
 
-    return run
+    def table(batch, at, each):
+        names, levels, texts = zip(*each)
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(levels, pa.float64()), batch.column("key").take(pa.array(at, pa.int64())), pa.array(texts, pa.string())], ["name", "level", "key", "text"])
+
+    def run(batches):
+        for batch in batches:
+            at, each, chars = [], [], 0
+            for i, (key, text) in enumerate(zip(batch.column("_key").to_pylist(), batch.column("text").to_pylist())):
+                for n in names:
+                    made = [None] * len(levels) if text is None else rewritten(text, key or "", *BY_CHARACTER[n], levels)
+                    each += [(n, float(x), t) for x, t in zip(levels, made)]
+                    at += [i] * len(levels)
+                chars += len(text or "")
+                if chars >= _BATCH_CHARS:
+                    yield table(batch, at, each)
+                    at, each, chars = [], [], 0
+            if each:
+                yield table(batch, at, each)
+
+    kind = df.schema["key"].dataType.simpleString()
+    return df.select("key", F.col("key").cast("string").alias("_key"), "text").mapInArrow(run, f"name string, level double, key {kind}, text string")
 
 
 def _dropped(text: Column, key: Column, level: Column) -> Column:
@@ -60,18 +96,27 @@ def _dropped(text: Column, key: Column, level: Column) -> Column:
     return F.when((level <= 0) | text.isNull(), text).otherwise(F.array_join(kept, " "))
 
 
-#: Functions (text, key, level) of Columns; level 0 or null text: as it is.
-PERTURBATIONS = {"intensity_dial": _tokens(X.apply_rules_to, "dial"), "standardize": _tokens(X.standard_of, "standard"), "asr_noise": _characters(TRANSCRIBED, "asr"), "typo_noise": _characters(neighbours(), "typo"), "word_dropout": _dropped}
+#: By name the table of characters, and the name that places are drawn by.
+BY_CHARACTER = {"asr_noise": (TRANSCRIBED, "asr"), "typo_noise": (neighbours(), "typo")}
+_BY_WORD = {"intensity_dial": _tokens(X.apply_rules_to, "dial"), "standardize": _tokens(X.standard_of, "standard"), "word_dropout": _dropped}
+PERTURBATIONS = ("intensity_dial", "standardize", "asr_noise", "typo_noise", "word_dropout")
 
 
 def swept(df, names: list[str], levels: list[float]):
-    """(name, level, key, text): each row of df (key, text) at each level of each perturbation. A level is one pass over the rows, not a copy of the table: rows are multiplied where they lie."""
-    each = df.select("key", "text", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(x)).alias("level")) for n in names for x in levels])).alias("s")).select("key", "text", "s.*")
-    text = None
-    for n in names:
-        one = PERTURBATIONS[n](F.col("text"), F.col("key"), F.col("level"))
-        text = F.when(F.col("name") == n, one) if text is None else text.when(F.col("name") == n, one)
-    return each.select("name", "level", "key", text.alias("text"))
+    """(name, level, key, text): each row of df (key, text) at each level of each perturbation, multiplied where it lies. Level 0 or null text: as it is."""
+    words, characters = [n for n in names if n in _BY_WORD], [n for n in names if n in BY_CHARACTER]
+    out = None
+    if words:
+        each = df.select("key", "text", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(x)).alias("level")) for n in words for x in levels])).alias("s")).select("key", "text", "s.*")
+        text = None
+        for n in words:
+            one = _BY_WORD[n](F.col("text"), F.col("key"), F.col("level"))
+            text = F.when(F.col("name") == n, one) if text is None else text.when(F.col("name") == n, one)
+        out = each.select("name", "level", "key", text.alias("text"))
+    if characters:
+        some = _characters(df, characters, levels)
+        out = some if out is None else out.unionByName(some)
+    return out
 
 
 def slope(level: str, value: str) -> Column:

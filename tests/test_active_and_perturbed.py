@@ -186,3 +186,13 @@ def test_learning_curve(spark):
     assert points[-1][2] == pytest.approx(right / 40)
     with pytest.raises(ValueError):
         AL.learning_curve(train, test, LABELS, [0.0])
+
+
+def test_places_are_drawn_once_for_all_levels(monkeypatch):
+    calls = []
+    plain = N.drawn
+    monkeypatch.setattr(N, "drawn", lambda *a: calls.append(a) or plain(*a))
+    texts = N.rewritten("Żółw z łąki Żuje", "7", N.TRANSCRIBED, "asr", [0.0, 0.5, 1.0])
+    assert texts[0] == "Żółw z łąki Żuje" and len(calls) == len(set(calls)) == 2 * 6
+    changed = [[plain("7", "asr", i) < x for i, c in enumerate(texts[0]) if c.lower() in N.TRANSCRIBED] for x in (0.5, 1.0)]
+    assert all(changed[1]) and (texts[1] != texts[0]) == any(changed[0])
